@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from tessela.plans import q_tables
+from tessela.plans import q_roles, q_tables
 from tessela.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "q_tables"]
+__all__ = ["ORACLES", "QUERIES", "q_roles", "q_tables"]
