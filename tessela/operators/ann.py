@@ -101,9 +101,9 @@ def _grid(queries: DataFrame, base: DataFrame, block_rows: int) -> tuple[DataFra
     """
     query_slices, base_slices = _slices(queries, block_rows), _slices(base, block_rows)
     q = queries.withColumn("qs", F.pmod(F.xxhash64("query_id"), F.lit(query_slices))).withColumn(
-        "bs", F.explode(F.sequence(F.lit(0), F.lit(base_slices - 1))).cast("long"))
+        "bs", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(base_slices - 1).cast("long"))))
     b = base.withColumn("bs", F.pmod(F.xxhash64("id"), F.lit(base_slices))).withColumn(
-        "qs", F.explode(F.sequence(F.lit(0), F.lit(query_slices - 1))).cast("long"))
+        "qs", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_slices - 1).cast("long"))))
     return q, b, ["qs", "bs"]
 
 

@@ -7,6 +7,7 @@ any size is a projection without a join or a shuffle.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,28 +34,42 @@ def _strings(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
-def _name_score(name: Column, spec: RoleSpec) -> Column:
-    """1 on the role's own name; else the longest synonym inside the name, by its share of the name and the priority."""
-    lower = F.lower(name)
-    hits = F.filter(_strings(spec.synonyms), lambda s: F.contains(lower, s))
-    longest = F.array_max(F.transform(hits, F.char_length))
-    priority = 1.0 - (spec.priority - 1) * 0.1
-    by_synonym = longest / F.char_length(lower) * 0.9 * F.lit(priority)
-    return F.when(lower == spec.role.lower(), F.lit(1.0)).otherwise(F.coalesce(by_synonym, F.lit(0.0)))
+def _longest_synonym(lower: Column, spec: RoleSpec) -> Column:
+    """Length of the longest synonym inside the name, by one pattern per length; null without a hit."""
+    chain = F
+    for length in sorted({len(s) for s in spec.synonyms}, reverse=True):
+        chain = chain.when(lower.rlike("|".join(s for s in spec.synonyms if len(s) == length)), F.lit(length))
+    return chain
+
+
+def _with_name_scores(catalog: DataFrame, roles: Sequence[RoleSpec]) -> tuple[DataFrame, list[str]]:
+    """Add one score column per role: 1 on the role's own name; else the longest synonym's share of the name, weighed by
+    the priority; 0 without a hit. One pattern over all words lets the many names without any hit pass quickly."""
+    words = sorted({s for spec in roles for s in spec.synonyms} | {spec.role.lower() for spec in roles})
+    named = catalog.withColumn("__lower", F.lower("column"))
+    named = named.withColumn("__hit", F.col("__lower").rlike("|".join(words)))
+    lower, scores = F.col("__lower"), {}
+    for i, spec in enumerate(roles):
+        priority = 1.0 - (spec.priority - 1) * 0.1
+        share = _longest_synonym(lower, spec) / F.char_length(lower) * 0.9 * F.lit(priority)
+        scores[f"__rule_{i}"] = (
+            F.when(~F.col("__hit"), F.lit(0.0)).when(lower == spec.role.lower(), F.lit(1.0))
+            .otherwise(F.coalesce(share, F.lit(0.0)))
+        )
+    return named.withColumns(scores), list(scores)
 
 
 def rule_score(catalog: DataFrame, roles: Sequence[RoleSpec] = COLUMN_ROLES, keep_zero: bool = False) -> DataFrame:
     """(catalog columns, role, role_ord, rule_score); pairs without any hit leave unless ``keep_zero``."""
-    scored = F.array(*[
-        F.struct(
-            F.lit(spec.role).alias("role"), F.lit(i).alias("role_ord"),
-            _name_score(F.col("column"), spec).alias("rule_score"),
-        )
-        for i, spec in enumerate(roles)
-    ])
+    scored, names = _with_name_scores(catalog, roles)
     if not keep_zero:
-        scored = F.filter(scored, lambda s: s["rule_score"] > 0)
-    return catalog.withColumn("__s", F.explode(scored)).select(*catalog.columns, "__s.*")
+        scored = scored.where("__hit")
+    entries = F.array(*[
+        F.struct(F.lit(spec.role).alias("role"), F.lit(i).alias("role_ord"), F.col(name).alias("rule_score"))
+        for i, (spec, name) in enumerate(zip(roles, names))
+    ])
+    pairs = scored.withColumn("__s", F.explode(entries)).select(*catalog.columns, "__s.*")
+    return pairs if keep_zero else pairs.where(F.col("rule_score") > 0)
 
 
 def keyword_boost(pairs: DataFrame, boosts: Sequence[tuple[str, str, float]]) -> DataFrame:
@@ -126,14 +141,16 @@ def top_roles(pairs: DataFrame, k: int = 5, keys: Sequence[str] = ("dataset", "c
 
 def map_columns(catalog: DataFrame, roles: Sequence[RoleSpec] = COLUMN_ROLES, k: int = 5) -> DataFrame:
     """Name-only mapping in one projection: best role, confidence, the k best roles and the reasons, without a shuffle."""
+    scored, names = _with_name_scores(catalog, roles)
     entries = []
     for i, spec in enumerate(roles):
-        rule = _name_score(F.col("column"), spec)
+        rule = F.col(names[i])
         entries.append(F.struct(
             hybrid_score(rule, F.lit(0.0), F.lit(0.0)).alias("score"), F.lit(-i).alias("order"),
             F.lit(spec.role).alias("role"), reason_text(rule, F.lit(0.0), F.lit(0.0)).alias("reason"),
         ))
-    ranked = catalog.withColumn("__all", F.sort_array(F.array(*entries), asc=False))
+    # the one-element explode keeps later filters on the role from being pushed below and repeating the whole scoring
+    ranked = scored.withColumn("__all", F.explode(F.array(F.sort_array(F.array(*entries), asc=False))))
     return ranked.select(
         *catalog.columns,
         F.col("__all")[0]["role"].alias("role"),
@@ -153,31 +170,17 @@ def resolve_conflicts_globally(best: DataFrame) -> DataFrame:
     Winners come from map-side combined aggregates, so a role that covers a third of a huge catalog is no hot window.
     """
     is_id = F.col("role").isin(*ID_ROLES)
+    scoped = best.withColumn("__scope", F.when(is_id, F.lit("")).otherwise(F.col("dataset")))
     place = F.struct("confidence", -F.col("dataset_ord"), -F.col("pos"))
-    winners = (
-        best.where(is_id).groupBy("role")
-        .agg(F.max_by(F.struct("dataset", "column", "pos"), place).alias("w"))
-        .select("role", F.col("w.dataset").alias("win_dataset"), F.col("w.column").alias("win_column"),
-                F.col("w.pos").alias("win_pos"))
-    )
-    # at most one row per id role
-    ids = best.where(is_id).join(F.broadcast(winners), "role")
-    won = (F.col("dataset") == F.col("win_dataset")) & (F.col("pos") == F.col("win_pos"))
-    ids = ids.select(
-        *best.columns,
-        F.when(won, "assigned").otherwise("conflict_rejected").alias("status"),
-        F.when(~won, F.col("win_column")).alias("conflict_with"),
+    winners = scoped.groupBy("role", "__scope").agg(
+        F.max_by(F.struct("dataset", "column", "pos"), place).alias("__w")
     )
-    others = best.where(~is_id)
-    first = others.groupBy("dataset", "role").agg(
-        F.max_by("pos", F.struct("confidence", -F.col("pos"))).alias("first_pos")
-    )
-    others = others.join(first, ["dataset", "role"]).select(
+    won = (F.col("dataset") == F.col("__w.dataset")) & (F.col("pos") == F.col("__w.pos"))
+    return scoped.join(winners, ["role", "__scope"]).select(
         *best.columns,
-        F.when(F.col("pos") == F.col("first_pos"), "assigned").otherwise("duplicate").alias("status"),
-        F.lit(None).cast("string").alias("conflict_with"),
+        F.when(won, "assigned").when(is_id, "conflict_rejected").otherwise("duplicate").alias("status"),
+        F.when(~won & is_id, F.col("__w.column")).alias("conflict_with"),
     )
-    return ids.unionByName(others)
 
 
 def _starts_with_pattern(name: Column, pattern: str) -> Column:
@@ -201,7 +204,7 @@ def synonym_boost(
     lower = F.lower(name)
     boost = F
     for target, key in keys.items():
-        found = F.size(F.filter(_strings(groups[key]), lambda s: F.contains(lower, s)))
+        found = sum((F.contains(lower, F.lit(s)).cast("int") for s in groups[key]), F.lit(0))
         boost = boost.when(role == target, F.least(F.lit(0.2), found * F.lit(0.05)))
     boost = boost.otherwise(F.lit(0.0))
     return boost + F.when(role.isin(*top_roles_), F.lit(0.1)).otherwise(F.lit(0.0))
@@ -216,10 +219,9 @@ def boost_reasons(
         F.when((role == target) & _starts_with_pattern(name, pattern), F.lit(f"rule:{pattern}"))
         for pattern, target, _ in rules
     ]))
-    words = [word for group in groups.values() for word in group]
-    by_word = F.transform(
-        F.filter(_strings(words), lambda s: F.contains(lower, s)), lambda s: F.concat(F.lit("synonym:"), s)
-    )
+    by_word = F.array_compact(F.array(*[
+        F.when(F.contains(lower, F.lit(word)), F.lit(f"synonym:{word}")) for group in groups.values() for word in group
+    ]))
     return F.concat(by_rule, by_word)
 
 

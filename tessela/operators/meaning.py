@@ -66,10 +66,10 @@ def role_buckets(mappings: DataFrame) -> DataFrame:
 
 def bucket_counts(mappings: DataFrame) -> DataFrame:
     """One row per bucket, with 0 where it is empty."""
-    counted = role_buckets(mappings).agg(*[F.count_if(F.col("bucket") == b).alias(b) for b in BUCKETS])
-    return counted.select(F.explode(F.array(*[
-        F.struct(F.lit(b).alias("bucket"), F.col(b).alias("columns")) for b in BUCKETS
-    ])).alias("r")).select("r.*")
+    counted = role_buckets(mappings).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    known = counted.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("known"))
+    every = known.select("known", F.explode(F.array(*[F.lit(b) for b in BUCKETS])).alias("bucket"))
+    return every.select("bucket", F.coalesce(F.col("known")[F.col("bucket")], F.lit(0)).alias("columns"))
 
 
 def graph_nodes(mappings: DataFrame) -> DataFrame:

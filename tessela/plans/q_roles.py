@@ -250,7 +250,7 @@ def c15(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _walk_sql(order: str, edges: str) -> str:
     """Sequential walk over ordered edges: take one when its column and role are free."""
-    return f"""numbered AS (SELECT *, row_number() OVER (ORDER BY {order}) AS rn FROM {edges}),
+    return f"""numbered AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY {order}) AS rn FROM {edges}),
   walk AS (
     SELECT 0::BIGINT AS rn, []::VARCHAR[] AS cols, []::VARCHAR[] AS roles, NULL::VARCHAR AS c, NULL::VARCHAR AS r, NULL::DOUBLE AS f
     UNION ALL
@@ -355,7 +355,7 @@ def c24(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = vector_table(spark, sf_dir, "vec_id")
     means = schema._mean_vectors(rows, "vector", "label").where(F.col("label") != "all")
-    targets = means.select(F.col("label").cast("int").alias("id"), F.col("mean").alias("vector"))
+    targets = means.select(F.col("label").try_cast("int").alias("id"), F.col("mean").alias("vector"))
     queries = rows.select(F.col("vec_id").alias("query_id"), "vector")
     return cosine_topk(queries, targets, 5).withColumn("score", rounded("score"))
 
