@@ -198,10 +198,12 @@ def _nearest_cells(vector: Column, centroids: np.ndarray, n: int) -> Column:
     return nearest(vector)
 
 
-def ivf_build(base: DataFrame, nlist: int = 1024, sample_rows: int = 1_000_000, seed: int = 7) -> IvfIndex:
-    """Coarse cells from KMeans on a sample, at least 256 vectors to a cell on average. Write the table partitioned by
+def ivf_build(
+    base: DataFrame, nlist: int = 1024, sample_rows: int = 1_000_000, seed: int = 7, per_cell: int = 256
+) -> IvfIndex:
+    """Coarse cells from KMeans on a sample, at least ``per_cell`` vectors to a cell on average. Write the table partitioned by
     ``cell`` to let later searches read only the cells they probe."""
-    cells = min(nlist, max(1, base.count() // 256))
+    cells = min(nlist, max(1, base.count() // per_cell))
     centroids = _centroids(_training_sample(base, sample_rows, seed), cells, seed)
     table = base.withColumn("cell", F.element_at(_nearest_cells(F.col("vector"), centroids, 1), 1))
     return IvfIndex(table, centroids)

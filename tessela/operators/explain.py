@@ -35,13 +35,13 @@ def _similar(pairs: DataFrame, node: str, via: str, seeds: DataFrame, k: int, se
     lists = touched.groupBy(via, F.pmod(F.xxhash64("seed"), F.lit(slices)).alias("slice")).agg(
         F.collect_list("seed").alias("seeds"))
     counted = edges.join(lists, via).select(node, F.explode("seeds").alias("seed")).where(
-        F.col(node) != F.col("seed")).groupBy("seed", node).agg(F.count(F.lit(1)).alias("both"))
+        F.col(node) != F.col("seed")).groupBy("seed", node).agg(F.count(F.lit(1)).alias("shared"))
     seed_sizes = sizes.select(F.col(node).alias("seed"), F.col("n").alias("seed_n"))
     scored = counted.join(sizes, node).join(seed_sizes, "seed").withColumn(
-        "similarity", F.round(F.col("both") / F.sqrt(F.col("n") * F.col("seed_n")), 9))
+        "similarity", F.round(F.col("shared") / F.sqrt(F.col("n") * F.col("seed_n")), 9))
     order = Window.partitionBy("seed").orderBy(F.col("similarity").desc(), node)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
-        "seed", F.col(node).alias("similar"), "both", "similarity", "rank")
+        "seed", F.col(node).alias("similar"), "shared", "similarity", "rank")
 
 
 def similar_items(df: DataFrame, roles: Roles, seeds: DataFrame, k: int = 10, seeds_per_slice: int = 10_000) -> DataFrame:

@@ -47,11 +47,12 @@ def fit_retrieval(
     items = dense_numbers(pairs, roles.item, "i")
     numbered = pairs.join(users, roles.user).join(items, roles.item).select(
         F.col("u").cast("int").alias("u"), F.col("i").cast("int").alias("i"), "weight"
-    )
+    ).persist()
     model = ALS(
         userCol="u", itemCol="i", ratingCol="weight", rank=rank, maxIter=iterations, regParam=reg, alpha=alpha,
         implicitPrefs=True, seed=seed, coldStartStrategy="drop",
     ).fit(numbered)
+    numbered.unpersist()
 
     def named(factors: DataFrame, numbers: DataFrame, key: str, number: str) -> DataFrame:
         return numbers.join(factors, numbers[number] == factors["id"]).select(
@@ -119,9 +120,8 @@ def fit_mlp(
 
 def score(df: DataFrame, model: PipelineModel, out: str = "score") -> DataFrame:
     """Probability of the positive class for each row."""
-    made = ("features", "rawPrediction", "probability", "prediction")
-    scored = model.transform(df).withColumn(out, F.element_at(vector_to_array("probability"), 2))
-    return scored.drop(*made, *[c for c in scored.columns if c.endswith(("_idx", "_hot"))])
+    positive = F.element_at(vector_to_array("probability"), 2)
+    return model.transform(df).select(*[F.col(f"`{c}`") for c in df.columns], positive.alias(out))
 
 
 def rank_items(scored: DataFrame, group: str, item: str, top_k: int | None = None, score_column: str = "score") -> DataFrame:

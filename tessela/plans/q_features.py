@@ -35,8 +35,9 @@ def e1(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {X2} SELECT event_id, hour(ts) AS hour_of_day, isodow(ts) AS day_of_week, day(ts) AS day_of_month, month(ts) AS month,
   quarter(ts) AS quarter, year(ts) AS year, isodow(ts) > 5 AS is_weekend, hour(ts) BETWEEN 9 AND 17 AS is_business_hours FROM x2""")
 def e2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.temporal_features(event_interactions(spark, sf_dir), EVENT_ROLES).drop(
-        "user_id", "item_id", "event_type", "value", "ts")
+    made = features.temporal_features(event_interactions(spark, sf_dir), EVENT_ROLES)
+    parts = ("hour_of_day", "day_of_week", "day_of_month", "month", "quarter", "year")
+    return made.select("event_id", *[F.col(c).cast("long").alias(c) for c in parts], "is_weekend", "is_business_hours")
 
 
 _DAYS = f"((epoch_us(TIMESTAMP '{AS_OF_ORDERS}') - epoch_us(max(ts))) // 86400000000)::BIGINT"
@@ -205,6 +206,7 @@ def e16(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = specs.features_from_specs(order_interactions(spark, sf_dir), ORDER_ROLES, wanted, AS_OF_ORDERS)
     digits = {"user_engagement_score": 2, "interaction_signal_strength": 9, "item_avg_signal": 6, "user_mean_signal": 6,
               "user_signal_std": 6, "item_signal_variance": 6}
+    made = made.withColumns({c: F.col(c).cast("long") for c in ("interaction_hour", "interaction_day_of_week")})
     return made.select(*ROW_KEY, *[
         rounded(s.name, digits[s.name]).alias(s.name) if s.name in digits else F.col(s.name) for s in wanted])
 
@@ -241,7 +243,8 @@ WITH {X1} SELECT {_KEY}, hour(ts) AS interaction_hour, isodow(ts) AS interaction
   row_number() OVER (PARTITION BY session_id ORDER BY ts, {_TIE}) AS session_position FROM x1""")
 def e20(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("interaction_hour", "interaction_day_of_week", "interaction_is_weekend", "session_position")
-    return _picked(spark, sf_dir, names).select(*ROW_KEY, *names)
+    made = _picked(spark, sf_dir, names).select(*ROW_KEY, *names)
+    return made.withColumns({c: F.col(c).cast("long") for c in names[:2]})
 
 
 @query("e21_bias", f"WITH {X2} SELECT event_id, 1 AS bias FROM x2")
@@ -326,7 +329,8 @@ WITH {X2}, p AS (SELECT DISTINCT user_id, item_id FROM x2),
   n AS (SELECT f.user_id, f.item_id, f.draw, s.item_id AS negative_item FROM f JOIN s USING (bucket, slot))
 SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.user_id = n.user_id AND p.item_id = n.negative_item)""")
 def f7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prep.negative_samples(event_interactions(spark, sf_dir), EVENT_ROLES, ratio=4, buckets=8)
+    return prep.negative_samples(event_interactions(spark, sf_dir), EVENT_ROLES, ratio=4, buckets=8).withColumn(
+        "draw", F.col("draw").cast("long"))
 
 
 @query("f8_positive_pairs", f"""

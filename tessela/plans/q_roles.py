@@ -100,7 +100,8 @@ WITH {HYBRID} SELECT dataset, "column", role, rank FROM (
 WHERE rank <= 5""")
 def c6(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = mapping.hybrid_pairs(hybrid_inputs(_scored(spark, sf_dir, keep_zero=True)))
-    return mapping.top_roles(pairs.withColumn("score", rounded("score", 9)), 5).select("dataset", "column", "role", "rank")
+    return mapping.top_roles(pairs.withColumn("score", rounded("score", 9)), 5).select(
+        "dataset", "column", "role", F.col("rank").cast("long").alias("rank"))
 
 
 _BEST = f"""{RULE_SCORES}, best AS (
