@@ -90,7 +90,9 @@ def _merge_top_k(found: DataFrame, k: int) -> DataFrame:
 
 
 def _in_blocks(queries: DataFrame, base: DataFrame, keys: Sequence[str], work, schema: str) -> DataFrame:
-    return queries.groupBy(*keys).cogroup(base.groupBy(*keys)).applyInPandas(work, schema)
+    # fresh column identities, as both sides may stem from one table
+    left, right = (df.select(*[F.col(c).alias(c) for c in df.columns]) for df in (queries, base))
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(work, schema)
 
 
 def _grid(queries: DataFrame, base: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame, list[str]]:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessela.functions import vectors
-from tessela.operators import ann, features, losses, models, prep
+from tessela.operators import ann, losses, models, prep
+from tessela.operators.feedback import preference, signal_weights
 from tessela.plans.fixtures import (
     AS_OF,
     K1,
@@ -19,7 +20,6 @@ from tessela.plans.fixtures import (
     table,
     vector_table,
 )
-from tessela.operators.feedback import preference, signal_weights
 from tessela.plans.registry import query
 from tessela.roles import Roles
 
@@ -271,6 +271,3 @@ def h7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("h8_index_self_check")
 def h8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.index_self_check(_index(_sides(spark, sf_dir)[1]), 10)
-
-
-__all__ = ["features"]

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessela.functions import vectors
 from tessela.operators import mapping, meaning, schema
+from tessela.operators.ann import cosine_topk
 from tessela.plans.fixtures import (
     FINE_PAIRS,
     FINE_ROWS,
@@ -30,7 +30,6 @@ from tessela.roles import (
     BOOST_SYNONYMS,
     CONTEXT_BOOSTS,
     EXCLUSION_PATTERNS,
-    FINE_ROLES,
     KEYWORD_SYNONYMS,
     REQUIRED_ROLES,
     ROLE_SYNONYM_KEY,
@@ -352,13 +351,11 @@ SELECT query_id, id, round(score, 6) AS score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5""".replace(
     "x3 CROSS JOIN (SELECT *, sqrt", "(SELECT vec_id, label AS l, v FROM x3) CROSS JOIN (SELECT *, sqrt"))
 def c24(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessela.operators.ann import cosine_topk
-
     rows = vector_table(spark, sf_dir, "vec_id")
     means = schema._mean_vectors(rows, "vector", "label").where(F.col("label") != "all")
     targets = means.select(F.col("label").try_cast("int").alias("id"), F.col("mean").alias("vector"))
     queries = rows.select(F.col("vec_id").alias("query_id"), "vector")
-    return cosine_topk(queries, targets, 5).withColumn("score", rounded("score"))
+    return cosine_topk(queries, targets, 5).withColumns({"score": rounded("score"), "rank": F.col("rank").cast("long")})
 
 
 @query("d1_role_class", f"""
@@ -504,6 +501,3 @@ FROM mapped LEFT JOIN fixes USING (dataset, "column")""")
 def d10_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixed = meaning.apply_corrections(mapped_lake(spark, sf_dir), _fixes(spark, sf_dir))
     return meaning.correction_summary(fixed).withColumn("correction_rate", rounded("correction_rate", 9))
-
-
-__all__ = ["FINE_ROLES", "vectors"]

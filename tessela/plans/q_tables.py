@@ -14,7 +14,6 @@ from tessela.plans.fixtures import (
     X2,
     document_words,
     event_columns,
-    event_interactions,
     lake_catalog,
     order_interactions,
     rounded,
@@ -26,8 +25,6 @@ from tessela.sources import readers, sinks
 
 EVENT_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
-LAKE_TABLES = ("customer", "part", "orders", "lineitem", "events", "documents", "labels")
-
 
 @query("a1_csv_scan", """
 SELECT o_orderstatus, count(*) AS order_count, count(DISTINCT o_custkey) AS customers, round(sum(o_totalprice), 2) AS total
@@ -279,9 +276,9 @@ def b9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("b10_schema_fingerprint", f"""
-WITH {LAKE} SELECT dataset, sha256(string_agg("column" || ':' || dtype, '|' ORDER BY ("column" || ':' || dtype) COLLATE "C")) AS fingerprint,
-  substr(sha256(string_agg("column" || ':' || dtype, '|' ORDER BY ("column" || ':' || dtype) COLLATE "C")), 1, 32) AS schema_hash,
-  count(*) AS column_count FROM lake GROUP BY dataset""".replace(' COLLATE "C"', ""))
+WITH {LAKE} SELECT dataset, sha256(string_agg("column" || ':' || dtype, '|' ORDER BY ("column" || ':' || dtype))) AS fingerprint,
+  substr(sha256(string_agg("column" || ':' || dtype, '|' ORDER BY ("column" || ':' || dtype))), 1, 32) AS schema_hash,
+  count(*) AS column_count FROM lake GROUP BY dataset""")
 def b10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema.schema_fingerprint(lake_catalog(spark, sf_dir))
 
@@ -375,6 +372,3 @@ _X1_TYPES = {"user_id": "bigint", "item_id": "bigint", "signal": "double", "sess
        else "NULL::DOUBLE AS min, NULL::DOUBLE AS max, NULL::DOUBLE AS mean") + " FROM x1" for c, t in _X1_TYPES.items()))
 def b16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.feature_stats(order_interactions(spark, sf_dir).select(*_X1_TYPES)).withColumn("mean", rounded("mean", 5))
-
-
-__all__ = ["event_interactions"]
