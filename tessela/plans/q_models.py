@@ -246,7 +246,7 @@ def h4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("h4_ivf_all_cells", _knn_sql("true"))
 def h4_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, base = _sides(spark, sf_dir)
-    return _shown(ann.ivf_search(queries, _index(base), 10, nprobe=10, exclude_self=True, block_rows=64))
+    return _shown(ann.ivf_search(queries, _index(base), 10, nprobe=10, exclude_self=True, block_rows=256))
 
 
 @query("h5_pq_search")
