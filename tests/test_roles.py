@@ -42,7 +42,7 @@ def test_mapping_and_conflicts_of_the_sample(spark):
 
 
 def test_ids_are_unique_over_datasets(spark):
-    both = _catalog(spark, ["user_id"], "a").unionByName(
+    both = _catalog(spark, ["user_no"], "a").unionByName(
         _catalog(spark, ["user"], "b").withColumn("dataset_ord", F.lit(1).cast("long")))
     best = mapping.map_columns(both).select("dataset", "dataset_ord", "column", "pos", "role", "confidence")
     rows = {r["dataset"]: r for r in mapping.resolve_conflicts_globally(best).collect()}
