@@ -32,7 +32,7 @@ def position_in_group(
     sign = -1 if descending else 1
     bucketed = df.withColumn("__bucket", time_bucket(F.col(ts), bucket_seconds) * F.lit(sign))
     keys = [*group, "__bucket"]
-    counts = bucketed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    counts = bucketed.where(F.col("__bucket").isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
     first = F.col(ts).desc() if descending else F.col(ts).asc()

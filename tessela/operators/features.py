@@ -141,6 +141,7 @@ def sessionize(
         inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     buckets = rows.groupBy(user, "__bucket").agg(F.min("__us").alias("first"), F.max("__us").alias("last"))
     starts = flagged.groupBy(user, "__bucket").agg(F.sum(F.coalesce("__start", F.lit(0))).alias("starts"))
+    # an equi-join: rows without a time or a user are in no session
     summary = buckets.join(starts, [user, "__bucket"])
     along = Window.partitionBy(user).orderBy("__bucket")
     opens = F.coalesce((F.col("first") - F.lag("last").over(along) >= gap).cast("int"), F.lit(1))

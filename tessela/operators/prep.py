@@ -72,7 +72,7 @@ def preference_pairs(df: DataFrame, roles: Roles) -> DataFrame:
 def listwise_groups(df: DataFrame, roles: Roles, list_size: int = 10) -> DataFrame:
     """Blocks of ``list_size`` consecutive rows of a user in time order; an incomplete last block leaves."""
     placed = position_in_group(df, [roles.user], roles.ts, roles.tiebreak, "__pos")
-    totals = df.groupBy(roles.user).agg(F.count(F.lit(1)).alias("__total"))
+    totals = df.groupBy(roles.user).agg(F.count(roles.ts).alias("__total"))
     block = F.floor((F.col("__pos") - 1) / list_size).cast("long")
     return (
         placed.join(totals, roles.user).withColumn("list_no", block)
