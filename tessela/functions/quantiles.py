@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_DISTINCT = 100_000
+MAX_DISTINCT = 1_000_000
 
 
 def kth_smallest(df: DataFrame, value: Column, k: int, max_distinct: int = MAX_DISTINCT):
@@ -53,23 +53,29 @@ def kth_smallest(df: DataFrame, value: Column, k: int, max_distinct: int = MAX_D
     return running.where(F.col("upto") > k - below).agg(F.min("v").alias("v")).first()["v"]
 
 
+def order_statistics(df: DataFrame, value: Column, ranks: Sequence[int], n_distinct: int) -> dict[int, float]:
+    """Values at several 0-based ranks: from one histogram where the distinct values are few, else rank by rank."""
+    if n_distinct > MAX_DISTINCT:
+        return {k: kth_smallest(df, value, k) for k in ranks}
+    histogram = df.select(value.alias("v")).where(F.col("v").isNotNull()).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    # at most MAX_DISTINCT rows, give or take the error of the estimate
+    running = histogram.withColumn("upto", F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("v")))
+    row = running.agg(*[F.min(F.when(F.col("upto") > k, F.col("v"))).alias(f"r{k}") for k in ranks]).first()
+    return {k: row[f"r{k}"] for k in ranks}
+
+
 def exact_quantiles(df: DataFrame, value: Column, quantiles: Sequence[float]) -> list[float | None]:
     """Quantiles with linear interpolation between the two nearest ranks; all null on an empty column."""
-    n = df.agg(F.count(value).alias("n")).first()["n"]
+    size = df.agg(F.count(value).alias("n"), F.approx_count_distinct(value).alias("distinct")).first()
+    n = size["n"]
     if n == 0:
         return [None for _ in quantiles]
-    known: dict[int, float] = {}
-
-    def at(rank: int) -> float:
-        if rank not in known:
-            known[rank] = float(kth_smallest(df, value, rank))
-        return known[rank]
-
+    places = [(n - 1) * q for q in quantiles]
+    ranks = sorted({r for place in places for r in (int(place), min(int(place) + 1, n - 1))})
+    at = {k: float(v) for k, v in order_statistics(df, value, ranks, size["distinct"]).items()}
     result = []
-    for q in quantiles:
-        place = (n - 1) * q
-        low = int(place)
+    for place in places:
+        low, fraction = int(place), place - int(place)
         high = min(low + 1, n - 1)
-        fraction = place - low
-        result.append(at(low) if fraction == 0 else at(low) + (at(high) - at(low)) * fraction)
+        result.append(at[low] if fraction == 0 else at[low] + (at[high] - at[low]) * fraction)
     return result

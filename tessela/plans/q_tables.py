@@ -123,14 +123,13 @@ def a8(spark: SparkSession, sf_dir: str) -> DataFrame:
         rounded(F.avg(F.col("embedding")[0].cast("double"))).alias("first_mean"))
 
 
-@query("a9_matrix_sink", """
-SELECT year(o_orderdate)::INTEGER AS y, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1""")
+@query("a9_matrix_sink", f"""
+WITH {X2} SELECT CAST(ts AS DATE)::VARCHAR AS day, count(*) AS n, round(sum(value), 4) AS total FROM x2 GROUP BY 1""")
 def a9(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "matrix")
-    dated = table(spark, sf_dir, "orders").withColumn("order_year", F.year("o_orderdate"))
-    dated.hint("rebalance", "order_year").write.partitionBy("order_year").parquet(path)
-    return spark.read.parquet(path).groupBy(F.col("order_year").alias("y")).agg(
-        F.count(F.lit(1)).alias("n"), rounded(F.sum("o_totalprice"), 2).alias("total"))
+    sinks.write_matrix(event_columns(table(spark, sf_dir, "events")), path, "ts")
+    return spark.read.parquet(path).groupBy(F.col("event_date").cast("string").alias("day")).agg(
+        F.count(F.lit(1)).alias("n"), rounded(F.sum("value"), 4).alias("total"))
 
 
 @query("a10_feedback_source", f"""
