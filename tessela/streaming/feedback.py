@@ -76,6 +76,9 @@ def view_to_purchase(views: DataFrame, purchases: DataFrame, within: str = "1 ho
     return v.join(p, condition).select("user_id", "item_id", "view_id", "purchase_id", "view_ts", "purchase_ts", "value")
 
 
+EXPIRY_MS = 30 * 86_400_000
+
+
 def _partial_recency(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         yield batch.groupby("user_id", as_index=False).agg(last_us=("us", "max"), rows=("us", "size"))
@@ -92,23 +95,21 @@ def _keep_recency(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState)
         last = max(last, int(part["last_us"].max()))
         rows += int(part["rows"].sum())
     state.update((last, rows))
-    state.setTimeoutDuration(_keep_recency.timeout_ms)
+    state.setTimeoutTimestamp(max(last // 1000 + EXPIRY_MS, state.getCurrentWatermarkMs() + 1))
     yield pd.DataFrame({"user_id": [key[0]], "last_us": [last], "rows": [rows], "expired": [False]})
 
 
-_keep_recency.timeout_ms = 30 * 86_400_000
-
-
-def user_recency(stream: DataFrame, ts: str = "ts") -> DataFrame:
-    """Last time and number of rows per user, with a state that expires after 30 days without rows.
+def user_recency(stream: DataFrame, ts: str = "ts", lateness: str = "1 hour") -> DataFrame:
+    """Last time and number of rows per user, with a state that expires 30 days of event time after the last row.
 
     Arrow batches are pre-aggregated before the shuffle, so a hot user sends a few rows per batch to its state.
     """
     rows = stream.select(F.col("user_id").cast("long").alias("user_id"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
-    partial = rows.mapInPandas(_partial_recency, "user_id long, last_us long, rows long")
+    partial = rows.mapInPandas(_partial_recency, "user_id long, last_us long, rows long").withColumn(
+        "last_ts", F.timestamp_micros("last_us")).withWatermark("last_ts", lateness)
     return partial.groupBy("user_id").applyInPandasWithState(
         _keep_recency, "user_id long, last_us long, rows long, expired boolean", "last_us long, rows long", "update",
-        GroupStateTimeout.ProcessingTimeTimeout,
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 
