@@ -22,8 +22,8 @@ from tessela.llm.sigtree import runs
 from tessela.llm.vectors import CentroidGraph, balanced_centroids, cosines, matrix, sample, unit, valid
 
 REPLICAS = 4
-BOUNDARY = 0.10
-RATIO = 0.25
+BOUNDARY = 0.02
+RATIO = 0.35
 PER_CENTROID = 8
 BASE_BLOCK, QUERY_BLOCK = 4096, 1024
 BATCH = 512
