@@ -21,7 +21,7 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("iban", "ssn")
 KINDS = BASE_KINDS + ADDED_KINDS
 
-# Words that raise or lower the score of a kind when they stand within WINDOW characters
+# Words that raise the score of a kind within WINDOW characters, or lower it just before the span
 CONTEXT = {
     "email": ("mail", "contact", "write", "correo", "kontakt"),
     "ip": ("ip", "address", "server", "host"),
@@ -120,7 +120,8 @@ FINDERS = {"email": _emails, "ip": _ips, "card": _cards, "phone": _phones, "iban
 def score(text: str, kind: str, start: int, end: int) -> float:
     near = {w.lower() for w in _WORDS.findall(text[max(0, start - WINDOW) : start] + " " + text[end : end + WINDOW])}
     raised = RAISE if any(w in near for w in CONTEXT[kind]) else 0.0
-    lowered = LOWER if any(w in near for w in AGAINST) else 0.0
+    before = {w.lower() for w in _WORDS.findall(text[max(0, start - WINDOW // 3) : start])}
+    lowered = LOWER if any(w in before for w in AGAINST) else 0.0
     return round(min(1.0, max(0.0, PRIOR[kind] + raised - lowered)), 3)
 
 

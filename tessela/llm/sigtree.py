@@ -6,7 +6,7 @@
    possible overlap is too small; what is left are links that may hold. They join representatives to families.
 3. Inside a family the sets themselves are compared, again along a signature tree, and pairs that pass are links.
 
-Bands: a pair at the threshold of 0.85 shares no band with probability (1 - 0.85 ** 5) ** 40 = 7e-11, less above it; all
+Bands: a pair at the threshold of 0.85 shares no band with probability (1 - 0.85 ** 5) ** 40 = 7e-11 (0.8: 1e-7), less above it; all
 later steps are exact. Buckets and families of any size are cut into tiles of bounded size, so no task holds a whole one.
 Inside a tile, pairs whose ends are already linked are skipped unless all links are asked for.
 """
@@ -296,7 +296,7 @@ def verified_links(documents: DataFrame, families: DataFrame, percent: int, n: i
                 found = []
         yield _link_batch(found)
 
-    return arrow_map(spread(texts, "tile").sortWithinPartitions("tile"), run, "a long, b long")
+    return arrow_map(spread(texts, "tile").sortWithinPartitions("tile"), run, "a long, b long").where("a <> b")
 
 
 def jaccard_join(documents: DataFrame, n: int, percent: int, doc_id: str = "doc_id", text: str = "text", forest: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -304,29 +304,38 @@ def jaccard_join(documents: DataFrame, n: int, percent: int, doc_id: str = "doc_
 
     With ``forest``, links span every component but skip pairs that others already connect; without, all links of
     representatives are given. Documents with equal sets have one representative and are linked. Empty sets (null,
-    empty or blank texts) are linked with nothing. Rows without an id are left out; rows of equal id are one document
-    with several texts. An empty table gives empty tables.
+    empty or blank texts) are linked with nothing, nor are rows without an id; their representative is null. Rows of
+    equal id are one document with several texts. An empty table gives empty tables.
     """
-    rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
+    rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sketched = stage(sketches(rows, "doc_id", "text", n), "join-sketches")
-    reps = sketched.where("n_shingles > 0").groupBy("lo", "hi", "n_shingles").agg(
+    reps = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("lo", "hi", "n_shingles").agg(
         F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
     reps = stage(reps, "join-reps")
     possible = components(possible_links(reps, percent))
     families = reps.select(F.col("rep").alias("id"), "n_shingles").join(possible.select("id", F.col("component").alias("family")), "id")
     families = families.groupBy("id", "family").agg(F.max("n_shingles").alias("n_shingles"))
     links = verified_links(rows, families, percent, n, forest)
-    members = sketched.select("doc_id", "n_shingles", "lo", "hi").join(reps.select("lo", "hi", "n_shingles", "rep"), ["lo", "hi", "n_shingles"], "left")
-    return links, members.select("doc_id", "n_shingles", "rep")
+    classes = reps.select("lo", "hi", "n_shingles", "rep")
+    members = sketched.select("doc_id", "n_shingles", "lo", "hi").join(classes, ["lo", "hi", "n_shingles"], "left")
+    return links, members.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"))
 
 
 def near_classes(documents: DataFrame, n: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id): the smallest id reachable by links; one row per document."""
+    """(doc_id, n_shingles, component_id): the smallest id reachable by links; one row per document.
+
+    Of rows with equal id the largest set counts for n_shingles and all link. Rows without an id have no component.
+    """
     links, members = jaccard_join(documents, n, percent, doc_id, text)
-    members = members.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("rep").alias("rep"), F.count_distinct("rep").alias("__texts"))
+    unnamed = members.where("doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    # an id with several texts connects their classes
+    own = members.where("rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    several = members.groupBy("doc_id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y").select("doc_id")
+    links = links.unionByName(own.join(several, F.col("a") == F.col("doc_id")).select("a", "b"))
+    members = members.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("rep").alias("rep"))
     found = components(links).withColumnRenamed("id", "rep")
     joined = members.join(found, "rep", "left")
-    return joined.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    return joined.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id")).unionByName(unnamed)
 
 
 _OP10 = r"""

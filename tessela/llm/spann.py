@@ -96,9 +96,9 @@ def boundary_lists(x: np.ndarray, graph: CentroidGraph) -> tuple[np.ndarray, np.
     return np.concatenate(rows), np.concatenate(lists), np.concatenate(homes)
 
 
-def chosen_lists(x: np.ndarray, index_graph: CentroidGraph, homes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, list): all lists within RATIO of the nearest, and more, nearest first, until they hold more than k vectors."""
-    far = index_graph.search(x, RATIO, 8)
+def chosen_lists(x: np.ndarray, index_graph: CentroidGraph, homes: np.ndarray, k: int, ratio: float = RATIO) -> tuple[np.ndarray, np.ndarray]:
+    """(row, list): all lists within ``ratio`` of the nearest, and more, nearest first, until they hold more than k vectors."""
+    far = index_graph.search(x, ratio, 8)
     missing = np.isinf(far)
     if missing.any():  # only for the rows that need more lists than the walk has reached
         short = ((~missing) @ homes) <= k
@@ -107,12 +107,12 @@ def chosen_lists(x: np.ndarray, index_graph: CentroidGraph, homes: np.ndarray, k
     order = np.argsort(far, axis=1, kind="stable")
     near = np.take_along_axis(far, order, axis=1)
     held = np.cumsum(homes[order], axis=1) - homes[order]
-    take = np.isfinite(near) & ((near <= near[:, :1] * (1 + RATIO)) | (held <= k))
+    take = np.isfinite(near) & ((near <= near[:, :1] * (1 + ratio)) | (held <= k))
     row, slot = np.nonzero(take)
     return row, order[row, slot]
 
 
-def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
+def search(index: Index, queries: DataFrame, k: int, ratio: float = RATIO) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for each of queries (vec_id, v), never the query itself."""
     if k >= index.keep:
         raise ValueError("the index holds too few of each group of equal vectors for this k")
@@ -123,7 +123,7 @@ def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, BATCH):
                 part = batch.slice(a, BATCH)
-                row, where = chosen_lists(unit(matrix(part.column("v"))), graph, homes, k)
+                row, where = chosen_lists(unit(matrix(part.column("v"))), graph, homes, k, ratio)
                 ids = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(where, pa.int32()), part.column("vec_id").take(ids), part.column("v").take(ids).cast(pa.list_(pa.float64()))], names=["list", "vec_id", "v"])
@@ -191,7 +191,7 @@ def nearest(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def knn(df: DataFrame, queries, k: int, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def knn(df: DataFrame, queries, k: int, vec_id: str = "vec_id", vector: str = "embedding", ratio: float = RATIO) -> DataFrame:
     """The k nearest rows of the table for the rows that the condition ``queries`` on vec_id selects.
 
     Vectors that are null, zero, or hold null or non-finite components neither ask nor answer; nor do rows without an id.
@@ -202,7 +202,7 @@ def knn(df: DataFrame, queries, k: int, vec_id: str = "vec_id", vector: str = "e
     index = build(rows, k + 1)
     if index is None:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    return search(index, rows.where(queries), k)
+    return search(index, rows.where(queries), k, ratio)
 
 
 @query("op3_nearest_neighbours")
