@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessela.session import materialize
+
 DAY_SECONDS = 86400
 
 
@@ -30,20 +32,42 @@ def position_in_group(
 ) -> DataFrame:
     """Add the 1-based position of each row in its group by ``ts`` then ``tiebreak``; null keys or times get null."""
     sign = -1 if descending else 1
-    bucketed = df.withColumn("__bucket", time_bucket(F.col(ts), bucket_seconds) * F.lit(sign))
+    placed = F.col(ts).isNotNull()
+    for g in group:
+        placed &= F.col(g).isNotNull()
+    bucketed = df.where(placed).withColumn("__bucket", time_bucket(F.col(ts), bucket_seconds) * F.lit(sign))
+    # rows without a key or time take no position and meet nowhere
+    unplaced = df.where(~placed).withColumn(out, F.lit(None).cast("long"))
     keys = [*group, "__bucket"]
-    counts = bucketed.where(F.col("__bucket").isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    counts = bucketed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
     first = F.col(ts).desc() if descending else F.col(ts).asc()
     inside = Window.partitionBy(*keys).orderBy(first, *[F.col(c) for c in tiebreak])
     return (
-        bucketed.join(offsets, keys, "left")
+        bucketed.join(offsets, keys)
         .withColumn(out, (F.row_number().over(inside) + F.col("__offset")).cast("long"))
-        .drop("__bucket", "__offset")
+        .select(*[F.col(f"`{c}`") for c in df.columns if c != out], out)
+        .unionByName(unplaced)
     )
 
 
+def global_numbers(df: DataFrame, order: Sequence[str], out: str, first: int = 1) -> DataFrame:
+    """Number all rows by ``order`` from ``first``: ranges of the order are tasks, a table of range sizes gives the offsets.
+
+    No value of the order, and no group, meets in one task; the ranges are written once, so that both passes agree.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(df.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    # one row per range
+    before = Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    inside = Window.partitionBy("__range").orderBy(*order)
+    number = (F.row_number().over(inside) + F.col("__offset") + (first - 1)).cast("long")
+    return ranged.join(F.broadcast(offsets), "__range").withColumn(out, number).drop("__range", "__offset")
+
+
 def dense_numbers(df: DataFrame, column: str, out: str, buckets: int = 1024) -> DataFrame:
     """Number the distinct values of ``column`` from 0 without gaps; (value, number) rows.
 

@@ -65,16 +65,16 @@ def coverage(recs: DataFrame, catalog: DataFrame) -> DataFrame:
 def list_diversity(recs: DataFrame, item_vectors: DataFrame) -> DataFrame:
     """Per user: 1 - mean cosine over the pairs of the list; null for a single item.
 
-    With unit vectors the sum over pairs is (|sum of vectors|^2 - sum of |vector|^2) / 2, so no pair is made.
+    An item without a vector counts as one that is like no other. With unit vectors the sum over pairs is (|sum of vectors|^2 - sum of |vector|^2) / 2, so no pair is made.
     """
     unit = item_vectors.select("item_id", vectors.l2_normalize(F.col("vector")).alias("unit"))
     rows = recs.select("user_id", "item_id").join(unit, "item_id").select(
         "user_id", array_to_vector("unit").alias("v"), vectors.dot(F.col("unit"), F.col("unit")).alias("own"))
-    sums = rows.groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("own").alias("own"), vector_to_array(Summarizer.sum(F.col("v"))).alias("total"))
+    sums = rows.groupBy("user_id").agg(F.sum("own").alias("own"), vector_to_array(Summarizer.sum(F.col("v"))).alias("total"))
+    sizes = recs.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
     n = F.col("n")
     mean = (vectors.dot(F.col("total"), F.col("total")) - F.col("own")) / (n * (n - 1))
-    return sums.select("user_id", F.when(n > 1, 1 - mean).alias("diversity"))
+    return sizes.join(sums, "user_id", "left").select("user_id", F.when(n > 1, 1 - F.coalesce(mean, F.lit(0.0))).alias("diversity"))
 
 
 def business_metrics(events: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -189,10 +189,10 @@ def synthesis_aggregates(df: DataFrame, key: str, parent: str, columns: Sequence
     return df.groupBy(key).agg(*aggregates)
 
 
-def deep_features(df: DataFrame, roles: Roles, depth: int = 2, max_new: int = 50) -> DataFrame:
-    """Transforms, parent aggregates and, at depth 2, parent aggregates of transforms; the first ``max_new`` columns stay.
+def deep_features(df: DataFrame, roles: Roles, depth: int = 2, max_new: int | None = None) -> DataFrame:
+    """Transforms, parent aggregates and, at depth 2, parent aggregates of transforms; all, or the first ``max_new``.
 
-    New columns are chosen before anything is computed, so those beyond the limit cost nothing.
+    New columns are chosen before anything is computed, so those beyond a given limit cost nothing.
     """
     keys = [c for c in (roles.user, roles.item, roles.session) if c]
     transforms = synthesis_transforms(df, keys)
@@ -215,7 +215,7 @@ def deep_features(df: DataFrame, roles: Roles, depth: int = 2, max_new: int = 50
     return result.select(*[_q(c) for c in (*df.columns, *kept)])
 
 
-def cap_new_columns(df: DataFrame, original: Sequence[str], max_new: int = 50) -> DataFrame:
+def cap_new_columns(df: DataFrame, original: Sequence[str], max_new: int) -> DataFrame:
     new = [c for c in df.columns if c not in original][:max_new]
     return df.select(*[_q(c) for c in df.columns if c in original], *[_q(c) for c in new])
 

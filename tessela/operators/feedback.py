@@ -17,6 +17,8 @@ def signal_weights(
 ) -> DataFrame:
     """Add ``weight``: the weight of the event type times exp(-age / decay); unknown types leave.
 
+    Rows after ``as_of`` are as fresh as a row of that moment.
+
     The weights are configuration and enter the plan as a literal map, so there is no join.
     """
     table = F.create_map(*[
@@ -25,7 +27,7 @@ def signal_weights(
     ])
     rule = table[F.col("event_type")]
     known = events.where(F.col("event_type").isin(*[w[0] for w in weights]))
-    return known.withColumn("weight", rule["w"] * F.exp(-days_before(F.col("ts"), as_of) / rule["d"]))
+    return known.withColumn("weight", rule["w"] * F.exp(-F.greatest(days_before(F.col("ts"), as_of), F.lit(0.0)) / rule["d"]))
 
 
 def preference(events: DataFrame, as_of: str) -> DataFrame:

@@ -265,6 +265,11 @@ def best_above(pairs: DataFrame, threshold: float = 0.5) -> DataFrame:
     )
 
 
+def _one_edge_per_pair(pairs: DataFrame) -> DataFrame:
+    """The best confidence of each (column, role): a name that stands in many datasets is one edge, not many."""
+    return pairs.groupBy("column", "role").agg(F.max("confidence").alias("confidence"))
+
+
 def _first_edges_per_role(edges: DataFrame, order: Sequence[Column], roles: int) -> DataFrame:
     """The first ``roles`` edges of each role. The row_number filter becomes a map-side group limit before the shuffle."""
     rank = Window.partitionBy("role").orderBy(*order)
@@ -291,7 +296,7 @@ def assign_one_to_one(pairs: DataFrame, max_roles: int = len(FINE_ROLES)) -> Dat
     ``max_roles`` best edges. The exact result therefore needs at most ``max_roles`` squared edges in one row.
     """
     edge_order = [F.col("confidence").desc(), F.col("column"), F.col("role")]
-    kept = _first_edges_per_role(pairs.select("column", "role", "confidence"), edge_order, max_roles)
+    kept = _first_edges_per_role(_one_edge_per_pair(pairs), edge_order, max_roles)
     entry = F.struct((-F.col("confidence")).alias("order"), "column", "role", "confidence")
     walk = kept.groupBy().agg(F.sort_array(F.collect_list(entry)).alias("edges"))
     return walk.select(F.explode(_take_free(F.col("edges"), max_roles)).alias("e")).select("e.column", "e.role", "e.confidence")
@@ -302,8 +307,9 @@ def assign_by_column(pairs: DataFrame, max_roles: int = len(FINE_ROLES)) -> Data
 
     A role is taken by one of the first ``max_roles`` columns that want it, since any earlier one went to another role.
     """
-    order = pairs.groupBy("column").agg(F.max("confidence").alias("best"))
-    edges = pairs.select("column", "role", "confidence").join(order, "column")
+    single = _one_edge_per_pair(pairs)
+    order = single.groupBy("column").agg(F.max("confidence").alias("best"))
+    edges = single.join(order, "column")
     kept = _first_edges_per_role(edges, [F.col("best").desc(), F.col("column"), F.col("role")], max_roles)
     entry = F.struct(
         (-F.col("best")).alias("turn"), "column", (-F.col("confidence")).alias("order"), "role", "confidence"
@@ -349,6 +355,7 @@ def global_confidence(mappings: DataFrame) -> DataFrame:
 
 
 def reasoning_summary(role: Column, confidence: Column, won_conflict: Column) -> Column:
+    # The texts of the summary
     level = (
         F.when(confidence >= 0.8, "High semantic similarity")
         .when(confidence >= 0.5, "Moderate semantic match")

@@ -162,6 +162,13 @@ def minimum_requirements(classified: DataFrame) -> DataFrame:
     return checks.withColumn("is_valid", F.col("has_user_id") & F.col("has_item_id") & F.col("has_interaction"))
 
 
+# The messages of the catalog check.
+NO_USERS = "No user features detected"
+NO_ITEMS = "No item features detected"
+NO_TARGETS = "No target variables (interaction signals) detected"
+REPEATED = "Duplicate feature name: "
+
+
 def validate_catalog(catalog: DataFrame) -> DataFrame:
     """(level, message) rows: missing sections, and names that occur more than once outside the targets."""
     counts = catalog.agg(
@@ -170,17 +177,17 @@ def validate_catalog(catalog: DataFrame) -> DataFrame:
         F.count_if(F.col("section") == "target_variables").alias("targets"),
     )
     found = F.array_compact(F.array(
-        F.when(F.col("users") == 0, F.struct(F.lit("warning").alias("level"), F.lit("No user features detected").alias("message"))),
-        F.when(F.col("items") == 0, F.struct(F.lit("warning").alias("level"), F.lit("No item features detected").alias("message"))),
+        F.when(F.col("users") == 0, F.struct(F.lit("warning").alias("level"), F.lit(NO_USERS).alias("message"))),
+        F.when(F.col("items") == 0, F.struct(F.lit("warning").alias("level"), F.lit(NO_ITEMS).alias("message"))),
         F.when(F.col("targets") == 0, F.struct(
             F.lit("issue").alias("level"),
-            F.lit("No target variables (interaction signals) detected").alias("message"))),
+            F.lit(NO_TARGETS).alias("message"))),
     ))
     sections = counts.select(F.explode(found).alias("f")).select("f.*")
     repeated = (
         catalog.where(F.col("section") != "target_variables").groupBy("column").agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") > 1)
-        .select(F.lit("warning").alias("level"), F.concat(F.lit("Duplicate feature name: "), "column").alias("message"))
+        .select(F.lit("warning").alias("level"), F.concat(F.lit(REPEATED), "column").alias("message"))
     )
     return sections.unionByName(repeated)
 

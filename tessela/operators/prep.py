@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from tessela.functions.ordering import position_in_group
+from tessela.functions.ordering import global_numbers, position_in_group
 from tessela.functions.quantiles import exact_quantiles
 from tessela.roles import Roles
+from tessela.session import materialize
 
 # Label columns in order of preference.
 LABEL_NAMES = ("label", "target", "rating", "click")
@@ -33,15 +34,14 @@ def with_label(df: DataFrame, column: str | None = None) -> DataFrame:
 
 def category_index(df: DataFrame, column: str, ts: str) -> DataFrame:
     """(value, index): distinct values numbered from 1 by first appearance, then by value."""
-    seen = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(ts).alias("__first")).withColumn("__all", F.lit(0))
-    placed = position_in_group(seen, ["__all"], "__first", [column], "index")
-    return placed.select(column, "index")
+    seen = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(ts).alias("__first"))
+    return global_numbers(seen, ["__first", column], "index").select(column, "index")
 
 
-def index_categories(df: DataFrame, columns: Sequence[str], ts: str, limit: int = 10) -> DataFrame:
-    """Add ``<column>_index`` for the first ``limit`` columns; nulls get 0."""
+def index_categories(df: DataFrame, columns: Sequence[str], ts: str) -> DataFrame:
+    """Add ``<column>_index`` for every given column; nulls get 0."""
     result = df
-    for c in list(columns)[:limit]:
+    for c in columns:
         mapping = category_index(df, c, ts).withColumnRenamed("index", f"{c}_index")
         result = result.join(mapping, c, "left").withColumn(f"{c}_index", F.coalesce(f"{c}_index", F.lit(0)))
     return result
@@ -100,33 +100,45 @@ def _draw(parts: Sequence[Column | str], salt: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
-def item_slots(df: DataFrame, item: str, buckets: int) -> DataFrame:
-    """(bucket, slot, item): the distinct items spread over hash buckets and numbered from 0 inside each."""
-    items = df.select(item).distinct().withColumn("bucket", F.pmod(_draw([item], F.lit("bucket")), F.lit(buckets)))
-    return items.withColumn("slot", (F.row_number().over(Window.partitionBy("bucket").orderBy(item)) - 1).cast("long"))
+UNSEEN_BUCKET = 4096
 
 
-def negative_samples(df: DataFrame, roles: Roles, ratio: int = 4, buckets: int = 64) -> DataFrame:
+def negative_samples(df: DataFrame, roles: Roles, ratio: int = 4) -> DataFrame:
     """(user, item, draw, negative_item): per interacted pair ``ratio`` drawn items the user never touched.
 
-    A draw names a bucket and a slot in it, so it finds its item with an equi-join and no global numbering. ``buckets``
-    rows hold the bucket sizes. Draws that hit the user's history leave.
+    Items are numbered without gaps. A draw names a rank among the user's unseen items, so no draw is lost and all unseen
+    items are equally likely; only a user who has seen every item gets none. The r-th unseen item is item r + k, where k
+    seen items stand before it: of the seen items in order, those whose number less their own rank is at most r. Seen
+    items and draws of a user meet in ranges of ``UNSEEN_BUCKET`` numbers, with counts of the ranges before.
     """
-    pairs = df.select(roles.user, roles.item).distinct()
-    slots = item_slots(df, roles.item, buckets)
-    sizes = slots.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
-    drawn = pairs.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(ratio))))
-    key = [roles.user, roles.item]
-    drawn = drawn.withColumn("bucket", F.pmod(_draw(key, F.concat(F.lit("b"), F.col("draw").cast("string"))), F.lit(buckets)))
-    # one row per bucket
-    drawn = drawn.join(F.broadcast(sizes), "bucket").withColumn(
-        "slot", F.pmod(_draw(key, F.concat(F.lit("s"), F.col("draw").cast("string"))), F.col("size"))
-    )
-    found = drawn.join(slots.withColumnRenamed(roles.item, "negative_item"), ["bucket", "slot"])
-    seen = pairs.withColumnRenamed(roles.item, "negative_item")
-    return found.join(seen, [roles.user, "negative_item"], "left_anti").select(
-        roles.user, roles.item, "draw", "negative_item"
-    )
+    user, item = roles.user, roles.item
+    pairs = df.select(user, item).where(F.col(user).isNotNull() & F.col(item).isNotNull()).distinct()
+    numbers = materialize(global_numbers(pairs.select(item).distinct(), [item], "number", first=0), "item-numbers")
+    total = numbers.count()
+    seen = pairs.join(numbers, item).select(user, "number")
+    width = F.lit(UNSEEN_BUCKET)
+
+    def earlier(rows: DataFrame, count: Column) -> DataFrame:
+        """(user, range, before): the summed ``count`` of the user's ranges before each range."""
+        sums = rows.groupBy(user, "range").agg(F.sum(count).alias("n"))
+        before = Window.partitionBy(user).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+        return sums.select(user, "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+
+    ranged = seen.withColumn("range", F.floor(F.col("number") / width))
+    inside = Window.partitionBy(user, "range").orderBy("number")
+    placed = ranged.join(earlier(ranged, F.lit(1)), [user, "range"]).select(
+        user, (F.col("number") - F.col("before") - F.row_number().over(inside) + 1).alias("key"))
+    history = seen.groupBy(user).agg(F.count(F.lit(1)).alias("__seen")).where(F.col("__seen") < total)
+    drawn = pairs.join(history, user).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(ratio))))
+    salt = F.concat(F.lit("n"), F.col("draw").cast("string"))
+    drawn = drawn.select(user, item, "draw", F.pmod(_draw([user, item], salt), F.lit(total) - F.col("__seen")).alias("key"))
+    both = placed.select(user, F.lit(None).cast(df.schema[item].dataType).alias(item), F.lit(0).alias("draw"), "key").unionByName(drawn)
+    both = both.withColumn("range", F.floor(F.col("key") / width))
+    is_seen = (F.col("draw") == 0).cast("long")
+    upto = Window.partitionBy(user, "range").orderBy("key", "draw", item).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.join(earlier(both, is_seen), [user, "range"]).withColumn("k", F.col("before") + F.sum(is_seen).over(upto))
+    chosen = found.where(F.col("draw") > 0).select(user, item, "draw", (F.col("key") + F.col("k")).alias("number"))
+    return chosen.join(numbers.withColumnRenamed(item, "negative_item"), "number").select(user, item, "draw", "negative_item")
 
 
 def positive_pairs(df: DataFrame, roles: Roles, user_table: DataFrame, item_table: DataFrame) -> DataFrame:

@@ -14,19 +14,28 @@ from tessela.operators.recommend import days_before, recent_pairs
 from tessela.roles import Roles
 
 
-def mmr(recs: DataFrame, item_vectors: DataFrame, k: int = 10, weight: float = 0.5, pool: int = 100) -> DataFrame:
-    """Maximal marginal relevance (Carbonell and Goldstein 1998) over each user's ``pool`` best candidates.
+MAX_LIST = 100_000
+
+
+def mmr(recs: DataFrame, item_vectors: DataFrame, k: int = 10, weight: float = 0.5, pool: int | None = None) -> DataFrame:
+    """Maximal marginal relevance (Carbonell and Goldstein 1998) over each user's candidate list, or its ``pool`` best.
 
     Each step takes the item with the largest weight * score - (1 - weight) * largest cosine to the items taken, ties by
-    item. The pool is the candidate list of the retrieval step, so a user's group has at most ``pool`` rows.
+    item. An item without a vector is like no other. A list is what the retrieval step returned for one user; more than
+    MAX_LIST candidates stop with an error instead of being cut.
     """
-    order = Window.partitionBy("user_id").orderBy(F.col("score").desc(), "item_id")
-    pooled = recs.withColumn("__rn", F.row_number().over(order)).where(F.col("__rn") <= pool)
-    rows = pooled.join(item_vectors.select("item_id", "vector"), "item_id").select("user_id", "item_id", "score", "vector")
+    if pool is not None:
+        order = Window.partitionBy("user_id").orderBy(F.col("score").desc(), "item_id")
+        recs = recs.withColumn("__rn", F.row_number().over(order)).where(F.col("__rn") <= pool)
+    known = item_vectors.select("item_id", "vector")
+    rows = recs.join(known, "item_id", "left").select("user_id", "item_id", "score", "vector")
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > MAX_LIST:
+            raise ValueError(f"a list of {len(pdf)} candidates; give mmr a pool")
         pdf = pdf.sort_values("item_id").reset_index(drop=True)
-        vectors = np.stack(pdf["vector"].to_numpy()).astype(float)
+        given = [v for v in pdf["vector"] if v is not None]
+        vectors = np.stack([np.zeros(len(given[0]) if given else 1) if v is None else v for v in pdf["vector"]]).astype(float)
         lengths = np.linalg.norm(vectors, axis=1, keepdims=True)
         unit = vectors / np.where(lengths > 0, lengths, 1.0)
         relevance = pdf["score"].to_numpy(dtype=float)

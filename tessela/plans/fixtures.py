@@ -69,7 +69,7 @@ X2 = """x2 AS (
 
 K1 = f"""{X2}, wt(event_type, w, d) AS (VALUES ('click', 1.0::DOUBLE, 30.0::DOUBLE), ('view', 0.5, 14.0),
     ('purchase', 5.0, 90.0), ('rating', 2.0, 60.0), ('dwell_time', 1.5, 30.0)),
-  k1 AS (SELECT x2.*, w, w * exp(-((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(ts)) / 86400000000.0::DOUBLE) / d) AS weight
+  k1 AS (SELECT x2.*, w, w * exp(-greatest((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(ts)) / 86400000000.0::DOUBLE, 0) / d) AS weight
          FROM x2 JOIN wt USING (event_type))"""
 
 

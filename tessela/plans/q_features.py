@@ -216,17 +216,22 @@ def _picked(spark: SparkSession, sf_dir: str, names: tuple[str, ...], weight: st
     return specs.features_from_specs(order_interactions(spark, sf_dir), ORDER_ROLES, wanted, AS_OF_ORDERS)
 
 
+def _entities(spark: SparkSession, sf_dir: str, key: str, names: tuple[str, ...]) -> DataFrame:
+    wanted = [s for s in specs.default_specs(ORDER_ROLES, "price") if s.name in names]
+    return specs.entity_features(order_interactions(spark, sf_dir), wanted, key, AS_OF_ORDERS)
+
+
 @query("e17_engagement_score", f"""
 WITH {X1} SELECT user_id, round(sum(signal * price), 2) AS user_engagement_score FROM x1 GROUP BY 1""")
 def e17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _picked(spark, sf_dir, ("user_engagement_score",)).select(
-        "user_id", rounded("user_engagement_score", 2).alias("user_engagement_score")).distinct()
+    made = _entities(spark, sf_dir, "user_id", ("user_engagement_score",))
+    return made.select("user_id", rounded("user_engagement_score", 2).alias("user_engagement_score"))
 
 
 @query("e18_item_age_days", f"""
 WITH {X1}, {_BY_ITEM} SELECT item_id, item_age_days FROM i""")
 def e18(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _picked(spark, sf_dir, ("item_age_days",)).select("item_id", "item_age_days").distinct()
+    return _entities(spark, sf_dir, "item_id", ("item_age_days",))
 
 
 @query("e19_signal_spread", f"""
@@ -234,8 +239,11 @@ WITH {X1}, {_BY_USER}, {_BY_ITEM} SELECT DISTINCT user_id, item_id, round(user_m
   round(user_signal_std, 6) AS user_signal_std, round(item_signal_variance, 6) AS item_signal_variance
 FROM x1 JOIN u USING (user_id) JOIN i USING (item_id)""")
 def e19(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ("user_mean_signal", "user_signal_std", "item_signal_variance")
-    return _picked(spark, sf_dir, names).select("user_id", "item_id", *[rounded(n).alias(n) for n in names]).distinct()
+    users = _entities(spark, sf_dir, "user_id", names := ("user_mean_signal", "user_signal_std"))
+    items = _entities(spark, sf_dir, "item_id", ("item_signal_variance",))
+    pairs = order_interactions(spark, sf_dir).select("user_id", "item_id").distinct()
+    made = pairs.join(users, "user_id").join(items, "item_id")
+    return made.select("user_id", "item_id", *[rounded(n).alias(n) for n in (*names, "item_signal_variance")])
 
 
 @query("e20_time_specs", f"""
@@ -321,15 +329,15 @@ def _draw_sql(text: str) -> str:
 
 @query("f7_negative_samples", f"""
 WITH {X2}, p AS (SELECT DISTINCT user_id, item_id FROM x2),
-  i AS (SELECT item_id, {_draw_sql("item_id || '|bucket'")} % 8 AS bucket FROM (SELECT DISTINCT item_id FROM x2)),
-  s AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY item_id) - 1 AS slot, count(*) OVER (PARTITION BY bucket) AS size FROM i),
-  z AS (SELECT DISTINCT bucket, size FROM s),
-  d AS (SELECT *, {_draw_sql("user_id || '|' || item_id || '|b' || draw")} % 8 AS bucket FROM p CROSS JOIN (SELECT unnest(range(1, 5)) AS draw)),
-  f AS (SELECT d.*, {_draw_sql("user_id || '|' || item_id || '|s' || draw")} % size AS slot FROM d JOIN z USING (bucket)),
-  n AS (SELECT f.user_id, f.item_id, f.draw, s.item_id AS negative_item FROM f JOIN s USING (bucket, slot))
-SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.user_id = n.user_id AND p.item_id = n.negative_item)""")
+  i AS MATERIALIZED (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS number FROM (SELECT DISTINCT item_id FROM x2)),
+  s AS MATERIALIZED (SELECT user_id, number, number - row_number() OVER (PARTITION BY user_id ORDER BY number) + 1 AS key FROM p JOIN i USING (item_id)),
+  h AS (SELECT user_id, count(*) AS n FROM s GROUP BY 1),
+  d AS MATERIALIZED (SELECT p.user_id, p.item_id, draw, {_draw_sql("p.user_id || '|' || p.item_id || '|n' || draw")} % ((SELECT count(*) FROM i) - n) AS r
+    FROM p JOIN h USING (user_id) CROSS JOIN (SELECT unnest(range(1, 5)) AS draw) WHERE n < (SELECT count(*) FROM i)),
+  k AS (SELECT d.user_id, d.item_id, draw, r, count(s.key) AS k FROM d LEFT JOIN s ON s.user_id = d.user_id AND s.key <= d.r GROUP BY ALL)
+SELECT user_id, k.item_id, draw, i.item_id AS negative_item FROM k JOIN i ON i.number = r + k.k""")
 def f7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prep.negative_samples(event_interactions(spark, sf_dir), EVENT_ROLES, ratio=4, buckets=8).withColumn(
+    return prep.negative_samples(event_interactions(spark, sf_dir), EVENT_ROLES, ratio=4).withColumn(
         "draw", F.col("draw").cast("long"))
 
 

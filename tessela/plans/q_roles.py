@@ -249,32 +249,27 @@ def c15(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _walk_sql(order: str, edges: str) -> str:
-    """Sequential walk over ordered edges: take one when its column and role are free."""
+    """Again and again the first edge in order whose column and role are both free."""
     return f"""numbered AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY {order}) AS rn FROM {edges}),
   walk AS (
-    SELECT 0::BIGINT AS rn, []::VARCHAR[] AS cols, []::VARCHAR[] AS roles, NULL::VARCHAR AS c, NULL::VARCHAR AS r, NULL::DOUBLE AS f
+    SELECT []::VARCHAR[] AS cols, []::VARCHAR[] AS roles, NULL::VARCHAR AS c, NULL::VARCHAR AS r, NULL::DOUBLE AS f
     UNION ALL
-    SELECT n.rn, CASE WHEN t THEN list_append(cols, n."column") ELSE cols END,
-      CASE WHEN t THEN list_append(roles, n.role) ELSE roles END,
-      CASE WHEN t THEN n."column" END, CASE WHEN t THEN n.role END, CASE WHEN t THEN n.confidence END
-    FROM (SELECT w.cols, w.roles, n.*, NOT list_contains(w.cols, n."column") AND NOT list_contains(w.roles, n.role) AS t
-          FROM walk w JOIN numbered n ON n.rn = w.rn + 1) n)
+    SELECT list_append(cols, e."column"), list_append(roles, e.role), e."column", e.role, e.confidence
+    FROM (SELECT w.cols, w.roles, min(n.rn) AS rn FROM walk w JOIN numbered n
+            ON NOT list_contains(w.cols, n."column") AND NOT list_contains(w.roles, n.role) GROUP BY 1, 2) JOIN numbered e USING (rn))
   SELECT c AS "column", r AS role, f AS confidence FROM walk WHERE c IS NOT NULL"""
 
 
 @query("c16_assign_one_to_one", f"""
-WITH RECURSIVE {FINE_PAIRS}, kept AS (SELECT "column", role, confidence FROM (
-    SELECT *, row_number() OVER (PARTITION BY role ORDER BY confidence DESC, "column") AS k FROM pairs) WHERE k <= 20),
-{_walk_sql('confidence DESC, "column", role', 'kept')}""")
+WITH RECURSIVE {FINE_PAIRS},
+{_walk_sql('confidence DESC, "column", role', 'pairs')}""")
 def c16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.assign_one_to_one(fine_pairs(spark, sf_dir))
 
 
 @query("c16b_assign_by_column", f"""
 WITH RECURSIVE {FINE_PAIRS}, b AS (SELECT *, max(confidence) OVER (PARTITION BY "column") AS best FROM pairs),
-kept AS (SELECT "column", role, confidence, best FROM (
-    SELECT *, row_number() OVER (PARTITION BY role ORDER BY best DESC, "column") AS k FROM b) WHERE k <= 20),
-{_walk_sql('best DESC, "column", confidence DESC, role', 'kept')}""")
+{_walk_sql('best DESC, "column", confidence DESC, role', 'b')}""")
 def c16b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.assign_by_column(fine_pairs(spark, sf_dir))
 

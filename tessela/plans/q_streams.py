@@ -15,10 +15,10 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_columns(streams.feedback_stream(spark, sf_dir, EVENT_SCHEMA, glob="events.parquet"))
 
 
-@query("s1_feedback_stream", f"WITH {X2} SELECT event_id, user_id, item_id, event_type, value FROM x2")
+@query("s1_feedback_stream", f"WITH {X2} SELECT event_id, user_id, item_id, event_type, value, epoch_us(ts) AS us FROM x2")
 def s1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = streams.run_available(_events(spark, sf_dir).drop("ts"), "feedback", "append")
-    return rows.drop("batch")
+    rows, _ = streams.run_available(_events(spark, sf_dir), "feedback", "append")
+    return rows.withColumn("us", F.unix_micros("ts")).drop("batch", "ts")
 
 
 @query("s2_dedupe", "SELECT event_type, count(*) AS rows, count(DISTINCT event_id) AS ids FROM events GROUP BY 1")
@@ -30,8 +30,8 @@ def s2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _windows(spark: SparkSession, sf_dir: str, slide: str | None, keys: tuple[str, ...]) -> DataFrame:
     counted = streams.window_counts(_events(spark, sf_dir), keys, slide=slide)
-    rows, _ = streams.run_available(counted, "windows", "complete")
-    return streams.last_complete(rows).select(
+    rows, _ = streams.run_available(counted, "windows", "update")
+    return streams.latest(rows, ("window_start", "window_end", *keys)).select(
         F.unix_seconds("window_start").alias("window_start"), F.unix_seconds("window_end").alias("window_end"), *keys, "rows")
 
 
@@ -52,19 +52,19 @@ def s3_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("s4_stream_sessions", f"""
 WITH {X2}, l AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM x2),
   n AS (SELECT *, sum(CASE WHEN p IS NULL OR epoch_us(ts) - epoch_us(p) >= 1800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM l)
-SELECT user_id, epoch_us(min(ts)) AS session_start, epoch_us(max(ts)) + 1800000000 AS session_end, count(*) AS rows FROM n GROUP BY user_id, s""")
+SELECT user_id, epoch_us(min(ts)) AS session_start, epoch_us(max(ts)) + 1800000000 AS session_end, count(*) AS rows FROM n GROUP BY user_id, s
+HAVING epoch_us(max(ts)) + 1800000000 <= (SELECT epoch_ms(max(ts)) * 1000 - 3600000000 FROM x2)""")
 def s4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
-    rows, _ = streams.run_available(streams.stream_sessions(_events(spark, sf_dir)), "sessions", "complete")
-    return streams.last_complete(rows).select(
+    rows, _ = streams.run_available(streams.stream_sessions(_events(spark, sf_dir)), "sessions", "append")
+    return rows.select(
         "user_id", F.unix_micros("session_start").alias("session_start"), F.unix_micros("session_end").alias("session_end"), "rows")
 
 
 @query("s5_running_preference", f"""
 WITH {K1} SELECT user_id, item_id, sum(w) AS preference, count(*) AS rows, epoch_us(max(ts)) AS last_us FROM k1 GROUP BY 1, 2""")
 def s5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = streams.run_available(streams.running_preference(_events(spark, sf_dir)), "preference", "update")
-    return streams.latest(rows, ("user_id", "item_id")).select(
+    rows = streams.run_merged(_events(spark, sf_dir), streams.preference_delta, streams.merge_preference, "preference")
+    return rows.select(
         "user_id", "item_id", "preference", "rows", F.unix_micros("last_ts").alias("last_us"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from tessela.roles import SIGNAL_WEIGHTS
-from tessela.session import scratch_path
+from tessela.session import remove_folder, scratch_path
 
 
 def feedback_stream(
@@ -43,20 +43,26 @@ def window_counts(
 
 
 def stream_sessions(stream: DataFrame, user: str = "user_id", ts: str = "ts", gap: str = "30 minutes", lateness: str = "1 hour") -> DataFrame:
-    """Sessions of each user, closed by a pause of the gap."""
+    """Sessions of each user, closed by a pause of the gap; in append mode a session leaves once the watermark passes it."""
     grouped = stream.withWatermark(ts, lateness).groupBy(user, F.session_window(ts, gap).alias("w"))
     return grouped.agg(F.count(F.lit(1)).alias("rows")).select(
         user, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "rows")
 
 
-def running_preference(stream: DataFrame) -> DataFrame:
-    """Summed weight and number of rows per user, item and event type; decay is applied when it is read."""
+def preference_delta(rows: DataFrame) -> DataFrame:
+    """What the rows of one micro-batch add per user and item: weight, number of rows, last time; decay is for the reader."""
     weights = F.create_map(*[part for name, w, _ in SIGNAL_WEIGHTS for part in (F.lit(name), F.lit(float(w)))])
-    known = stream.where(F.col("event_type").isin(*[w[0] for w in SIGNAL_WEIGHTS]))
+    known = rows.where(F.col("event_type").isin(*[w[0] for w in SIGNAL_WEIGHTS]))
     return known.groupBy("user_id", "item_id").agg(
         F.sum(weights[F.col("event_type")]).alias("preference"), F.count(F.lit(1)).alias("rows"), F.max("ts").alias("last_ts"))
 
 
+def merge_preference(parts: DataFrame) -> DataFrame:
+    """The sum of deltas."""
+    return parts.groupBy("user_id", "item_id").agg(
+        F.sum("preference").alias("preference"), F.sum("rows").alias("rows"), F.max("last_ts").alias("last_ts"))
+
+
 def enrich(stream: DataFrame, items: DataFrame, key: str = "item_id") -> DataFrame:
     """Each event with the attributes of its item, also where the item is unknown."""
     return stream.join(items, key, "left")
@@ -132,18 +138,53 @@ def run_available(stream: DataFrame, name: str, output_mode: str) -> tuple[DataF
     )
     query.awaitTermination()
     reports = [p.json for p in query.recentProgress]
+    remove_folder(spark, checkpoint)
     batches = StructType([*stream.schema.fields])
     written = spark.read.schema(batches.add("batch", "long")).option("basePath", target).parquet(target)
     return written, reports
 
 
+COMPACT_EVERY = 16
+
+
+def run_merged(
+    stream: DataFrame, delta: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame], DataFrame], name: str,
+    compact_every: int = COMPACT_EVERY,
+) -> DataFrame:
+    """Process all available input into a table of deltas that ``merge`` sums; no streaming state is kept.
+
+    Each batch writes the delta of its own rows under its number, so a repeated batch changes nothing. Every
+    ``compact_every`` batches the parts become one; a part says up to which batch it reaches, and readers start there.
+    """
+    spark = stream.sparkSession
+    target, checkpoint = scratch_path(spark, name), scratch_path(spark, f"{name}-checkpoint")
+    schema = merge(delta(spark.createDataFrame([], stream.schema))).schema
+    base = {"upto": -1, "path": f"{target}/base=-1"}
+    spark.createDataFrame([], schema).write.parquet(base["path"])
+
+    def parts(last: int) -> DataFrame:
+        paths = [base["path"], *[f"{target}/delta={b}" for b in range(base["upto"] + 1, last + 1)]]
+        return spark.read.schema(schema).parquet(*paths)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        delta(batch).write.mode("overwrite").parquet(f"{target}/delta={batch_id}")
+        last["id"] = batch_id
+        if batch_id - base["upto"] >= compact_every:
+            path = f"{target}/base={batch_id}"
+            merge(parts(batch_id)).write.mode("overwrite").parquet(path)
+            old = [base["path"], *[f"{target}/delta={b}" for b in range(base["upto"] + 1, batch_id + 1)]]
+            base.update(upto=batch_id, path=path)
+            for folder in old:
+                remove_folder(spark, folder)
+
+    last = {"id": -1}
+    query = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+    query.awaitTermination()
+    remove_folder(spark, checkpoint)
+    return merge(parts(last["id"]))
+
+
 def latest(written: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The newest version of each key from a query in update mode."""
     values = [c for c in written.columns if c not in (*keys, "batch")]
     return written.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*keys, "v.*")
-
-
-def last_complete(written: DataFrame) -> DataFrame:
-    """The result of the last batch of a query in complete mode."""
-    newest = written.agg(F.max("batch").alias("b")).scalar()
-    return written.where(F.col("batch") == newest).drop("batch")
