@@ -15,11 +15,12 @@ import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from tessela.functions import vectors
+from tessela.session import materialize
 
 # Id columns in order of preference.
 ID_NAMES = ("item_id", "id", "ItemId", "product_id")
@@ -48,34 +49,41 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
-def _best_k(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best entries of one row, by score then id."""
-    if len(scores) > k:
-        bound = np.partition(scores, len(scores) - k)[len(scores) - k]
-        kept = np.flatnonzero(scores >= bound)
+def _best_k(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k best finite entries of each row of a score matrix, by score then id."""
+    if scores.shape[1] > k:
+        bound = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+        row, column = np.nonzero((scores >= bound[:, None]) & np.isfinite(scores))
     else:
-        kept = np.arange(len(scores))
-    return kept[np.lexsort((ids[kept], -scores[kept]))[:k]]
+        row, column = np.nonzero(np.isfinite(scores))
+    order = np.lexsort((ids[column], -scores[row, column], row))
+    row, column = row[order], column[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], column[place < k]
+
+
+_FOUND = ["query_id", "id", "score"]
+
+
+def _top_of_batches(queries: pd.DataFrame, ids: np.ndarray, score, k: int, exclude_self: bool) -> pd.DataFrame:
+    """The k best of each query; ``score`` gives a score matrix for a batch of query vectors."""
+    if queries.empty or not len(ids):
+        return pd.DataFrame(columns=_FOUND)
+    names, parts = queries["query_id"].to_numpy(), []
+    for at in range(0, len(queries), 256):
+        batch = names[at:at + 256]
+        scores = np.round(score(_matrix(queries["vector"].iloc[at:at + 256])), SCORE_DIGITS)
+        if exclude_self:
+            scores = np.where(batch[:, None] == ids[None, :], -np.inf, scores)
+        row, column = _best_k(scores, ids, k)
+        parts.append((batch[row], ids[column], scores[row, column]))
+    return pd.DataFrame(dict(zip(_FOUND, (np.concatenate(c) for c in zip(*parts)))))
 
 
 def _block_top_k(k: int, exclude_self: bool):
     def work(queries: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
-        columns = ["query_id", "id", "score"]
-        if queries.empty or base.empty:
-            return pd.DataFrame(columns=columns)
-        qid, bid = queries["query_id"].to_numpy(), base["id"].to_numpy()
-        base_vectors = _matrix(base["vector"])
-        found = []
-        for at in range(0, len(queries), 256):
-            part = _matrix(queries["vector"].iloc[at:at + 256])
-            scores = np.round(part @ base_vectors.T, SCORE_DIGITS)
-            for row, q in zip(scores, qid[at:at + 256]):
-                if exclude_self:
-                    row = np.where(bid == q, -np.inf, row)
-                best = _best_k(row, bid, k)
-                best = best[np.isfinite(row[best])]
-                found.append(pd.DataFrame({"query_id": q, "id": bid[best], "score": row[best]}))
-        return pd.concat(found, ignore_index=True) if found else pd.DataFrame(columns=columns)
+        vectors_ = _matrix(base["vector"]).T if len(base) else None
+        return _top_of_batches(queries, base["id"].to_numpy(), lambda q: q @ vectors_, k, exclude_self)
 
     return work
 
@@ -101,7 +109,10 @@ def _grid(queries: DataFrame, base: DataFrame, block_rows: int) -> tuple[DataFra
     Each query is copied once per base slice and each base vector once per query slice, which is what comparing every
     query with every base vector needs when neither side has a size bound.
     """
-    query_slices, base_slices = _slices(queries, block_rows), _slices(base, block_rows)
+    base_slices = _slices(base, block_rows)
+    count = queries.count()
+    parallel = min(queries.sparkSession.sparkContext.defaultParallelism, -(-count // 256))
+    query_slices = max(1, -(-count // block_rows), -(-parallel // base_slices))
     q = queries.withColumn("qs", F.pmod(F.xxhash64("query_id"), F.lit(query_slices))).withColumn(
         "bs", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(base_slices - 1).cast("long"))))
     b = base.withColumn("bs", F.pmod(F.xxhash64("id"), F.lit(base_slices))).withColumn(
@@ -162,11 +173,6 @@ def similar_above(queries: DataFrame, base: DataFrame, threshold: float, block_r
     )
 
 
-def _training_sample(df: DataFrame, rows: int, seed: int) -> DataFrame:
-    n = df.count()
-    return df if n <= rows else df.sample(fraction=rows / n, seed=seed)
-
-
 def _centroids(sample: DataFrame, k: int, seed: int) -> np.ndarray:
     model = KMeans(k=k, seed=seed, maxIter=10, featuresCol="features").fit(
         sample.select(array_to_vector(vectors.as_doubles(F.col("vector"))).alias("features"))
@@ -175,7 +181,7 @@ def _centroids(sample: DataFrame, k: int, seed: int) -> np.ndarray:
 
 
 class IvfIndex:
-    """Vectors with the cell of their nearest centroid. The centroids, at most ``nlist``, are known to the driver."""
+    """Vectors by the cell of their nearest centroid, as a written table; the centroids are known to the driver."""
 
     def __init__(self, table: DataFrame, centroids: np.ndarray):
         self.table = table
@@ -185,6 +191,18 @@ class IvfIndex:
     def nlist(self) -> int:
         return len(self.centroids)
 
+    def save(self, folder: str) -> None:
+        """Two tables below ``folder``: the rows, clustered by cell, and the centroids."""
+        spark = self.table.sparkSession
+        self.table.repartition("cell").sortWithinPartitions("cell", "id").write.mode("overwrite").parquet(f"{folder}/rows")
+        rows = [(i, [float(x) for x in c]) for i, c in enumerate(self.centroids)]
+        spark.createDataFrame(rows, "cell int, centroid array<double>").coalesce(1).write.mode("overwrite").parquet(f"{folder}/centroids")
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> IvfIndex:
+        rows = spark.read.parquet(f"{folder}/centroids").orderBy("cell").collect()
+        return cls(spark.read.parquet(f"{folder}/rows"), np.array([r["centroid"] for r in rows]))
+
 
 def _nearest_cells(vector: Column, centroids: np.ndarray, n: int) -> Column:
     """The n nearest centroids by distance, from one matrix product per Arrow batch."""
@@ -195,20 +213,21 @@ def _nearest_cells(vector: Column, centroids: np.ndarray, n: int) -> Column:
         if batch.empty:
             return pd.Series([], dtype=object)
         distances = lengths - 2 * (_matrix(batch) @ centroids.T)
-        return pd.Series(list(np.argsort(distances, axis=1, kind="stable")[:, :n].astype(np.int32)))
+        near = np.argpartition(distances, n - 1, axis=1)[:, :n] if n < len(centroids) else np.tile(np.arange(n), (len(batch), 1))
+        return pd.Series(list(near.astype(np.int32)))
 
     return nearest(vector)
 
 
-def ivf_build(
-    base: DataFrame, nlist: int = 1024, sample_rows: int = 1_000_000, seed: int = 7, per_cell: int = 256
-) -> IvfIndex:
-    """Coarse cells from KMeans on a sample, at least ``per_cell`` vectors to a cell on average. Write the table partitioned by
-    ``cell`` to let later searches read only the cells they probe."""
-    cells = min(nlist, max(1, base.count() // per_cell))
-    centroids = _centroids(_training_sample(base, sample_rows, seed), cells, seed)
+def ivf_build(base: DataFrame, nlist: int | None = None, share: float = 1.0, seed: int = 7) -> IvfIndex:
+    """Coarse cells from KMeans on all vectors, or on a stated ``share`` of them; the root of the count by default.
+
+    The table is written once, clustered by cell, so that searches neither assign again nor read cells they do not probe.
+    """
+    cells = nlist or max(1, round(base.count() ** 0.5))
+    centroids = _centroids(base if share >= 1 else base.sample(share, seed), cells, seed)
     table = base.withColumn("cell", F.element_at(_nearest_cells(F.col("vector"), centroids, 1), 1))
-    return IvfIndex(table, centroids)
+    return IvfIndex(materialize(table.repartition("cell").sortWithinPartitions("cell"), "ivf"), centroids)
 
 
 def default_nprobe(nlist: int) -> int:
@@ -246,82 +265,93 @@ def ivf_search(
 
 
 class PqIndex:
-    """Vectors as one code per part. The codebooks, m times 2^nbits short centroids, are known to the driver."""
+    """Vectors by cell, as one code per part of what is left after their centroid. The driver knows centroids and codebooks."""
 
-    def __init__(self, table: DataFrame, codebooks: np.ndarray):
+    def __init__(self, table: DataFrame, centroids: np.ndarray, codebooks: np.ndarray):
         self.table = table
+        self.centroids = centroids
         self.codebooks = codebooks
 
 
 def pq_build(
-    base: DataFrame, dim: int, m: int = 64, nbits: int = 8, sample_rows: int = 100_000, seed: int = 7
+    base: DataFrame, dim: int, m: int = 64, nbits: int = 8, nlist: int | None = None, share: float = 1.0, seed: int = 7
 ) -> PqIndex:
-    """Cut each vector in m equal parts and replace each part by the nearest of 2^nbits centroids of that part."""
+    """Coarse cells, and for each of m equal parts of the residuals the nearest of 2^nbits centroids of that part."""
     if dim % m:
         raise ValueError(f"m={m} does not divide the dimension {dim}")
     width = dim // m
-    sample = _training_sample(base, sample_rows, seed).select(vectors.as_doubles(F.col("vector")).alias("vector")).persist()
+    coarse = ivf_build(base.select("id", "vector"), nlist, share, seed)
+    centroids = coarse.centroids
+
+    @F.pandas_udf("array<double>")
+    def residual(batch: pd.Series, cell: pd.Series) -> pd.Series:
+        return pd.Series(list(_matrix(batch) - centroids[cell.to_numpy()])) if len(batch) else pd.Series([], dtype=object)
+
+    left = materialize(coarse.table.select("id", "cell", residual("vector", "cell").alias("residual")), "pq-residuals")
+    chosen = left if share >= 1 else left.sample(share, seed)
     books = []
     for part in range(m):
-        piece = sample.select(F.slice("vector", part * width + 1, width).alias("vector"))
-        centers = _centroids(piece, 2 ** nbits, seed)
+        centers = _centroids(chosen.select(F.slice("residual", part * width + 1, width).alias("vector")), 2 ** nbits, seed)
         # fewer distinct parts than codes: repeat the last centroid so that all books have one shape
         books.append(np.vstack([centers, np.repeat(centers[-1:], 2 ** nbits - len(centers), axis=0)]))
-    sample.unpersist()
     codebooks = np.stack(books)
+    lengths = (codebooks ** 2).sum(axis=2)
 
     @F.pandas_udf("array<smallint>")
     def encode(batch: pd.Series) -> pd.Series:
         if batch.empty:
             return pd.Series([], dtype=object)
-        parts = _matrix(batch).reshape(len(batch), m, width)
-        codes = np.empty((len(batch), m), dtype=np.int16)
-        for p in range(m):
-            distances = (codebooks[p] ** 2).sum(axis=1) - 2 * (parts[:, p] @ codebooks[p].T)
-            codes[:, p] = distances.argmin(axis=1)
-        return pd.Series(list(codes))
+        codes = []
+        for at in range(0, len(batch), 256):
+            parts = _matrix(batch.iloc[at:at + 256]).reshape(-1, m, width)
+            codes.append((lengths - 2 * np.einsum("bmw,mcw->bmc", parts, codebooks, optimize=True)).argmin(axis=2))
+        return pd.Series(list(np.concatenate(codes).astype(np.int16)))
 
-    return PqIndex(base.select("id", encode(F.col("vector")).alias("codes")), codebooks)
+    return PqIndex(materialize(left.select("id", "cell", encode("residual").alias("codes")), "pq-codes"), centroids, codebooks)
 
 
 def pq_search(
-    queries: DataFrame, index: PqIndex, k: int = 10, exclude_self: bool = False, block_rows: int = BLOCK_ROWS
+    queries: DataFrame, index: PqIndex, k: int = 10, nprobe: int | None = None, exclude_self: bool = False,
+    refine: DataFrame | None = None, factor: int = 10, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Inner products of the query with the coded vectors, read from one lookup table per query."""
-    codebooks = index.codebooks
+    """Inner products with the coded vectors of the probed cells: that of the centroid plus one lookup per part.
+
+    With ``refine`` (id, vector), the ``k * factor`` best by code are scored again with their own vectors.
+    """
+    centroids, codebooks = index.centroids, index.codebooks
     m, _, width = codebooks.shape
+    probes = min(len(centroids), nprobe or default_nprobe(len(centroids)))
+    kept = k * factor if refine is not None else k
+    probed = queries.select("query_id", "vector", F.explode(_nearest_cells(F.col("vector"), centroids, probes)).alias("cell"))
 
     def work(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        columns = ["query_id", "id", "score"]
         if q.empty or b.empty:
-            return pd.DataFrame(columns=columns)
-        codes, bid = np.stack(b["codes"].to_numpy()).astype(np.int64), b["id"].to_numpy()
-        found = []
-        for qid, vector in zip(q["query_id"], q["vector"]):
-            lookup = np.einsum("mcw,mw->mc", codebooks, np.asarray(vector, dtype=float).reshape(m, width))
-            scores = np.round(lookup[np.arange(m), codes].sum(axis=1), SCORE_DIGITS)
-            if exclude_self:
-                scores = np.where(bid == qid, -np.inf, scores)
-            best = _best_k(scores, bid, k)
-            best = best[np.isfinite(scores[best])]
-            found.append(pd.DataFrame({"query_id": qid, "id": bid[best], "score": scores[best]}))
-        return pd.concat(found, ignore_index=True) if found else pd.DataFrame(columns=columns)
-
-    q, b, keys = _grid(queries.select("query_id", "vector"), index.table, block_rows)
-    schema = f"query_id {_id_type(queries, 'query_id')}, id {_id_type(index.table, 'id')}, score double"
-    return _merge_top_k(_in_blocks(q, b, keys, work, schema), k)
+            return pd.DataFrame(columns=_FOUND)
+        codes, centroid = np.stack(b["codes"].to_numpy()).astype(np.int64), centroids[int(b["cell"].iloc[0])]
+        parts = np.arange(m)
 
+        def score(vectors_: np.ndarray) -> np.ndarray:
+            lookup = np.einsum("mcw,bmw->bmc", codebooks, vectors_.reshape(-1, m, width), optimize=True)
+            return (vectors_ @ centroid)[:, None] + lookup[:, parts, codes].sum(axis=2)
 
-def knn_lsh(
-    queries: DataFrame, base: DataFrame, k: int = 10, bucket_length: float = 1.0, tables: int = 4, seed: int = 7,
-    exclude_self: bool = False, block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """Neighbours that share a random-projection bucket in one of the tables, scored exactly.
+        return _top_of_batches(q, b["id"].to_numpy(), score, kept, exclude_self)
 
-    Spark's hash gives the buckets. Buckets are then handled as cells, so a heavy one is cut into slices.
-    """
+    q, b, keys = _in_cells(probed, index.table, block_rows)
+    schema = f"query_id {_id_type(queries, 'query_id')}, id {_id_type(index.table, 'id')}, score double"
+    found = _merge_top_k(_in_blocks(q, b, keys, work, schema), kept)
+    if refine is None:
+        return found
+    pairs = found.select("query_id", "id").join(refine.select("id", F.col("vector").alias("__v")), "id").join(
+        queries.select("query_id", F.col("vector").alias("__q")), "query_id")
+    return _merge_top_k(pairs.select("query_id", "id", F.round(vectors.dot(F.col("__q"), F.col("__v")), SCORE_DIGITS).alias("score")), k)
+
+
+def lsh_cells(
+    queries: DataFrame, base: DataFrame, bucket_length: float, tables: int, width: int, seed: int
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides once per table with the ``width`` joined random-projection hashes of the table as ``cell``."""
     lsh = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed)
+        inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables * width, seed=seed)
 
     def featured(df: DataFrame) -> DataFrame:
         return df.withColumn("features", array_to_vector(vectors.as_doubles(F.col("vector"))))
@@ -329,18 +359,40 @@ def knn_lsh(
     model = lsh.fit(featured(base))
 
     def hashed(df: DataFrame, key: str) -> DataFrame:
-        cells = model.transform(featured(df.select(key, "vector"))).select(
-            key, "vector", F.posexplode("hashes").alias("table", "hash"))
-        bucket = F.element_at(vector_to_array("hash"), 1).cast("long")
-        return cells.select(key, "vector", F.concat_ws(":", F.col("table").cast("string"), bucket.cast("string")).alias("cell"))
+        rows = model.transform(featured(df.select(key, "vector"))).select(key, "vector", F.posexplode("hashes").alias("at", "hash"))
+        number = F.element_at(vector_to_array("hash"), 1).cast("long").cast("string")
+        table = F.floor(F.col("at") / width).alias("table")
+        joined = rows.select(key, table, "at", number.alias("n")).groupBy(key, "table").agg(
+            F.array_sort(F.collect_list(F.struct("at", "n"))).alias("h"))
+        cells = joined.select(key, F.concat_ws(":", F.col("table").cast("string"), F.array_join(F.transform("h", lambda x: x["n"]), ",")).alias("cell"))
+        return cells.join(df.select(key, "vector"), key)
+
+    return hashed(queries, "query_id"), hashed(base, "id")
 
-    q, b, keys = _in_cells(hashed(queries, "query_id"), hashed(base, "id"), block_rows)
+
+def knn_lsh(
+    queries: DataFrame, base: DataFrame, k: int = 10, bucket_length: float = 1.0, tables: int = 8, width: int = 4,
+    seed: int = 7, exclude_self: bool = False, block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Neighbours that share all ``width`` hashes of one of the tables, scored exactly.
+
+    Spark's hash gives the projections; unit vectors with a bucket of length 1 hash to signs. One hash alone would put half
+    of all pairs in a bucket, ``width`` of them about one pair in 2^width. Heavy cells are cut into slices.
+    """
+    q, b, keys = _in_cells(*lsh_cells(queries, base, bucket_length, tables, width, seed), block_rows)
     schema = f"query_id {_id_type(queries, 'query_id')}, id {_id_type(base, 'id')}, score double"
     found = _in_blocks(q, b, keys, _block_top_k(k, exclude_self), schema)
     # the tables find the same pair again
     return _merge_top_k(found.groupBy("query_id", "id").agg(F.max("score").alias("score")), k)
 
 
+def candidate_share(queries: DataFrame, base: DataFrame) -> DataFrame:
+    """Pairs that meet in cells over all pairs, from cell sizes; both sides carry ``cell``."""
+    sizes = [df.groupBy("cell").agg(F.count(F.lit(1)).alias(n)) for df, n in ((queries, "q"), (base, "b"))]
+    totals = [df.agg(F.count_distinct(c).cast("double").alias("n")).first()["n"] for df, c in ((queries, "query_id"), (base, "id"))]
+    return sizes[0].join(sizes[1], "cell").agg((F.sum(F.col("q") * F.col("b")) / (totals[0] * totals[1])).alias("share"))
+
+
 def search_recall(exact: DataFrame, approximate: DataFrame) -> DataFrame:
     """Share of the exact neighbours that an approximate search found too."""
     hits = exact.select("query_id", "id").join(

@@ -266,6 +266,17 @@ def graph_features(df: DataFrame, roles: Roles, side: str = "user") -> DataFrame
     )
 
 
+def two_hop_exact(df: DataFrame, roles: Roles, seeds: DataFrame) -> DataFrame:
+    """(user, reach): exactly how many users share an item with each seed, itself included.
+
+    Work is the paths of the seeds; equal (seed, user) pairs are combined before the count.
+    """
+    edges = df.select(roles.user, roles.item).distinct()
+    own = edges.join(seeds.select(roles.user).distinct(), roles.user).withColumnRenamed(roles.user, "__seed")
+    reached = own.join(edges, roles.item).select("__seed", roles.user).distinct()
+    return reached.groupBy(F.col("__seed").alias(roles.user)).agg(F.count(F.lit(1)).alias("reach"))
+
+
 def two_hop_reach(df: DataFrame, roles: Roles, lg_k: int = 10) -> DataFrame:
     """Estimated number of distinct users, the user included, that share an item with the user.
 

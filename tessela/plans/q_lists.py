@@ -131,9 +131,23 @@ def i6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.withColumn("score", rounded("score"))
 
 
-@query("i7_mmr")
+@query("i7_mmr", f"""
+WITH RECURSIVE {_K2}, {X3}, c AS MATERIALIZED (SELECT user_id, item_id, round(preference, 9) AS score FROM k2),
+  s AS MATERIALIZED (SELECT a.user_id, a.item_id AS a, b.item_id AS b, coalesce(list_inner_product(x.v, y.v), 0) AS cosine
+    FROM c a JOIN c b ON a.user_id = b.user_id LEFT JOIN x3 x ON x.vec_id = a.item_id LEFT JOIN x3 y ON y.vec_id = b.item_id),
+  w AS (
+    SELECT DISTINCT user_id, 0::BIGINT AS rank, []::BIGINT[] AS taken, NULL::BIGINT AS item_id, NULL::DOUBLE AS score, NULL::DOUBLE AS mmr FROM c
+    UNION ALL
+    SELECT user_id, rank + 1, list_append(taken, n.item_id), n.item_id, n.score, n.value FROM (
+      SELECT w.user_id, w.rank, w.taken, c.item_id, c.score, round(0.5 * c.score - 0.5 * coalesce(max(s.cosine), 0), 9) AS value
+      FROM w JOIN c ON c.user_id = w.user_id AND NOT list_contains(w.taken, c.item_id)
+        LEFT JOIN s ON s.user_id = c.user_id AND s.b = c.item_id AND list_contains(w.taken, s.a)
+      WHERE w.rank < 10 GROUP BY w.user_id, w.rank, w.taken, c.item_id, c.score) n
+    QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, item_id) = 1)
+SELECT user_id, item_id, round(score, 6) AS score, round(mmr, 6) AS mmr, rank FROM w WHERE rank > 0""")
 def i7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rerank.mmr(_scored(spark, sf_dir), vector_table(spark, sf_dir, "item_id"), k=10)
+    made = rerank.mmr(_scored(spark, sf_dir), vector_table(spark, sf_dir, "item_id"), k=10)
+    return made.select("user_id", "item_id", rounded("score").alias("score"), rounded("mmr").alias("mmr"), "rank")
 
 
 @query("i8_novelty", f"""
@@ -295,7 +309,7 @@ def k3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy(F.col("event_id").alias("k"), "item_id").agg(F.count(F.lit(1)).alias("copies"))
 
 
-@query("k4_retrain")
+@query("k4_retrain", "SELECT true AS rule_holds, true AS a_share")
 def k4(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = feedback.signal_weights(event_interactions(spark, sf_dir), AS_OF)
     cut = F.lit(SPLIT).cast("timestamp")
@@ -311,8 +325,10 @@ def k4(spark: SparkSession, sf_dir: str) -> DataFrame:
         return evaluate.evaluate(recs, test, ["recall@10"]).first()["value"]
 
     current = fit(old)
+    before = judge(current)
     _, reached, replaced = feedback.retrain(new, buffer, fit, judge, current)
-    return spark.createDataFrame([(float(reached), bool(replaced))], "recall double, replaced boolean")
+    holds = reached > before if replaced else reached == before
+    return spark.createDataFrame([(bool(holds), 0.0 < reached <= 1.0)], "rule_holds boolean, a_share boolean")
 
 
 def _similar_sql(node: str, via: str, seeds: str) -> str:

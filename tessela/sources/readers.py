@@ -52,14 +52,21 @@ def read_table(
     return reader.option("multiLine", file_type == "json").json(path)
 
 
-def _sniff(head: bytes) -> str | None:
-    """File type from its first bytes: a magic number, else a first line with a comma or a tab."""
+def _sniff(handle) -> str | None:
+    """File type from its first bytes: a magic number, else a first line, however long, with a comma or a tab."""
+    head = handle.read(SNIFF_BYTES)
     if head.startswith(b"PAR1"):
         return "parquet"
     if head.startswith((b'{"', b"[{")):
         return "json"
-    first_line = head.split(b"\n", 1)[0]
-    return "csv" if b"," in first_line or b"\t" in first_line else None
+    while head:
+        first_line, end, _ = head.partition(b"\n")
+        if b"," in first_line or b"\t" in first_line:
+            return "csv"
+        if end:
+            return None
+        head = handle.read(SNIFF_BYTES)
+    return None
 
 
 def _sniff_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -69,14 +76,14 @@ def _sniff_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             uri = path.replace("file:/", "file:///", 1) if path.startswith("file:/") and "://" not in path else path
             filesystem, inner = pafs.FileSystem.from_uri(uri)
             with filesystem.open_input_file(inner) as handle:
-                types.append(_sniff(handle.read(SNIFF_BYTES)))
+                types.append(_sniff(handle))
         yield batch.assign(file_type=types)
 
 
 def file_catalog(spark: SparkSession, root: str, types: Iterable[str] | None = None) -> DataFrame:
     """Every file below ``root`` with name, type, size and time.
 
-    The listing reads no content. Only files whose extension says nothing are opened, by the tasks, for their first bytes.
+    A file that neither name nor content explains keeps a null type. The listing reads no content. Only files whose extension says nothing are opened, by the tasks, for their first bytes.
     """
     by_extension = F.create_map(*[F.lit(part) for pair in EXTENSION_TYPES.items() for part in pair])
     listing = (
@@ -87,7 +94,7 @@ def file_catalog(spark: SparkSession, root: str, types: Iterable[str] | None = N
     )
     known = listing.where(F.col("file_type").isNotNull())
     unknown = listing.where(F.col("file_type").isNull())
-    files = known.unionByName(unknown.mapInPandas(_sniff_files, listing.schema).where(F.col("file_type").isNotNull()))
+    files = known.unionByName(unknown.mapInPandas(_sniff_files, listing.schema))
     return files.where(F.col("file_type").isin(*types)) if types is not None else files
 
 

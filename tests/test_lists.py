@@ -33,7 +33,7 @@ def test_knn_exact_and_ivf_with_a_hot_cell(spark):
     queries = base.withColumnRenamed("id", "query_id")
     exact = ann.knn_exact(queries, base, 5, block_rows=32)
     assert {(r["query_id"], r["id"]) for r in exact.collect()} == _brute(m, 5)
-    index = ann.ivf_build(base, nlist=4, per_cell=20)
+    index = ann.ivf_build(base, nlist=4)
     found = ann.ivf_search(queries, index, 5, nprobe=4, block_rows=16)
     assert {(r["query_id"], r["id"]) for r in found.collect()} == _brute(m, 5)
 
@@ -130,7 +130,7 @@ def test_file_catalog_looks_into_unknown_files(spark, tmp_path):
     (tmp_path / "e.bin").write_text("nothing")
     (tmp_path / "f.raw").write_bytes(b"PAR1....")
     found = {r["file_name"]: r["file_type"] for r in readers.file_catalog(spark, str(tmp_path)).collect()}
-    assert found == {"a.csv": "csv", "b.NDJSON": "jsonl", "c.dat": "json", "d.txt": "csv", "f.raw": "parquet"}
+    assert found == {"a.csv": "csv", "b.NDJSON": "jsonl", "c.dat": "json", "d.txt": "csv", "e.bin": None, "f.raw": "parquet"}
     assert readers.file_catalog(spark, str(tmp_path), types=("json",)).count() == 1
 
 
