@@ -20,7 +20,7 @@ FACTORS = (
 )
 
 
-def _similar(pairs: DataFrame, node: str, via: str, seeds: DataFrame, k: int, seeds_per_slice: int) -> DataFrame:
+def _similar(pairs: DataFrame, node: str, via: str, seeds: DataFrame, k: int | None, seeds_per_slice: int) -> DataFrame:
     """Cosine of co-occurrence between each seed and every node that shares a ``via`` with it.
 
     A ``via`` carries the list of its seeds, cut into slices of bounded length, to its rows. Work is rows times seeds of
@@ -39,6 +39,8 @@ def _similar(pairs: DataFrame, node: str, via: str, seeds: DataFrame, k: int, se
     seed_sizes = sizes.select(F.col(node).alias("seed"), F.col("n").alias("seed_n"))
     scored = counted.join(sizes, node).join(seed_sizes, "seed").withColumn(
         "similarity", F.round(F.col("shared") / F.sqrt(F.col("n") * F.col("seed_n")), 9))
+    if k is None:
+        return scored.select("seed", F.col(node).alias("similar"), "shared", "similarity")
     order = Window.partitionBy("seed").orderBy(F.col("similarity").desc(), node)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
         "seed", F.col(node).alias("similar"), "shared", "similarity", "rank")
@@ -77,32 +79,35 @@ def user_profiles(df: DataFrame, roles: Roles, item_vectors: DataFrame) -> DataF
 
 
 def explain(
-    requests: DataFrame, df: DataFrame, roles: Roles, item_table: DataFrame, item_vectors: DataFrame, as_of: str,
-    recency_days: float = 30.0,
+    requests: DataFrame, df: DataFrame, roles: Roles, item_table: DataFrame, as_of: str, recency_days: float = 30.0,
+    seeds_per_slice: int = 10_000,
 ) -> DataFrame:
     """Factors of each asked (user_id, item_id), largest contribution first.
 
-    genre_match is the share of the user's rows in the item's category, history_overlap the mean cosine of the item to the
-    user's rows, popularity the item's percentile and recency exp(-age / days). ``item_table`` has item_id, category and
-    first_seen. Every factor comes from an aggregate with one row per user, per item or per user and category.
+    genre_match is the share of the user's rows in the item's category, history_overlap the largest
+    co-occurrence cosine of the item with another item of the user, popularity the item's percentile and recency
+    exp(-age / days). ``item_table`` has item_id, category and first_seen. The overlap is asked for the requested items
+    only and meets the histories of the requesting users only; the other factors are aggregates per user, item or both.
     """
     item_table = item_table.select("item_id", "category", "first_seen")
     history = df.select(F.col(roles.user).alias("user_id"), F.col(roles.item).alias("item_id"))
     tagged = history.join(item_table.select("item_id", "category"), "item_id")
     by_category = tagged.groupBy("user_id", "category").agg(F.count(F.lit(1)).alias("in_category"))
     totals = history.groupBy("user_id").agg(F.count(F.lit(1)).alias("rows"))
-    profiles = user_profiles(df, roles, item_vectors).withColumnRenamed(roles.user, "user_id")
-    unit = item_vectors.select("item_id", vectors.l2_normalize(F.col("vector")).alias("unit"))
+    near = _similar(history, "item_id", "user_id", requests.select("item_id"), None, seeds_per_slice)
+    own = history.distinct().withColumnRenamed("item_id", "similar")
+    overlap = requests.select("user_id", F.col("item_id").alias("seed")).join(own, "user_id").join(near, ["seed", "similar"]).groupBy(
+        "user_id", F.col("seed").alias("item_id")).agg(F.max("similarity").alias("overlap"))
     popularity = popularity_percentile(df, roles.item).withColumnRenamed(roles.item, "item_id")
     joined = (
         requests.select("user_id", "item_id")
-        .join(item_table, "item_id", "left").join(unit, "item_id", "left").join(popularity, "item_id", "left")
-        .join(totals, "user_id", "left").join(profiles, "user_id", "left")
+        .join(item_table, "item_id", "left").join(popularity, "item_id", "left")
+        .join(totals, "user_id", "left").join(overlap, ["user_id", "item_id"], "left")
         .join(by_category, ["user_id", "category"], "left")
     )
     values = {
         "genre_match": F.try_divide(F.col("in_category"), F.col("rows")),
-        "history_overlap": vectors.dot(F.col("unit"), F.col("profile")),
+        "history_overlap": F.col("overlap"),
         "popularity": F.col("percentile"),
         "recency": F.exp(-F.greatest(days_before(F.col("first_seen"), as_of), F.lit(0.0)) / F.lit(recency_days)),
     }

@@ -70,12 +70,12 @@ def sparse_hybrid(
 ) -> DataFrame:
     """Blend personal and popular scores for users with few interactions.
 
-    With n < ``min_interactions`` rows of history the personal score weighs decay^(min - n), so it grows with the history,
-    and the popularity score the rest; users with enough history keep their personal score.
+    With n < ``min_interactions`` rows of history the popularity score weighs decay^(min - n) and the personal score the
+    rest; users with enough history keep their personal score.
     """
     n = F.coalesce(F.col("interactions"), F.lit(0))
-    personal = F.pow(F.lit(decay), F.lit(min_interactions) - n)
-    blended = personal * F.col("personal_score") + (1 - personal) * F.col("popularity_score")
+    popular = F.pow(F.lit(decay), F.lit(min_interactions) - n)
+    blended = popular * F.col("popularity_score") + (1 - popular) * F.col("personal_score")
     joined = scored.join(history_counts.select("user_id", "interactions"), "user_id", "left")
     return joined.withColumn(
         "score", F.when(n < min_interactions, blended).otherwise(F.col("personal_score"))

@@ -107,17 +107,22 @@ def i4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("i5_sparse_hybrid", f"""
-WITH {_K2}, pop AS (SELECT item_id, sum(weight) / 100 AS popularity FROM k1 GROUP BY 1),
-  c AS (SELECT user_id, count(*) AS n FROM x2 WHERE ts >= TIMESTAMP '2024-01-30 00:00:00' GROUP BY 1)
-SELECT user_id, item_id, round(CASE WHEN coalesce(n, 0) < 5 THEN pow(0.9, 5 - coalesce(n, 0)) * preference + (1 - pow(0.9, 5 - coalesce(n, 0))) * popularity
-  ELSE preference END, 6) AS score FROM k2 JOIN pop USING (item_id) LEFT JOIN c USING (user_id)""")
+WITH {_K2}, pop AS (SELECT item_id, sum(weight) / 100 AS popularity FROM k1 GROUP BY 1), c AS (SELECT user_id, count(*) AS n FROM x2 GROUP BY 1),
+  top AS (SELECT item_id FROM pop ORDER BY round(popularity, 9) DESC, item_id LIMIT 10),
+  s AS (SELECT user_id, item_id, preference FROM k2 UNION ALL
+        SELECT c_custkey, item_id, 0 FROM customer CROSS JOIN top WHERE c_custkey NOT IN (SELECT user_id FROM k2))
+SELECT user_id, item_id, round(CASE WHEN coalesce(n, 0) < 5 THEN pow(0.9, 5 - coalesce(n, 0)) * popularity + (1 - pow(0.9, 5 - coalesce(n, 0))) * preference
+  ELSE preference END, 6) AS score FROM s JOIN pop USING (item_id) LEFT JOIN c USING (user_id)""")
 def i5(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = event_interactions(spark, sf_dir)
     popularity = feedback.signal_weights(events, AS_OF).groupBy("item_id").agg((F.sum("weight") / 100).alias("popularity_score"))
-    scored = _preference(spark, sf_dir).withColumnRenamed("preference", "personal_score").join(popularity, "item_id")
-    recent = events.where(F.col("ts") >= F.lit("2024-01-30 00:00:00").cast("timestamp")).groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("interactions"))
-    return recommend.sparse_hybrid(scored, recent).select("user_id", "item_id", rounded("score").alias("score"))
+    known = _preference(spark, sf_dir).withColumnRenamed("preference", "personal_score")
+    top = popularity.orderBy(F.round("popularity_score", 9).desc(), "item_id").limit(10).select("item_id")
+    strangers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id")).join(known, "user_id", "left_anti")
+    offered = strangers.crossJoin(F.broadcast(top)).select("user_id", "item_id", F.lit(0.0).alias("personal_score"))  # ten items each
+    counts = events.groupBy("user_id").agg(F.count(F.lit(1)).alias("interactions"))
+    scored = known.unionByName(offered).join(popularity, "item_id")
+    return recommend.sparse_hybrid(scored, counts).select("user_id", "item_id", rounded("score").alias("score"))
 
 
 _RECENT = f"""recent AS (SELECT DISTINCT user_id, item_id FROM x2 WHERE ts >= TIMESTAMP '{AS_OF}' - INTERVAL 10 DAY AND ts <= TIMESTAMP '{AS_OF}')"""
@@ -367,14 +372,17 @@ def _explained(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = events.groupBy("item_id").agg(F.min("ts").alias("first_seen"))
     items = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_type").alias("category")).join(first, "item_id")
     requests = recommend.recommend(_scored(spark, sf_dir), 10)
-    return explain.explain(requests, events, EVENT_ROLES, items, vector_table(spark, sf_dir, "item_id"), AS_OF)
+    return explain.explain(requests, events, EVENT_ROLES, items, AS_OF)
 
 
 _EXPLAIN = f"""{_K2}, {X3}, req AS (SELECT user_id, item_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(preference, 9) DESC, item_id) AS r FROM k2) WHERE r <= 10),
   cnt AS (SELECT user_id, item_id, count(*) AS w FROM x2 GROUP BY 1, 2), tot AS (SELECT user_id, count(*) AS n FROM x2 JOIN part ON item_id = p_partkey GROUP BY 1),
   cat AS (SELECT user_id, p_type AS category, count(*) AS c FROM x2 JOIN part ON item_id = p_partkey GROUP BY 1, 2),
-  ov AS (SELECT r.user_id, r.item_id, sum(w * list_inner_product(a.v, b.v)) / sum(w) AS o FROM req r JOIN cnt USING (user_id)
-         JOIN x3 a ON a.vec_id = r.item_id JOIN x3 b ON b.vec_id = cnt.item_id GROUP BY 1, 2),
+  sz AS (SELECT item_id, count(*) AS n FROM cnt GROUP BY 1),
+  co AS MATERIALIZED (SELECT a.item_id AS a, b.item_id AS b, count(*) AS shared FROM (SELECT DISTINCT item_id FROM req) q JOIN cnt a ON a.item_id = q.item_id
+         JOIN cnt b ON b.user_id = a.user_id AND b.item_id <> a.item_id GROUP BY 1, 2),
+  ov AS (SELECT r.user_id, r.item_id, coalesce(max(round(shared / sqrt(x.n * y.n), 9)), 0) AS o FROM req r JOIN cnt ON cnt.user_id = r.user_id
+         LEFT JOIN co ON co.a = r.item_id AND co.b = cnt.item_id LEFT JOIN sz x ON x.item_id = r.item_id LEFT JOIN sz y ON y.item_id = cnt.item_id GROUP BY 1, 2),
   pc AS (SELECT item_id, count(*) AS n, min(ts) AS f FROM x2 GROUP BY 1),
   pr AS (SELECT a.item_id, a.f, (SELECT count(*) FROM pc b WHERE b.n < a.n) / (SELECT count(*) FROM pc)::DOUBLE AS p FROM pc a),
   v AS (SELECT req.user_id, req.item_id, coalesce(c / n::DOUBLE, 0) AS g, o, p,

@@ -168,6 +168,21 @@ def g10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return losses.softmax_loss(_lists(spark, sf_dir)).select("list_id", rounded("loss").alias("loss"))
 
 
+@query("g10_softmax_mean", f"""
+WITH {_LISTS}, z AS (SELECT *, ln(sum(exp(score)) OVER (PARTITION BY list_id)) AS lse FROM lists), l AS (SELECT sum(label * (lse - score)) AS loss FROM z GROUP BY list_id)
+SELECT round(avg(loss), 6) AS loss FROM l""")
+def g10_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return losses.mean_loss(losses.softmax_loss(_lists(spark, sf_dir))).select(rounded("loss").alias("loss"))
+
+
+@query("g11_listnet_mean", f"""
+WITH {_LISTS}, z AS (SELECT *, ln(sum(exp(score)) OVER (PARTITION BY list_id)) AS lse, exp(label) / sum(exp(label)) OVER (PARTITION BY list_id) AS t FROM lists),
+  l AS (SELECT sum(t * (lse - score)) AS loss FROM z GROUP BY list_id)
+SELECT round(avg(loss), 6) AS loss FROM l""")
+def g11_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return losses.mean_loss(losses.listnet_loss(_lists(spark, sf_dir))).select(rounded("loss").alias("loss"))
+
+
 @query("g11_listnet_loss", f"""
 WITH {_LISTS}, z AS (SELECT *, ln(sum(exp(score)) OVER (PARTITION BY list_id)) AS lse, exp(label) / sum(exp(label)) OVER (PARTITION BY list_id) AS t FROM lists)
 SELECT list_id, round(sum(t * (lse - score)), 6) AS loss FROM z GROUP BY 1""")
@@ -214,6 +229,17 @@ def g16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(len(results), kept == best[0], best[1] > 0.5)], "tried int, best_is_kept boolean, better_than_chance boolean")
 
 
+@query("g16_early_stop", "SELECT true AS stops_in_time, true AS keeps_the_best")
+def g16_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = materialize(models.pair_differences(_featured_pairs(spark, sf_dir), "pos_features", "neg_features"), "differences")
+    ladder = (1, 2, 4, 8, 16, 32, 64)
+    stopped = models.fit_until_flat(rows, ladder, patience=3, min_delta=1e-4)
+    best = max(v for _, v in stopped.history)
+    since = len(stopped.history) - 1 - [v for _, v in stopped.history].index(stopped.metric)
+    return spark.createDataFrame([(len(stopped.history) == len(ladder) or since <= 3, abs(stopped.metric - best) < 1e-4)],
+                                 "stops_in_time boolean, keeps_the_best boolean")
+
+
 @query("h1_features_to_vectors", """
 WITH r AS (SELECT p_partkey AS id, [p_size::DOUBLE, p_retailprice, 0.0, 0.0]::DOUBLE[] AS v FROM part), n AS (SELECT *, sqrt(list_inner_product(v, v)) AS l FROM r)
 SELECT id, round(v[1] / l, 6) AS first, round(v[2] / l, 6) AS second, len(v) AS dims FROM n""")

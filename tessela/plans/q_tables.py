@@ -338,6 +338,19 @@ def b13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema.validate(catalog, _document_quality(catalog))
 
 
+@query("b13_validity", f"""
+WITH {LAKE}, q AS (
+  SELECT dataset, sum(n) AS num_rows, round((1 - count(*) / sum(n)::DOUBLE) * 100, 2) AS null_pct,
+    bool_or({_any(('user', 'uid'))}) AS u, bool_or({_any(('item', 'product'))}) AS i,
+    bool_or({_any(('click', 'view', 'purchase', 'rating', 'score'))}) AS s FROM lake GROUP BY 1)
+SELECT dataset, num_rows >= 100 AS is_valid,
+  ((num_rows < 100)::INT + (null_pct > 50)::INT + (NOT u)::INT + (NOT i)::INT + (NOT s)::INT)::BIGINT AS issue_count FROM q""")
+def b13_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalog = lake_catalog(spark, sf_dir)
+    quality = _document_quality(catalog)
+    return schema.dataset_validity(quality, schema.validate(catalog, quality))
+
+
 @query("b14_domain_checks", """
 WITH t AS (SELECT l_orderkey, l_shipdate AS ts, l_extendedprice AS price, l_quantity AS quantity, nullif(l_tax, 0) AS tax FROM lineitem),
   a AS (SELECT count(*) AS n, count(*) - count(tax) AS nulls, count(*) - count(DISTINCT l_orderkey) AS repeats,
@@ -354,13 +367,25 @@ def b14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema.domain_checks(rows, "l_orderkey", "ts", min_rows=100_000, max_null_ratio=0.02)
 
 
-@query("b15_schema_conformance", f"""
-WITH {LAKE}, w(wanted, required) AS (VALUES ('user_id', true), ('item_id', true), ('event_type', true), ('timestamp', true),
-    ('session_id', false), ('price', false), ('quantity', false), ('category', false))
+def _domain_sql(domain: str) -> str:
+    required, optional = schema.DOMAIN_SCHEMAS[domain]
+    rows = ", ".join(f"('{c}', {str(c in required).lower()})" for c in (*required, *optional))
+    return f"""
+WITH {LAKE}, w(wanted, required) AS (VALUES {rows})
 SELECT d.dataset, wanted, required, EXISTS (SELECT 1 FROM lake l WHERE l.dataset = d.dataset AND l."column" = wanted) AS present
-FROM (SELECT DISTINCT dataset FROM lake) d CROSS JOIN w""")
-def b15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schema.schema_conformance(lake_catalog(spark, sf_dir), "ecommerce")
+FROM (SELECT DISTINCT dataset FROM lake) d CROSS JOIN w"""
+
+
+def _domain_query(domain: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return schema.schema_conformance(lake_catalog(spark, sf_dir), domain)
+
+    return run
+
+
+for _domain in schema.DOMAIN_SCHEMAS:
+    _name = "b15_schema_conformance" if _domain == "ecommerce" else f"b15_conformance_{_domain.lower()}"
+    query(_name, _domain_sql(_domain))(_domain_query(_domain))
 
 
 _X1_TYPES = {"user_id": "bigint", "item_id": "bigint", "signal": "double", "session_id": "bigint", "category": "string",
