@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessela.operators import evaluate, explain, features, feedback, models, recommend, rerank
+from tessela.operators import evaluate, explain, features, feedback, learned, models, recommend, rerank
 from tessela.plans.fixtures import (
     AS_OF,
     EVENT_ROLES,
@@ -22,6 +22,7 @@ from tessela.plans.fixtures import (
 )
 from tessela.plans.registry import query
 from tessela.roles import Roles
+from tessela.session import materialize
 
 SPLIT = "2024-01-21 00:00:00"
 
@@ -77,6 +78,23 @@ def i2(spark: SparkSession, sf_dir: str) -> DataFrame:
         rounded("item_signal_mean").alias("item_signal_mean"))
 
 
+@query("i2_learned_recommend", f"""
+WITH {K1} SELECT count(DISTINCT user_id) AS users, true AS lists_full, true AS ranks_dense, true AS better_than_popularity FROM k1""")
+def i2_learned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weighted = materialize(feedback.signal_weights(event_interactions(spark, sf_dir), AS_OF), "weighted")
+    recs = materialize(learned.retrieve_rank_recommend(weighted, Roles(signal="weight"), 10, rank=16, iterations=5, nprobe=20), "learned")
+    lists = recs.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("item_id").alias("d"), F.max("rank").alias("top"))
+    shape = lists.agg(F.count(F.lit(1)).alias("users"), F.bool_and((F.col("n") == 10) & (F.col("d") == 10)).alias("lists_full"),
+                      F.bool_and(F.col("top") == 10).alias("ranks_dense"))
+    history = weighted.select("user_id", "item_id").distinct()
+    popular = recommend.popular_items(weighted, 10)
+    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "item_id")  # ten rows
+    same = history.select("user_id").distinct().crossJoin(F.broadcast(popular.withColumn("rank", F.row_number().over(order))))
+    ours, theirs = (evaluate.evaluate(x, history, ["recall@10"]) for x in (recs, same))
+    better = ours.join(theirs.select("metric", F.col("value").alias("popular")), "metric").select((F.col("value") > F.col("popular")).alias("better_than_popularity"))
+    return shape.join(better, F.lit(True))
+
+
 def _popular(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     return recommend.popular_items(feedback.signal_weights(event_interactions(spark, sf_dir), AS_OF), k)
 

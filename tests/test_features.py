@@ -150,3 +150,17 @@ def test_pick_label(spark):
     assert prep.pick_label(spark.sql("SELECT 1 AS a, 2 AS b, 'x' AS s")) == "b"
     with pytest.raises(ValueError):
         prep.pick_label(spark.sql("SELECT 'x' AS s"))
+
+
+def test_positions_with_null_keys_and_one_hot_day(spark):
+    rows = [(1, "2024-01-01 10:00:00", i) for i in range(200)] + [(None, "2024-01-01 10:00:00", 900 + i) for i in range(90)] + [(2, None, 999)]
+    df = spark.createDataFrame(rows, "u long, ts string, n long")
+    got = {r["n"]: r["p"] for r in position_in_group(df, ["u"], "ts", ["n"], "p").collect()}
+    assert got == {**{i: i + 1 for i in range(200)}, **{900 + i: None for i in range(90)}, 999: None}
+
+
+def test_every_category_column_gets_an_index(spark):
+    df = spark.createDataFrame([("x", f"2024-01-0{d} 00:00:00") for d in range(1, 4)], "v string, ts string")
+    wide = df.select("ts", *[F.concat("v", F.lit(str(i)), "ts").alias(f"c{i}") for i in range(12)])
+    made = prep.index_categories(wide, [f"c{i}" for i in range(12)], "ts")
+    assert all({r[f"c{i}_index"] for r in made.collect()} == {1, 2, 3} for i in range(12))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessela.operators import ann, evaluate, explain, feedback, losses, recommend, rerank
+from tessela.operators import ann, evaluate, explain, feedback, learned, losses, recommend, rerank
 from tessela.roles import Roles
 from tessela.sources import readers, sinks
 from tessela.streaming import feedback as streams
@@ -171,3 +171,30 @@ def test_late_rows_leave_and_are_counted(spark, tmp_path):
             dropped += sum(s["numRowsDroppedByWatermark"] for s in json.loads(p.json)["stateOperators"])
     assert sorted(r["event_id"] for r in spark.read.parquet(out).collect()) == [1, 2, 4]
     assert dropped == 1
+
+
+def test_roles_from_mapped_columns(spark):
+    mapped = spark.createDataFrame(
+        [("uid", "USER_ID", 0.9), ("cust", "USER_ID", 0.7), ("sku", "ITEM_ID", 0.8), ("stars", "RATING", 0.6), ("hits", "CLICK", 0.9), ("at", "TEMPORAL_FEATURE", 0.5),
+         (None, "SESSION_ID", 0.0)], "column string, role string, confidence double")
+    roles = learned.roles_from_mapping(mapped)
+    assert (roles.user, roles.item, roles.signal, roles.ts, roles.session) == ("uid", "sku", "stars", "at", None)
+    with pytest.raises(ValueError, match="item"):
+        learned.roles_from_mapping(mapped.where("role <> 'ITEM_ID'"))
+
+
+def test_a_list_keeps_items_without_a_vector(spark):
+    recs = spark.createDataFrame([(1, 10, 0.9), (1, 11, 0.8)], "user_id long, item_id long, score double")
+    known = spark.createDataFrame([(10, [1.0, 0.0])], "item_id long, vector array<double>")
+    assert {r["item_id"] for r in rerank.mmr(recs, known).collect()} == {10, 11}
+    assert evaluate.list_diversity(recs, known).first()["diversity"] == 1.0
+
+
+def test_an_index_survives_saving(spark, tmp_path):
+    base = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)], "id long, vector array<double>")
+    queries = base.limit(9).withColumnRenamed("id", "query_id")
+    index = ann.ivf_build(base, nlist=4)
+    index.save(str(tmp_path / "index"))
+    back = ann.IvfIndex.load(spark, str(tmp_path / "index"))
+    rows = lambda i: sorted(map(tuple, ann.ivf_search(queries, i, 3, nprobe=2).collect()))
+    assert rows(index) == rows(back)

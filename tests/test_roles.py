@@ -123,3 +123,10 @@ def test_null_counts_as_a_value(spark):
     row = profile.profile_columns(df).first()
     assert (row["unique_count"], row["null_count"], row["null_pct"]) == (3, 2, 50.0)
     assert profile.profile_quality(df).first()["duplicate_rows"] == profile.profile_quality(df, approx=True).first()["duplicate_rows"] == 1
+
+
+def test_repeated_edges_do_not_hide_others(spark):
+    rows = [("a", "R1", 0.9)] * 25 + [("a", "R2", 0.8)] * 25 + [("b", "R2", 0.5)]
+    pairs = spark.createDataFrame(rows, "column string, role string, confidence double")
+    for assign in (mapping.assign_one_to_one, mapping.assign_by_column):
+        assert {(r["column"], r["role"]) for r in assign(pairs).collect()} == {("a", "R1"), ("b", "R2")}
