@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from tessela.session import scratch_path
 
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH_BYTES = 8 << 20
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BASE, _MASK = 0x9E3779B97F4A7C15 | 1, (1 << 64) - 1
 
@@ -43,6 +45,8 @@ def spread(df: DataFrame, *keys: str, at_least: int = 1) -> DataFrame:
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` with batches bounded by bytes, so that long texts do not add up in a worker."""
+    df.sparkSession.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)
 
 
@@ -53,7 +57,7 @@ def word_count(text) -> F.Column:
 
 # ---- text buffers ---------------------------------------------------------------------------------------------------
 
-def text_slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def text_slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Cut a batch into slices of at most ``limit`` bytes of text, one row at least."""
     sizes = np.fromiter((0 if v is None else v for v in pc.binary_length(batch.column(column)).to_pylist()), np.int64, batch.num_rows)
     at = 0

@@ -12,7 +12,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,10 +42,9 @@ _tables: dict[str, np.ndarray] = {}
 def _unicode_tables() -> dict[str, np.ndarray]:
     """Per code point: is it a letter, its lower case, its script; made once in each worker."""
     if not _tables:
-        chars = [chr(c) for c in range(_UNICODE)]
-        _tables["letter"] = np.fromiter((c.isalpha() for c in chars), bool, _UNICODE)
+        _tables["letter"] = np.fromiter((chr(c).isalpha() for c in range(_UNICODE)), bool, _UNICODE)
         lower = np.arange(_UNICODE, dtype=np.uint32)
-        for c in np.flatnonzero(np.fromiter((c.isupper() or c.istitle() for c in chars), bool, _UNICODE)):
+        for c in np.flatnonzero(np.fromiter((chr(c).isupper() or chr(c).istitle() for c in range(_UNICODE)), bool, _UNICODE)):
             low = chr(c).lower()
             if len(low) == 1:
                 lower[c] = ord(low)
@@ -152,7 +150,7 @@ def viterbi(scores: np.ndarray, per_text: np.ndarray, penalty: float) -> np.ndar
     Ties stay in the language of the word before, else go to the first language.
     """
     n, k = scores.shape
-    labels = np.zeros(n, np.int64)
+    labels = np.zeros(n, np.int8 if k < 128 else np.int32)
     if not n or k < 2:
         return labels
     order = np.argsort(-per_text, kind="stable")
@@ -199,21 +197,25 @@ def identify(df: DataFrame, model: Model, text: str = "text", penalty: float = S
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = pc.fill_null(pc.binary_length(batch.column(place)), 0)
-            batch = batch.take(pc.sort_indices(sizes))
-            for part in text_slices(batch, text):
-                yield _labelled(part, part.column(place).to_pylist(), model, penalty, spans)
+            if batch.num_rows:
+                yield _labelled(batch, text, model, penalty, spans)
 
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema.fields)
     more = ", lang_spans array<struct<start:int,end:int,lang:string>>" if spans else ""
     return arrow_map(df, run, f"{fields}, lang_pred string, score double{more}")
 
 
-def _labelled(part: pa.RecordBatch, texts: list[str | None], model: Model, penalty: float, spans: bool) -> pa.RecordBatch:
-    words, k = words_of(texts), len(model.languages)
-    labels = viterbi(model.word_scores(words), words.per_text, penalty) if k else np.zeros(len(words.start), np.int64)
-    owner = np.repeat(np.arange(len(texts)), words.per_text)
-    letters = np.bincount(owner * max(k, 1) + labels, weights=words.end - words.start, minlength=len(texts) * max(k, 1)).reshape(len(texts), max(k, 1))
+def _labelled(batch: pa.RecordBatch, text: str, model: Model, penalty: float, spans: bool) -> pa.RecordBatch:
+    """Scores slice by slice, one walk over all texts of the batch."""
+    k, kept = len(model.languages), []
+    for part in text_slices(batch, text):
+        words = words_of(part.column(text).to_pylist())
+        kept.append((words.per_text, words.start.astype(np.int32), words.end.astype(np.int32), model.word_scores(words)))
+    per_text, starts, ends, scores = (np.concatenate(x) for x in zip(*kept, strict=True))
+    labels = viterbi(scores, per_text, penalty) if k else np.zeros(len(starts), np.int64)
+    rows = batch.num_rows
+    owner = np.repeat(np.arange(rows), per_text)
+    letters = np.bincount(owner * max(k, 1) + labels, weights=ends - starts, minlength=rows * max(k, 1)).reshape(rows, max(k, 1))
     total, best = letters.sum(1), letters.argmax(1)
     known = (total > 0) & (k > 0)
     columns = [
@@ -223,12 +225,12 @@ def _labelled(part: pa.RecordBatch, texts: list[str | None], model: Model, penal
     names = ["lang_pred", "score"]
     if spans:
         first = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(labels, prepend=-1) != 0)) if k else np.empty(0, np.int64)
-        rows: list[list[dict]] = [[] for _ in texts]
+        found: list[list[dict]] = [[] for _ in range(rows)]
         for a, b in zip(first.tolist(), [*(first[1:] - 1).tolist(), len(owner) - 1], strict=False):
-            rows[owner[a]].append({"start": int(words.start[a]), "end": int(words.end[b]), "lang": model.languages[labels[a]]})
-        columns.append(pa.array(rows, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))))
+            found[owner[a]].append({"start": int(starts[a]), "end": int(ends[b]), "lang": model.languages[labels[a]]})
+        columns.append(pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))))
         names.append("lang_spans")
-    return pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, *names])
+    return pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *names])
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

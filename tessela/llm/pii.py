@@ -166,7 +166,7 @@ def find(df: DataFrame, text: str = "text", threshold: float = THRESHOLD, spans:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, text, 8 << 20):
+            for part in text_slices(batch, text, 1 << 20):
                 texts = part.column(place).to_pylist()
                 found = [spans_of(t, threshold) for t in texts]
                 columns = part.columns
