@@ -1,78 +1,65 @@
-"""Exact order statistics by narrowing a bracket with aggregates, so no task ever sorts the table."""
+"""Exact order statistics from ranges of the values, so no task ever sorts the table."""
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_DISTINCT = 1_000_000
+from tessela.session import materialize
 
 
-def kth_smallest(df: DataFrame, value: Column, k: int, max_distinct: int = MAX_DISTINCT):
-    """The value at 0-based rank ``k``. Each pass is one aggregate; only the last bracket's distinct values meet."""
-    values = df.select(value.alias("v")).where(F.col("v").isNotNull())
-    below = 0
-    bracket = values
-    while True:
-        stats = bracket.agg(
-            F.count(F.lit(1)).alias("n"),
-            F.approx_count_distinct("v").alias("distinct"),
-            F.min("v").alias("lo"),
-            F.max("v").alias("hi"),
-        ).first()
-        rank = k - below
-        if stats["n"] is None or not 0 <= rank < stats["n"]:
-            raise ValueError(f"rank {k} outside the table")
-        if stats["lo"] == stats["hi"]:
-            return stats["lo"]
-        if stats["distinct"] <= max_distinct:
-            break
-        share = rank / stats["n"]
-        cuts = bracket.agg(
-            F.percentile_approx("v", [max(0.0, share - 0.002), min(1.0, share + 0.002)], 10_000).alias("c")
-        ).first()["c"]
-        counts = bracket.agg(
-            F.count_if(F.col("v") < cuts[0]).alias("lt"), F.count_if(F.col("v") <= cuts[1]).alias("le")
-        ).first()
-        if rank < counts["lt"]:
-            narrowed = bracket.where(F.col("v") < cuts[0])
-        elif rank < counts["le"]:
-            narrowed = bracket.where((F.col("v") >= cuts[0]) & (F.col("v") <= cuts[1]))
-            below += counts["lt"]
-            if cuts[0] == stats["lo"] and cuts[1] == stats["hi"]:
-                break
-        else:
-            narrowed = bracket.where(F.col("v") > cuts[1])
-            below += counts["le"]
-        bracket = narrowed
-    histogram = bracket.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    # distinct values of the last bracket only
-    running = histogram.withColumn("upto", F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("v")))
-    return running.where(F.col("upto") > k - below).agg(F.min("v").alias("v")).first()["v"]
+class Ranks:
+    """The distinct values of a column with their counts, written once in ranges of the value order.
 
+    Equal values are combined before the shuffle. The counts of the ranges, one row each, say which range holds a rank;
+    only the distinct values of that range are then looked at.
+    """
 
-def order_statistics(df: DataFrame, value: Column, ranks: Sequence[int], n_distinct: int) -> dict[int, float]:
-    """Values at several 0-based ranks: from one histogram where the distinct values are few, else rank by rank."""
-    if n_distinct > MAX_DISTINCT:
-        return {k: kth_smallest(df, value, k) for k in ranks}
-    histogram = df.select(value.alias("v")).where(F.col("v").isNotNull()).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    # at most MAX_DISTINCT rows, give or take the error of the estimate
-    running = histogram.withColumn("upto", F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("v")))
-    row = running.agg(*[F.min(F.when(F.col("upto") > k, F.col("v"))).alias(f"r{k}") for k in ranks]).first()
-    return {k: row[f"r{k}"] for k in ranks}
+    def __init__(self, df: DataFrame, value: Column):
+        ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        histogram = df.select(value.alias("v")).where(F.col("v").isNotNull()).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+        ranged = histogram.repartitionByRange(ranges, "v").withColumn("range", F.spark_partition_id())
+        self.table = materialize(ranged, "ranks")
+        counts = self.table.groupBy("range").agg(F.sum("n").alias("n")).orderBy("range").collect()
+        self.ranges = [r["range"] for r in counts]
+        self.ends = list(accumulate(r["n"] for r in counts))
+        self.total = self.ends[-1] if self.ends else 0
+
+    def at(self, ranks: Sequence[int]) -> dict[int, object]:
+        """The values at 0-based ranks."""
+        if any(not 0 <= k < self.total for k in ranks):
+            raise ValueError(f"ranks {list(ranks)} outside the table of {self.total} values")
+        found, by_range = {}, {}
+        for k in ranks:
+            by_range.setdefault(bisect_right(self.ends, k), []).append(k)
+        for place, inside in by_range.items():
+            before = self.ends[place - 1] if place else 0
+            part = self.table.where(F.col("range") == self.ranges[place])
+            # the distinct values of one range
+            upto = F.sum("n").over(Window.partitionBy("range").orderBy("v"))
+            row = part.withColumn("upto", upto).agg(
+                *[F.min(F.when(F.col("upto") > k - before, F.col("v"))).alias(f"r{k}") for k in inside]).first()
+            found.update({k: row[f"r{k}"] for k in inside})
+        return found
+
+
+def kth_smallest(df: DataFrame, value: Column, k: int):
+    """The value at 0-based rank ``k``."""
+    return Ranks(df, value).at([k])[k]
 
 
 def exact_quantiles(df: DataFrame, value: Column, quantiles: Sequence[float]) -> list[float | None]:
     """Quantiles with linear interpolation between the two nearest ranks; all null on an empty column."""
-    size = df.agg(F.count(value).alias("n"), F.approx_count_distinct(value).alias("distinct")).first()
-    n = size["n"]
+    ranks = Ranks(df, value)
+    n = ranks.total
     if n == 0:
         return [None for _ in quantiles]
     places = [(n - 1) * q for q in quantiles]
-    ranks = sorted({r for place in places for r in (int(place), min(int(place) + 1, n - 1))})
-    at = {k: float(v) for k, v in order_statistics(df, value, ranks, size["distinct"]).items()}
+    at = {k: float(v) for k, v in ranks.at(sorted({r for p in places for r in (int(p), min(int(p) + 1, n - 1))})).items()}
     result = []
     for place in places:
         low, fraction = int(place), place - int(place)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessela.functions import vectors
+from tessela.session import materialize
 
 
 def user_hits(recs: DataFrame, test: DataFrame, k: int) -> DataFrame:
@@ -103,6 +104,9 @@ def evaluate(
     """
     by_k: dict[int, list[tuple[str, str]]] = {}
     parts = []
+    if len(metrics) > 1:
+        # every part looks at the lists
+        recs = materialize(recs, "lists")
     for asked in metrics:
         name, _, cut = asked.partition("@")
         if name == "coverage":

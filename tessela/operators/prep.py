@@ -57,6 +57,8 @@ def preference_pairs(df: DataFrame, roles: Roles) -> DataFrame:
 
     The n-th newest positive of a user meets the n-th newest negative; the longer side keeps its surplus out.
     """
+    # the rows are needed for the median, the counts and both sides
+    df = materialize(df.select(*dict.fromkeys([roles.user, roles.item, roles.signal, roles.ts, *roles.tiebreak])), "preferences")
     median = exact_quantiles(df, F.col(roles.signal), [0.5])[0]
     side = df.withColumn("__positive", F.col(roles.signal) > F.lit(median))
     tiebreak = [roles.item, *[c for c in roles.tiebreak if c != roles.item]]
