@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessela.session import ship
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, QueryFn] = {}
@@ -19,6 +21,7 @@ def query(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+            ship(spark)
             return fn(spark, sf_dir)
 
         QUERIES[name] = run
