@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessela.session import scratch_path
+from tessela.session import scratch_path, ship
 
 WORD = r"[^\x20\x09-\x0D]+"
 BATCH_BYTES = 8 << 20
@@ -46,6 +46,7 @@ def spread(df: DataFrame, *keys: str, at_least: int = 1) -> DataFrame:
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with batches bounded by bytes, so that long texts do not add up in a worker."""
+    ship(df.sparkSession)
     df.sparkSession.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)
 
