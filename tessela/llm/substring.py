@@ -52,25 +52,31 @@ class Texts:
             out.append(mix(total[self.first + self.count] - total[self.first] + self.count.astype(np.uint64)).view(np.int64))
         return out[0], out[1]
 
-    def anchors(self, window: int) -> tuple[np.ndarray, np.ndarray]:
-        """(word index, hash) of the anchors of all windows that lie inside one text, ascending."""
+    def window_anchors(self, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first word, anchor's word, anchor's hash) of every window that lies inside one text, ascending."""
         grams = gram_hashes(self.words, GRAM)
         n = len(self.words) - window + 1
-        mark = np.zeros(max(len(grams), 1), bool)
-        if n > 0:
-            best, at = grams[:n].copy(), np.zeros(n, np.int64)
-            for j in range(1, window - GRAM + 1):
-                smaller = grams[j : j + n] < best
-                np.copyto(best, grams[j : j + n], where=smaller)
-                at[smaller] = j
-            whole = np.zeros(len(self.words) + 1, np.int32)
-            long = self.count >= window
-            np.add.at(whole, self.first[long], 1)
-            np.add.at(whole, (self.first + self.count - window + 1)[long], -1)
-            inside = np.flatnonzero(np.cumsum(whole)[:n] > 0)
-            mark[inside + at[inside]] = True
-        places = np.flatnonzero(mark)
-        return places, grams[places]
+        if n <= 0:
+            none = np.empty(0, np.int64)
+            return none, none, np.empty(0, np.uint64)
+        best, at = grams[:n].copy(), np.zeros(n, np.int64)
+        for j in range(1, window - GRAM + 1):
+            smaller = grams[j : j + n] < best
+            np.copyto(best, grams[j : j + n], where=smaller)
+            at[smaller] = j
+        whole = np.zeros(len(self.words) + 1, np.int32)
+        long = self.count >= window
+        np.add.at(whole, self.first[long], 1)
+        np.add.at(whole, (self.first + self.count - window + 1)[long], -1)
+        inside = np.flatnonzero(np.cumsum(whole)[:n] > 0)
+        return inside, inside + at[inside], best[inside]
+
+    def anchors(self, window: int) -> tuple[np.ndarray, np.ndarray]:
+        """(word index, hash) of the anchors of all windows, each place once, ascending."""
+        _, places, hashes = self.window_anchors(window)
+        fresh = np.ones(len(places), bool)
+        fresh[1:] = places[1:] != places[:-1]
+        return places[fresh], hashes[fresh]
 
     def normal(self, drop: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of all texts with the words joined by one space, and each text's offsets; ``drop`` leaves words out."""
@@ -95,7 +101,10 @@ def _sha(data: np.ndarray, a: int, b: int) -> str:
 
 
 def describe(documents: DataFrame, window: int) -> DataFrame:
-    """(doc_id, n_words, lo, hi, sha, anchors) of every row: size, name of the word sequence, digest, anchor hashes."""
+    """(doc_id, n_words, lo, hi, sha, anchors, times) of every row: size, name of the word sequence, digest, anchor hashes.
+
+    A text that repeats an anchor holds it once, with the number of times.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,38 +113,43 @@ def describe(documents: DataFrame, window: int) -> DataFrame:
                 lo, hi = t.names()
                 places, hashes = t.anchors(window)
                 data, at = t.normal()
-                cut = np.searchsorted(places, np.append(t.first, len(t.words)))
+                owner = np.searchsorted(t.first + t.count, places, side="right")
+                order = np.lexsort((hashes, owner))
+                owner, hashes = owner[order], hashes[order]
+                fresh = np.ones(len(owner), bool)
+                fresh[1:] = (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])
+                some = np.flatnonzero(fresh)
+                cut = pa.array(np.searchsorted(owner[some], np.arange(len(t.count) + 1)), pa.int32())
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": part.column("doc_id"), "n_words": t.count.astype(np.int64), "lo": lo, "hi": hi,
                     "sha": [_sha(data, a, b) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)],
-                    "anchors": pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(hashes.view(np.int64))),
+                    "anchors": pa.ListArray.from_arrays(cut, pa.array(hashes[some].view(np.int64))),
+                    "times": pa.ListArray.from_arrays(cut, pa.array(np.diff(np.append(some, len(owner))), pa.int32())),
                 })
 
-    return arrow_map(documents, run, "doc_id long, n_words long, lo long, hi long, sha string, anchors array<long>")
+    return arrow_map(documents, run, "doc_id long, n_words long, lo long, hi long, sha string, anchors array<long>, times array<int>")
 
 
 def repeated_anchors(described: DataFrame) -> DataFrame:
     """Step 2: (doc_id, lo, shared, hot): of each class's smallest document, the anchors other classes have too."""
     reps = described.where(F.col("doc_id").isNotNull() & (F.size("anchors") > 0)).groupBy("lo", "hi", "n_words").agg(
-        F.min("doc_id").alias("doc_id"), F.first("anchors").alias("anchors"))
-    rows = spread(reps.select("doc_id", "lo", F.explode(F.array_distinct("anchors")).alias("h")), "h")
-    counts = rows.groupBy("h").agg(F.min("lo").alias("x"), F.max("lo").alias("y"), F.count(F.lit(1)).alias("n")).where("x < y")
+        F.min("doc_id").alias("doc_id"), F.first(F.arrays_zip("anchors", "times")).alias("anchors"))
+    rows = spread(reps.select("doc_id", "lo", F.explode("anchors").alias("a")).select("doc_id", "lo", "a.*").withColumnRenamed("anchors", "h"), "h")
+    counts = rows.groupBy("h").agg(F.min("lo").alias("x"), F.max("lo").alias("y"), F.sum("times").alias("n")).where("x < y")
     shared = rows.join(counts.select("h", "n"), "h")
     return shared.groupBy("doc_id", "lo").agg(
         F.collect_list(F.when(F.col("n") <= GROUP_ROWS, F.col("h"))).alias("shared"), F.collect_list(F.when(F.col("n") > GROUP_ROWS, F.col("h"))).alias("hot"))
 
 
-def _of_text(batch: pa.RecordBatch, column: str, t: Texts, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, word index, hash) of the anchors of each text that its list ``column`` names."""
-    places, hashes = t.anchors(window)
+def _named(batch: pa.RecordBatch, column: str, t: Texts, places: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text of each place, whether its text's list ``column`` names the hash)."""
     owner = np.searchsorted(t.first + t.count, places, side="right")
     lists = batch.column(column)
     sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
     wanted = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
     row = np.repeat(np.arange(len(lists)), sizes).astype(np.uint64)
     salt = lambda r, h: mix(h + mix(r.astype(np.uint64) + np.uint64(11)))
-    hit = np.isin(salt(owner, hashes), salt(row, wanted)) & (t.names()[0] == batch.column("lo").to_numpy())[owner]
-    return owner[hit], places[hit], hashes[hit]
+    return owner, np.isin(salt(owner, hashes), salt(row, wanted)) & (t.names()[0] == batch.column("lo").to_numpy())[owner]
 
 
 def suffixes(texts: DataFrame, window: int) -> DataFrame:
@@ -146,7 +160,9 @@ def suffixes(texts: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             for part in text_slices(batch, "text", 1 << 20):
                 t = Texts(part.column("text"))
-                row, place, h = _of_text(part, "shared", t, window)
+                place, h = t.anchors(window)
+                row, named = _named(part, "shared", t, place, h)
+                row, place, h = row[named], place[named], h[named]
                 if not len(row):
                     continue
                 data, at = t.normal()
@@ -245,19 +261,16 @@ def window_marks(texts: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             for part in text_slices(batch, "text", 1 << 20):
                 t = Texts(part.column("text"))
-                row, place, _ = _of_text(part, "hot", t, window)
+                begin, place, h = t.window_anchors(window)
+                row, named = _named(part, "hot", t, place, h)
+                row, begin = row[named], begin[named]
                 one, two = gram_hashes(t.words, window), gram_hashes(t.words, window, salt=1)
-                for o in range(window - GRAM + 1):
-                    begin = place - o
-                    ok = (begin >= t.first[row]) & (begin + window <= (t.first + t.count)[row])
-                    r, b = row[ok], begin[ok]
-                    yield pa.RecordBatch.from_pydict({
-                        "x": one[b].view(np.int64), "y": two[b].view(np.int64), "doc_id": part.column("doc_id").to_numpy()[r],
-                        "lo": part.column("lo").to_numpy()[r], "place": (place[ok] - t.first[r]).astype(np.int32),
-                        "marks": np.full(len(r), 1 << o, np.int64),
-                    })
-
-    rows = arrow_map(texts, run, "x long, y long, doc_id long, lo long, place int, marks long")
+                yield pa.RecordBatch.from_pydict({
+                    "x": one[begin].view(np.int64), "y": two[begin].view(np.int64), "doc_id": part.column("doc_id").to_numpy()[row],
+                    "lo": part.column("lo").to_numpy()[row], "place": (begin - t.first[row]).astype(np.int32), "marks": np.ones(len(row), np.int64),
+                })
+
+    rows = stage(arrow_map(texts, run, "x long, y long, doc_id long, lo long, place int, marks long"), "repeat-windows")
     least = rows.groupBy("x", "y").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     return rows.join(least, ["x", "y"]).where("doc_id > least").select("doc_id", "lo", "place", "marks")
 
@@ -320,7 +333,7 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, doc_id: str = "do
     repeats = find_repeats(rows, described, window)
     partial = stripped(rows, repeats, window).groupBy("doc_id", "lo").agg(F.first("n_removed").alias("n_removed"), F.first("kept").alias("kept"))
     classes = described.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= window)).groupBy("lo", "hi").agg(F.min("doc_id").alias("rep"))
-    joined = described.drop("anchors").join(classes, ["lo", "hi"], "left").join(partial, ["doc_id", "lo"], "left")
+    joined = described.drop("anchors", "times").join(classes, ["lo", "hi"], "left").join(partial, ["doc_id", "lo"], "left")
     copy = F.coalesce(F.col("rep") < F.col("doc_id"), F.lit(False))
     kept = F.when(copy, F.lit("")).otherwise(F.col("kept"))
     return joined.select(
