@@ -198,3 +198,25 @@ def test_an_index_survives_saving(spark, tmp_path):
     back = ann.IvfIndex.load(spark, str(tmp_path / "index"))
     rows = lambda i: sorted(map(tuple, ann.ivf_search(queries, i, 3, nprobe=2).collect()))
     assert rows(index) == rows(back)
+
+
+def test_deltas_are_merged_and_compacted(spark, tmp_path):
+    rows = [(u, u % 3, "click" if u % 2 else "purchase", f"2024-01-0{1 + u % 7} 00:00:00") for u in range(40)]
+    df = spark.createDataFrame(rows, "user_id long, item_id long, event_type string, ts string").withColumn("ts", F.to_timestamp("ts"))
+    df.repartition(5).write.parquet(str(tmp_path / "in"))
+    stream = streams.feedback_stream(spark, str(tmp_path / "in"), df.schema, max_files_per_trigger=1)
+    for every in (2, 100):
+        got = streams.run_merged(stream, streams.preference_delta, streams.merge_preference, "merged", compact_every=every)
+        want = streams.merge_preference(streams.preference_delta(df))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_windows_in_update_mode_keep_the_newest_count(spark, tmp_path):
+    rows = [(u % 2, f"2024-01-01 00:{m:02d}:00") for u in range(3) for m in range(0, 60, 7)]
+    df = spark.createDataFrame(rows, "user_id long, ts string").withColumn("ts", F.to_timestamp("ts"))
+    df.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = streams.feedback_stream(spark, str(tmp_path / "in"), df.schema, max_files_per_trigger=1)
+    counted = streams.window_counts(stream, ("user_id",), width="1 hour")
+    written, _ = streams.run_available(counted, "windows", "update")
+    got = streams.latest(written, ("window_start", "window_end", "user_id"))
+    assert {r["user_id"]: r["rows"] for r in got.collect()} == {r["user_id"]: r["count"] for r in df.groupBy("user_id").count().collect()}
