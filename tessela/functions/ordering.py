@@ -35,20 +35,19 @@ def position_in_group(
     placed = F.col(ts).isNotNull()
     for g in group:
         placed &= F.col(g).isNotNull()
-    bucketed = df.where(placed).withColumn("__bucket", time_bucket(F.col(ts), bucket_seconds) * F.lit(sign))
-    # rows without a key or time take no position and meet nowhere
-    unplaced = df.where(~placed).withColumn(out, F.lit(None).cast("long"))
-    keys = [*group, "__bucket"]
-    counts = bucketed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    # rows without a key or time take no position; they are dealt over many buckets of their own
+    spread = F.when(placed, F.lit(0)).otherwise(F.pmod(F.xxhash64(*group, ts, *tiebreak), F.lit(4096)).cast("int"))
+    bucketed = df.withColumn("__bucket", time_bucket(F.col(ts), bucket_seconds) * F.lit(sign)).withColumn("__spread", spread)
+    keys = [*group, "__bucket", "__spread"]
+    counts = bucketed.where(placed).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
     first = F.col(ts).desc() if descending else F.col(ts).asc()
     inside = Window.partitionBy(*keys).orderBy(first, *[F.col(c) for c in tiebreak])
     return (
-        bucketed.join(offsets, keys)
-        .withColumn(out, (F.row_number().over(inside) + F.col("__offset")).cast("long"))
+        bucketed.join(offsets, keys, "left")
+        .withColumn(out, F.when(placed, (F.row_number().over(inside) + F.col("__offset")).cast("long")))
         .select(*[F.col(f"`{c}`") for c in df.columns if c != out], out)
-        .unionByName(unplaced)
     )
 
 
