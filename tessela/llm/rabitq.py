@@ -6,8 +6,9 @@ stored correction factor give an unbiased estimate of the cosine with another. O
 reaches the threshold are computed from the original vectors, in doubles.
 
 Guests: two vectors at the threshold are r = sqrt(2 - 2t) apart. If neither is a guest in the other's cell, the line
-between them crosses the boundary at more than ``2 * margin``; the margin is r / 2, which excludes that, or GUARD
-standard deviations of a displacement of length r in a random direction, whichever is smaller.
+between them crosses the boundary at more than ``2 * margin``; the margin is r / 2, which excludes that wherever the
+vectors lie. How many cells there are decides the work and never the result; the number with the least work in a sample
+is taken, down to one cell, where no cells separate the vectors.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ from tessela.llm.registry import query
 from tessela.llm.sigtree import runs
 from tessela.llm.vectors import SEED, balanced_centroids, cosines, matrix, sample, unit, valid
 
-GUARD = 2.5
 EPSILON = 6.0
-BLOCK = 1024
+BLOCK = 4096
 PER_CENTROID = 8
+MOVED = 1000  # a row that is moved costs as much as so many estimates
 
 
 def rotation(dim: int) -> np.ndarray:
@@ -91,13 +92,46 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+def distances(centroids: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0, (centroids**2).sum(1)[:, None] + (centroids**2).sum(1) - 2 * centroids @ centroids.T))
+
+
+def homes(u: np.ndarray, centroids: np.ndarray, apart: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(home, near): the cell of each unit vector, and whether it is at home or a guest in each cell."""
+    # all centroids are unit vectors: the nearest boundary is where the products are equal
+    product = u @ centroids.T
+    home = product.argmax(1)
+    at = np.arange(len(u)), home
+    # half of the distance at the threshold, and more than rounding can take away
+    near = product[at][:, None] - product <= np.sqrt(max(0.0, 2 - 2 * threshold)) / 2 * apart[home] + 1e-7
+    near[at] = True
+    return home, near
+
+
+def work(points: np.ndarray, centroids: np.ndarray, threshold: float, count: int) -> float:
+    """Estimates and moved rows that ``count`` vectors distributed like ``points`` take in these cells."""
+    k, apart = len(centroids), distances(centroids)
+    at_home, in_all = np.zeros(k), np.zeros(k)
+    for a in range(0, len(points), 4096):
+        home, near = homes(points[a : a + 4096], centroids, apart, threshold)
+        at_home += np.bincount(home, minlength=k)
+        in_all += near.sum(0)
+    h, g = at_home * count / len(points), (in_all - at_home) * count / len(points)
+    blocks, guest_blocks = np.maximum(1, np.ceil(h / BLOCK)), np.maximum(1, np.ceil(g / BLOCK))
+    return float((h * h / 2 + h * g + MOVED * (h + g + h * (blocks + guest_blocks) + g * blocks)).sum())
+
+
+def cell_centroids(points: np.ndarray, threshold: float, count: int) -> np.ndarray:
+    """Centroids of the cells with the least work, out of the root of ``count``, half as many, and so on down to one."""
+    k = max(1, min(round(count**0.5), len(points) // PER_CENTROID))
+    made = [balanced_centroids(points, k >> halved) for halved in range(k.bit_length())]
+    return min(made, key=lambda centroids: work(points, centroids, threshold, count))
+
+
 def _cells(rows: DataFrame, centroids: np.ndarray, threshold: float) -> DataFrame:
     """(rep, copies, v, bits, factor, cell, home, guests): every class in its own cell and in those it is a guest of."""
-    dim = centroids.shape[1]
-    r = np.sqrt(max(0.0, 2 - 2 * threshold))
-    margin = min(r / 2, GUARD * r / np.sqrt(dim))
-    turn = rotation(dim)
-    apart = np.sqrt(np.maximum(0, (centroids**2).sum(1)[:, None] + (centroids**2).sum(1) - 2 * centroids @ centroids.T))
+    turn = rotation(centroids.shape[1])
+    apart = distances(centroids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,12 +139,7 @@ def _cells(rows: DataFrame, centroids: np.ndarray, threshold: float) -> DataFram
                 part = batch.slice(at, 1024)
                 u = unit(matrix(part.column("v")))
                 bits, factor = encode(u, turn)
-                # all centroids are unit vectors: the nearest boundary is where the products are equal
-                product = u @ centroids.T
-                home = product.argmax(1)
-                top = product[np.arange(len(u)), home]
-                near = top[:, None] - product <= margin * apart[home]
-                near[np.arange(len(u)), home] = True
+                home, near = homes(u, centroids, apart, threshold)
                 row, cell = np.nonzero(near)
                 ids = pa.array(row)
                 guests = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(u) + 1)), pa.int32()), pa.array(cell, pa.int32()))
@@ -209,7 +238,7 @@ def near_vectors(df: DataFrame, threshold: float, vec_id: str = "vec_id", vector
         return every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     dim = len(classes.first()["v"])
     points = sample(classes.withColumnRenamed("rep", "vec_id"), count, dim)
-    centroids = balanced_centroids(points, max(1, min(round(count**0.5), len(points) // PER_CENTROID)))
+    centroids = cell_centroids(points, threshold, count)
     found = stage(linked(classes.select("rep", "copies", "v"), centroids, threshold), "vector-links")
     counts = found.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("n"))
     groups = components(found.where("b IS NOT NULL").select("a", "b"))

@@ -188,6 +188,24 @@ def test_links_are_those_of_all_pairs(cloud, monkeypatch, block):
     assert s.sum() > 3000
 
 
+@pytest.mark.parametrize("rank", [3, 8])
+def test_links_near_a_subspace_equal_all_pairs(spark, rank):
+    rng = np.random.default_rng(rank)
+    v = rng.normal(size=(700, rank))
+    v = np.concatenate([v, v + 0.25 * rng.normal(size=v.shape) * np.linalg.norm(v, axis=1, keepdims=True) / np.sqrt(rank)]) @ rng.normal(size=(rank, 64))
+    s = _unit(v) @ _unit(v).T
+    assert np.abs(s - 0.95).min() > 1e-9
+    want = (s >= 0.95).sum(1) - 1
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in rabitq.near_vectors(df, 0.95).collect()}
+    assert [got[k] for k in range(len(v))] == list(want)
+    # the result does not depend on the number of cells
+    rows = df.select(F.col("vec_id").alias("rep"), F.lit(1).cast("long").alias("copies"), F.col("embedding").alias("v"))
+    found = rabitq.linked(rows, vectors.balanced_centroids(_unit(v), 64), 0.95).where("b IS NULL").groupBy("a").agg(F.sum("n").alias("n"))
+    links = {r["a"]: r["n"] for r in found.collect()}
+    assert [links.get(k, 0) for k in range(len(v))] == list(want)
+
+
 def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(3)
     x = _unit(rng.normal(size=(300, 64)))
