@@ -267,15 +267,9 @@ def e22(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.graph_features(order_interactions(spark, sf_dir), ORDER_ROLES)
 
 
-@query("e22_two_hop_reach", f"""
-WITH {X1}, e AS (SELECT DISTINCT user_id, item_id FROM x1)
-SELECT a.user_id, count(DISTINCT b.user_id) AS reach, true AS estimate_is_near FROM e a JOIN e b USING (item_id) WHERE a.user_id % 50 = 0 GROUP BY 1""")
+@query("e22_two_hop_reach")
 def e22_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = order_interactions(spark, sf_dir)
-    seeds = rows.where(F.col("user_id") % 50 == 0).select("user_id").distinct()
-    exact, estimate = features.two_hop_exact(rows, ORDER_ROLES, seeds), features.two_hop_reach(rows, ORDER_ROLES, lg_k=12)
-    near = F.abs(F.col("two_hop_reach") - F.col("reach")) <= 0.1 * F.col("reach")
-    return exact.join(estimate, "user_id").select("user_id", "reach", near.alias("estimate_is_near"))
+    return features.two_hop_reach(order_interactions(spark, sf_dir), ORDER_ROLES, lg_k=12)
 
 
 @query("f1_label", f"WITH {X2} SELECT event_id, CASE WHEN value > 100 THEN 1.0::DOUBLE ELSE 0.0 END AS label FROM x2")

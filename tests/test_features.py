@@ -12,8 +12,11 @@ from tessela.functions.ordering import dense_numbers, position_in_group
 from tessela.functions.quantiles import exact_quantiles, kth_smallest
 from tessela.operators import features, prep
 from tessela.operators.feedback import replay_buffer
+from tessela.plans import catalog
+from tessela.plans.fixtures import order_interactions
 from tessela.roles import Roles
 
+SF_DIR = "/root/testdata/sf0.001"
 ROLES = Roles(tiebreak=("row",))
 
 
@@ -118,6 +121,26 @@ def test_two_hop_reach_is_close(spark):
         assert r["two_hop_reach"] == pytest.approx(len(exact), rel=0.1)
 
 
+def test_two_hop_reach_is_near_the_exact_reach_of_seeds(spark):
+    rng = random.Random(7)
+    edges = [(int(300 * rng.random() ** 2), rng.randrange(400)) for _ in range(2000)]
+    df = spark.createDataFrame([(u, i, 1.0) for u, i in edges], "user_id long, item_id long, signal double")
+    distinct = set(edges)
+    exact = {r["user_id"]: r["reach"] for r in features.two_hop_exact(df, ROLES, df.where("user_id % 5 = 0")).collect()}
+    estimate = {r["user_id"]: r["two_hop_reach"] for r in features.two_hop_reach(df, ROLES, lg_k=12).collect()}
+    assert set(estimate) == {u for u, _ in edges} and set(exact) == {u for u in estimate if u % 5 == 0}
+    for user, reach in exact.items():
+        assert reach == len({u for u, i in distinct if (user, i) in distinct})
+        assert abs(estimate[user] - reach) <= 0.1 * reach
+
+
+def test_two_hop_reach_query_has_every_user(spark):
+    got = catalog.QUERIES["e22_two_hop_reach"](spark, SF_DIR)
+    users = order_interactions(spark, SF_DIR).select("user_id").distinct()
+    assert got.columns == ["user_id", "two_hop_reach"]
+    assert got.count() == users.count() == got.join(users, "user_id").count()
+
+
 def test_negatives_are_new_to_the_user(spark):
     rows, df = _interactions(spark, 60)
     seen = {(r[0], r[1]) for r in rows}
