@@ -41,14 +41,13 @@ def _long_rank(df: DataFrame) -> DataFrame:
     return df.withColumn("rank", F.col("rank").cast("long"))
 
 
-_PROFILES = f"""{X2}, {X3}, h AS (SELECT user_id, item_id, count(*) AS w FROM x2 WHERE event_type = 'purchase' GROUP BY 1, 2),
+_PROFILES = f"""{X2}, {X3}, h AS (SELECT user_id, item_id, count(*) AS w FROM x2 GROUP BY 1, 2),
   d AS (SELECT user_id, i, sum(w * x) / sum(w) AS m FROM (SELECT user_id, w, unnest(range(len(v))) AS i, unnest(v) AS x FROM h JOIN x3 ON item_id = vec_id) GROUP BY 1, 2),
   p AS (SELECT user_id, list(m ORDER BY i) AS v FROM d GROUP BY 1)"""
 
 
 def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bought = event_interactions(spark, sf_dir).where(F.col("event_type") == "purchase")
-    return explain.user_profiles(bought, EVENT_ROLES, vector_table(spark, sf_dir, "item_id")).withColumnRenamed("profile", "vector")
+    return explain.user_profiles(event_interactions(spark, sf_dir), EVENT_ROLES, vector_table(spark, sf_dir, "item_id")).withColumnRenamed("profile", "vector")
 
 
 @query("i1_candidates", f"""

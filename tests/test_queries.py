@@ -6,6 +6,7 @@ import math
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as driver
@@ -50,6 +51,19 @@ def test_query_equals_sql(spark, duck, name):
     assert _rows(ours) == _rows(theirs)
 
 
+def test_candidates_follow_all_events(spark, duck):
+    ours = driver.queries()["i1_candidates"](spark, SF_DIR).toPandas()
+    assert _rows(ours) == _rows(duck.sql(driver.oracle_sql()["i1_candidates"]).df())
+    items = duck.sql("SELECT vec_id, embedding FROM embeddings").df().set_index("vec_id")["embedding"].map(lambda v: v / np.sqrt(np.square(v, dtype=float).sum()))
+    seen = duck.sql("SELECT user_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS item_id FROM events").df()
+    seen = seen[seen["item_id"].isin(items.index)]
+    assert set(ours["user_id"]) == set(seen["user_id"])
+    for user, rows in seen.groupby("user_id"):
+        profile = np.mean([items[i] for i in rows["item_id"]], axis=0)
+        best = max(float(v @ profile) for v in items)
+        assert abs(ours[(ours["user_id"] == user) & (ours["rank"] == 1)]["score"].iloc[0] - best) < 2e-6
+
+
 def test_every_sql_twin_has_a_query():
     assert set(driver.oracle_sql()) <= set(driver.queries())
 
