@@ -10,6 +10,8 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as driver
+from tessela.operators import profile
+from tessela.plans.fixtures import order_interactions
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -64,6 +66,24 @@ def test_candidates_follow_all_events(spark, duck):
         assert abs(ours[(ours["user_id"] == user) & (ours["rank"] == 1)]["score"].iloc[0] - best) < 2e-6
 
 
+def test_profiles_have_every_column(spark, duck):
+    lineitem = set(duck.sql("SELECT * FROM lineitem").columns)
+    customer = set(duck.sql("SELECT * FROM customer").columns)
+    made = {n: driver.queries()[n](spark, SF_DIR).toPandas() for n in ("b1_profile_columns", "b5_table_quality", "b9_content_type", "b16_feature_stats")}
+    assert set(made["b1_profile_columns"]["column"]) == lineitem
+    assert set(made["b9_content_type"]["column"]) == lineitem | customer
+    assert set(made["b16_feature_stats"]["column"]) == set(order_interactions(spark, SF_DIR).columns)
+    assert made["b5_table_quality"]["total_cells"][0] == made["b5_table_quality"]["num_rows"][0] * len(lineitem)
+    for name, df in made.items():
+        assert _rows(df) == _rows(duck.sql(driver.oracle_sql()[name]).df())
+
+
+def test_quality_counts_repeated_rows_and_nulls_of_all_columns(spark):
+    rows = [(1, "a", None), (1, "a", None), (1, "a", 2.0), (None, None, None)]
+    got = profile.profile_quality(spark.createDataFrame(rows, "x int, y string, z double")).first().asDict()
+    assert got == {"num_rows": 4, "total_cells": 12, "null_cells": 5, "null_pct": 41.67, "duplicate_rows": 1}
+
+
 def test_every_sql_twin_has_a_query():
     assert set(driver.oracle_sql()) <= set(driver.queries())
 
