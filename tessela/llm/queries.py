@@ -1,6 +1,6 @@
 """All queries of the subpackage; the modules register theirs when they are imported."""
 
-from tessela.llm import langid, mixing, packing, pii, rabitq, sigtree, spann, substring, tokens, warc
+from tessela.llm import langid, mixing, packing, pii, rabitq, sigtree, spann, substring, tokens, warc, whitening
 from tessela.llm.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "langid", "mixing", "packing", "pii", "rabitq", "sigtree", "spann", "substring", "tokens", "warc"]
+__all__ = ["ORACLES", "QUERIES", "langid", "mixing", "packing", "pii", "rabitq", "sigtree", "spann", "substring", "tokens", "warc", "whitening"]
