@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType, StringType
 
-from tessela.functions.ordering import DAY_SECONDS, position_in_group, time_bucket
+from tessela.functions.ordering import position_in_group, scan_by_key
 from tessela.roles import Roles
 
 
@@ -52,7 +52,7 @@ def temporal_features(df: DataFrame, roles: Roles) -> DataFrame:
 def elapsed_days(since: Column, as_of: Column) -> Column:
     """Whole days from one time to another, cut towards zero."""
     micros = F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(since.cast("timestamp"))
-    return (micros / F.lit(DAY_SECONDS * 1_000_000)).cast("long")
+    return (micros / F.lit(86_400 * 1_000_000)).cast("long")
 
 
 def elapsed_seconds(since: Column, until: Column) -> Column:
@@ -121,39 +121,13 @@ def session_position(df: DataFrame, roles: Roles, out: str = "session_position")
     return position_in_group(df, [session_key(roles)], roles.ts, roles.tiebreak, out)
 
 
-def sessionize(
-    df: DataFrame, roles: Roles, gap_seconds: int = 1800, out: str = "session_no", bucket_seconds: int = DAY_SECONDS
-) -> DataFrame:
+def sessionize(df: DataFrame, roles: Roles, gap_seconds: int = 1800, out: str = "session_no") -> DataFrame:
     """Number the sessions of each user from 1; a pause of at least the gap starts a new one.
 
-    Session starts are found inside (user, time bucket); the last time of the previous bucket, from a table with one row
-    per bucket, decides about a bucket's first row and carries the running number over.
+    Rows without a user or a time are in no session. A user's rows may lie in many ranges, see ``scan_by_key``.
     """
-    user, ts = roles.user, roles.ts
-    rows = df.withColumn("__bucket", time_bucket(F.col(ts), bucket_seconds)).withColumn(
-        "__us", F.unix_micros(F.col(ts).cast("timestamp"))
-    )
-    inside = Window.partitionBy(user, "__bucket").orderBy("__us", *roles.tiebreak)
-    gap = F.lit(gap_seconds * 1_000_000)
-    pause = F.col("__us") - F.lag("__us").over(inside)
-    flagged = rows.withColumn("__start", (pause >= gap).cast("int"))  # null on the first row of a bucket
-    local = flagged.withColumn("__local", F.sum(F.coalesce("__start", F.lit(0))).over(
-        inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    buckets = rows.groupBy(user, "__bucket").agg(F.min("__us").alias("first"), F.max("__us").alias("last"))
-    starts = flagged.groupBy(user, "__bucket").agg(F.sum(F.coalesce("__start", F.lit(0))).alias("starts"))
-    # an equi-join: rows without a time or a user are in no session
-    summary = buckets.join(starts, [user, "__bucket"])
-    along = Window.partitionBy(user).orderBy("__bucket")
-    opens = F.coalesce((F.col("first") - F.lag("last").over(along) >= gap).cast("int"), F.lit(1))
-    summary = summary.withColumn("opens", opens)
-    before = along.rowsBetween(Window.unboundedPreceding, -1)
-    offset = F.coalesce(F.sum(F.col("opens") + F.col("starts")).over(before), F.lit(0)) + F.col("opens")
-    offsets = summary.select(user, "__bucket", offset.alias("__offset"))
-    return (
-        local.join(offsets, [user, "__bucket"], "left")
-        .withColumn(out, (F.col("__local") + F.col("__offset")).cast("long"))
-        .drop("__bucket", "__us", "__start", "__local", "__offset")
-    )
+    found = scan_by_key(df, [roles.user], roles.ts, roles.tiebreak, gap_seconds)
+    return found.select(*[F.col(f"`{c}`") for c in df.columns if c != out], F.col("__session").alias(out))
 
 
 def sessions(df: DataFrame, roles: Roles, gap_seconds: int = 1800) -> DataFrame:

@@ -8,7 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessela.functions.ordering import dense_numbers, position_in_group
+from tessela.functions import ordering
+from tessela.functions.ordering import dense_numbers, position_in_group, scan_by_key
+from tessela.functions.ordering import materialize as ordering_materialize
 from tessela.functions.quantiles import exact_quantiles, kth_smallest
 from tessela.operators import features, prep
 from tessela.operators.feedback import replay_buffer
@@ -34,7 +36,7 @@ def _interactions(spark, n=400, seed=3):
 @pytest.mark.parametrize("descending", [False, True])
 def test_position_in_group(spark, descending):
     rows, df = _interactions(spark)
-    got = {r["row"]: r["p"] for r in position_in_group(df, ["user_id"], "ts", ["row"], "p", 86400, descending).collect()}
+    got = {r["row"]: r["p"] for r in position_in_group(df, ["user_id"], "ts", ["row"], "p", descending).collect()}
     for user in {r[0] for r in rows}:
         mine = sorted((r for r in rows if r[0] == user), key=lambda r: (-r[3] if descending else r[3], r[4]))
         assert [got[r[4]] for r in mine] == list(range(1, len(mine) + 1))
@@ -62,7 +64,7 @@ def test_exact_quantiles_from_ranges(spark):
 
 def test_sessionize_across_midnight(spark):
     rows, df = _interactions(spark, 600)
-    got = {r["row"]: r["session_no"] for r in features.sessionize(df, ROLES, gap_seconds=4001, bucket_seconds=7200).collect()}
+    got = {r["row"]: r["session_no"] for r in features.sessionize(df, ROLES, gap_seconds=4001).collect()}
     for user in {r[0] for r in rows}:
         number, last = 0, None
         for r in sorted((r for r in rows if r[0] == user), key=lambda r: (r[3], r[4])):
@@ -184,3 +186,38 @@ def test_every_category_column_gets_an_index(spark):
     wide = df.select("ts", *[F.concat("v", F.lit(str(i)), "ts").alias(f"c{i}") for i in range(12)])
     made = prep.index_categories(wide, [f"c{i}" for i in range(12)], "ts")
     assert all({r[f"c{i}_index"] for r in made.collect()} == {1, 2, 3} for i in range(12))
+
+
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_a_hot_key_of_one_day_spreads_over_all_ranges(spark, batch, monkeypatch):
+    """A third of the rows are one key on one day; keys and pauses also change exactly where a range or an Arrow batch ends."""
+    rng = random.Random(8)
+    rows = [(1, 1_700_000_000 + rng.randrange(400), k) for k in range(1500)]
+    rows += [(rng.choice([None, 2, 3, 4]), rng.choice([None, 1_700_000_000 + rng.randrange(90) * 900]), 1500 + k) for k in range(2500)]
+    rows += [(9, 1_700_000_000, 10**6)] * 500  # wholly equal rows
+    df = spark.createDataFrame(rows, "user_id long, s long, row long").withColumn("ts", F.timestamp_seconds("s"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    written = []
+    monkeypatch.setattr(ordering, "materialize", lambda frame, name: written.append(ordering_materialize(frame, name)) or written[-1])
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        found = scan_by_key(df, ["user_id"], "ts", ["row"], gap_seconds=1800).collect()
+        parts = [r["n"] for r in written[0].groupBy("__range").agg(F.count(F.lit(1)).alias("n")).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(found) == len(rows) and len(parts) >= 12 and max(parts) < len(rows) / 5
+    for user in {r[0] for r in rows}:
+        mine = sorted((r for r in found if r["user_id"] == user and r["s"] is not None), key=lambda r: r["__position"] or 0)
+        if user is None:
+            assert all(r["__position"] is None and r["__session"] is None for r in mine)
+            continue
+        assert [r["__position"] for r in mine] == list(range(1, len(mine) + 1))
+        assert [(r["s"], r["row"]) for r in mine] == sorted((r[1], r[2]) for r in rows if r[0] == user and r[1] is not None)
+        number, last = 0, None
+        for r in mine:
+            number += last is None or r["s"] - last >= 1800
+            last = r["s"]
+            assert r["__session"] == number
+    assert all(r["__position"] is None for r in found if r["s"] is None)
