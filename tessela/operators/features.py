@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType, StringType
 
-from tessela.functions.ordering import position_in_group, scan_by_key
+from tessela.functions.ordering import dense_numbers, position_in_group, scan_by_key
 from tessela.roles import Roles
+from tessela.session import materialize
 
 
 def _q(name: str) -> Column:
@@ -251,6 +252,24 @@ def two_hop_exact(df: DataFrame, roles: Roles, seeds: DataFrame) -> DataFrame:
     return reached.groupBy(F.col("__seed").alias(roles.user)).agg(F.count(F.lit(1)).alias("reach"))
 
 
+def two_hop_counts(df: DataFrame, roles: Roles) -> DataFrame:
+    """(user, reach): exactly how many users share an item with each user, itself included, for all users.
+
+    Users get dense numbers, and an item the bitmaps of its users, 32,768 numbers each. A user's reach is the OR of the
+    bitmaps of its items, combined before the shuffle, so no pair of users is ever a row. Work is edges times the bitmaps
+    an item has: at most one per 32,768 users, which suits dense graphs; ``two_hop_reach`` estimates it at constant size.
+    Rows without a user or an item are no edges.
+    """
+    edges = materialize(df.select(roles.user, roles.item).where(F.col(roles.user).isNotNull() & F.col(roles.item).isNotNull()).distinct(), "edges")
+    numbered = edges.join(dense_numbers(edges, roles.user, "__number"), roles.user).withColumn("__number", F.col("__number") + 1)
+    bitmaps = numbered.groupBy(roles.item, F.bitmap_bucket_number("__number").alias("__bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("__number")).alias("__users"))
+    # used on one side of a join only, but it is small against the join and cheap to read again after a lost executor
+    bitmaps = materialize(bitmaps, "item-users")
+    reached = edges.join(bitmaps, roles.item).groupBy(roles.user, "__bucket").agg(F.bitmap_count(F.bitmap_or_agg("__users")).alias("__n"))
+    return reached.groupBy(roles.user).agg(F.sum("__n").alias("reach"))
+
+
 def two_hop_reach(df: DataFrame, roles: Roles, lg_k: int = 10) -> DataFrame:
     """Estimated number of distinct users, the user included, that share an item with the user.
 

@@ -5,58 +5,52 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessela.functions.vectors import dot, l2_normalize
 from tessela.operators.recommend import days_before, recent_pairs
 from tessela.roles import Roles
-
-
-MAX_LIST = 100_000
+from tessela.session import materialize
 
 
 def mmr(recs: DataFrame, item_vectors: DataFrame, k: int = 10, weight: float = 0.5, pool: int | None = None) -> DataFrame:
     """Maximal marginal relevance (Carbonell and Goldstein 1998) over each user's candidate list, or its ``pool`` best.
 
     Each step takes the item with the largest weight * score - (1 - weight) * largest cosine to the items taken, ties by
-    item. An item without a vector is like no other. A list is what the retrieval step returned for one user; more than
-    MAX_LIST candidates stop with an error instead of being cut.
+    item. An item without a vector is like no other. An item that a list repeats is taken once, with its best score; a
+    candidate without a score comes after all others.
+
+    Runs in ``k`` rounds for all users at once. A round is one combined minimum per user over the candidates, which are
+    written once, and what it takes is one row per user; no list is ever in one place, however long it is.
     """
     if pool is not None:
         order = Window.partitionBy("user_id").orderBy(F.col("score").desc(), "item_id")
         recs = recs.withColumn("__rn", F.row_number().over(order)).where(F.col("__rn") <= pool)
-    known = item_vectors.select("item_id", "vector")
-    rows = recs.join(known, "item_id", "left").select("user_id", "item_id", "score", "vector")
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > MAX_LIST:
-            raise ValueError(f"a list of {len(pdf)} candidates; give mmr a pool")
-        pdf = pdf.sort_values("item_id").reset_index(drop=True)
-        given = [v for v in pdf["vector"] if v is not None]
-        vectors = np.stack([np.zeros(len(given[0]) if given else 1) if v is None else v for v in pdf["vector"]]).astype(float)
-        lengths = np.linalg.norm(vectors, axis=1, keepdims=True)
-        unit = vectors / np.where(lengths > 0, lengths, 1.0)
-        relevance = pdf["score"].to_numpy(dtype=float)
-        closest = np.full(len(pdf), -np.inf)
-        open_ = np.ones(len(pdf), dtype=bool)
-        picked, values = [], []
-        for _ in range(min(k, len(pdf))):
-            penalty = np.where(np.isfinite(closest), closest, 0.0)
-            value = np.round(np.where(open_, weight * relevance - (1 - weight) * penalty, -np.inf), 9)
-            best = int(np.argmax(value))
-            picked.append(best)
-            values.append(value[best])
-            open_[best] = False
-            closest = np.maximum(closest, unit @ unit[best])
-        return pd.DataFrame({
-            "user_id": pdf["user_id"].iloc[picked].to_numpy(), "item_id": pdf["item_id"].iloc[picked].to_numpy(),
-            "score": relevance[picked], "mmr": values, "rank": np.arange(1, len(picked) + 1),
-        })
-
-    user, item = (rows.schema[c].dataType.simpleString() for c in ("user_id", "item_id"))
-    return rows.groupBy("user_id").applyInPandas(pick, f"user_id {user}, item_id {item}, score double, mmr double, rank long")
+    known = materialize(item_vectors.select("item_id", l2_normalize(F.col("vector")).alias("__v")), "mmr-vectors")
+    rows = recs.select("user_id", "item_id", F.col("score").cast("double").alias("score")).join(known, "item_id", "left")
+    rows = materialize(rows, "mmr-candidates")
+    taken = None
+    for _ in range(k):
+        closest, left = F.lit(0.0), rows
+        if taken is not None:
+            # one row per user on the right
+            left = rows.join(taken.withColumnRenamed("user_id", "__user"), F.col("user_id").eqNullSafe(F.col("__user")))
+            left = left.where(~F.exists("__taken", lambda t: t["item_id"].eqNullSafe(F.col("item_id"))))
+            closest = F.array_max(F.transform("__taken", lambda t: F.coalesce(dot(t["v"], F.col("__v")), F.lit(0.0))))
+        value = F.round(weight * F.col("score") - (1 - weight) * closest, 9)
+        # the smallest of these is the best value, then the smallest item
+        best = F.min(F.struct(F.coalesce(-value, F.lit(float("inf"))).alias("worth"), "item_id", "score", value.alias("mmr")))
+        found = left.groupBy("user_id").agg(best.alias("__best")).select("user_id", "__best.item_id", "__best.score", "__best.mmr")
+        found = found.join(known, "item_id", "left").select("user_id", F.struct("item_id", "score", "mmr", F.col("__v").alias("v")).alias("__new"))
+        if taken is None:
+            taken = materialize(found.select("user_id", F.array("__new").alias("__taken")), "mmr-taken")
+            continue
+        both = taken.join(found.withColumnRenamed("user_id", "__user"), F.col("user_id").eqNullSafe(F.col("__user")), "left")
+        longer = F.when(F.col("__new").isNull(), F.col("__taken")).otherwise(F.concat("__taken", F.array("__new")))
+        taken = materialize(both.select("user_id", longer.alias("__taken")), "mmr-taken")
+    out = taken.select("user_id", F.posexplode("__taken").alias("__at", "t"))
+    return out.select("user_id", "t.item_id", "t.score", "t.mmr", (F.col("__at") + 1).cast("long").alias("rank"))
 
 
 def novelty(recs: DataFrame, history: DataFrame, roles: Roles, as_of: str, weight: float = 0.2, window_days: int = 30) -> DataFrame:

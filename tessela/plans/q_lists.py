@@ -52,11 +52,10 @@ def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("i1_candidates", f"""
 WITH {_PROFILES}, s AS (SELECT user_id, vec_id AS item_id, round(list_inner_product(p.v, x3.v), 9) AS score FROM p CROSS JOIN x3)
-SELECT user_id, item_id, round(score, 6) AS score, rank FROM (
+SELECT user_id, item_id, score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM s) WHERE rank <= 100""")
 def i1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = recommend.candidates(_profiles(spark, sf_dir), vector_table(spark, sf_dir, "item_id"), 100)
-    return _long_rank(found).withColumn("score", rounded("score"))
+    return _long_rank(recommend.candidates(_profiles(spark, sf_dir), vector_table(spark, sf_dir, "item_id"), 100))
 
 
 @query("i2_recommend", f"""

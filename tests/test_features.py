@@ -221,3 +221,18 @@ def test_a_hot_key_of_one_day_spreads_over_all_ranges(spark, batch, monkeypatch)
             last = r["s"]
             assert r["__session"] == number
     assert all(r["__position"] is None for r in found if r["s"] is None)
+
+
+def test_exact_reach_by_bitmaps(spark):
+    """Numbers of users beyond one bitmap, an item that all share, repeated edges, nulls."""
+    rows = [(u, u % 7) for u in range(300)] + [(u, 1000 + u // 3) for u in range(300)] + [(5, 5), (5, None), (None, 3)]
+    df = spark.createDataFrame(rows, "user_id long, item_id long")
+    users = {}
+    for u, i in rows:
+        if u is not None and i is not None:
+            users.setdefault(i, set()).add(u)
+    got = {r["user_id"]: r["reach"] for r in features.two_hop_counts(df, ROLES).collect()}
+    assert got == {u: len(set().union(*(m for m in users.values() if u in m))) for u in range(300)}
+    many = spark.range(70_000).select(F.col("id").alias("user_id"), F.lit(1).alias("item_id"))
+    assert features.two_hop_counts(many, ROLES).select("reach").distinct().collect() == [(70_000,)]
+    assert features.two_hop_counts(df.where("user_id > 999"), ROLES).count() == 0

@@ -220,3 +220,49 @@ def test_windows_in_update_mode_keep_the_newest_count(spark, tmp_path):
     written, _ = streams.run_available(counted, "windows", "update")
     got = streams.latest(written, ("window_start", "window_end", "user_id"))
     assert {r["user_id"]: r["rows"] for r in got.collect()} == {r["user_id"]: r["count"] for r in df.groupBy("user_id").count().collect()}
+
+
+def _mmr_by_hand(rows, vectors, k, weight=0.5):
+    """Greedy lists of plain Python: {user: [(item, value), ...]}."""
+    unit = {i: np.array(v) / max(np.linalg.norm(v), 1e-300) for i, v in vectors.items()}
+    made = {}
+    for user in {r[0] for r in rows}:
+        best = {}
+        for _, item, score in (r for r in rows if r[0] == user):
+            best[item] = max(best.get(item, -np.inf), score)
+        taken = []
+        while best and len(taken) < k:
+            value = {i: round(weight * s - (1 - weight) * max([unit[i] @ unit[t] if i in unit and t in unit else 0.0 for t, _ in taken], default=0.0), 9) for i, s in best.items()}
+            item = min(best, key=lambda i: (-value[i], i))
+            taken.append((item, value[item]))
+            del best[item]
+        made[user] = taken
+    return made
+
+
+def test_mmr_equals_greedy_lists(spark):
+    rng = np.random.default_rng(6)
+    vectors = {i: rng.standard_normal(4).tolist() for i in range(25)} | {30: [0.0] * 4}
+    rows = [(u, int(i), round(float(s), 2)) for u in (None, 1, 2, 3) for i, s in zip(rng.integers(0, 35, 22), rng.random(22), strict=True)]
+    rows += [(4, 3, 0.5), (4, 3, 0.7), (4, 30, 0.7)]  # a repeated item, fewer candidates than rounds
+    recs = spark.createDataFrame(rows, "user_id long, item_id long, score double")
+    items = spark.createDataFrame(list(vectors.items()), "item_id long, vector array<double>")
+    got = {}
+    for r in rerank.mmr(recs, items, k=6).orderBy("rank").collect():
+        got.setdefault(r["user_id"], []).append((r["item_id"], r["mmr"]))
+        assert r["rank"] == len(got[r["user_id"]])
+    want = _mmr_by_hand(rows, vectors, 6)
+    assert {u: [i for i, _ in t] for u, t in got.items()} == {u: [i for i, _ in t] for u, t in want.items()}
+    for user, taken in want.items():
+        assert [v for _, v in got[user]] == pytest.approx([v for _, v in taken], abs=2e-9)
+    assert rerank.mmr(recs.where("user_id > 9"), items).count() == 0
+
+
+def test_mmr_of_a_very_long_list(spark):
+    """A list of 200,000 candidates of one user is no group of any task."""
+    items = spark.range(200_000).select(F.col("id").alias("item_id"), F.array((F.col("id") % 3).cast("double"), F.lit(1.0)).alias("vector"))
+    recs = items.select(F.lit(1).alias("user_id"), "item_id", (F.col("item_id") / 200_000).alias("score"))
+    made = rerank.mmr(recs, items, k=3)
+    assert "FlatMapGroups" not in made._jdf.queryExecution().toString()
+    rows = made.orderBy("rank").collect()
+    assert rows[0]["item_id"] == 199_999 and len({r["item_id"] % 3 for r in rows}) > 1 and len(rows) == 3
