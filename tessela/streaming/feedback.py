@@ -11,7 +11,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from tessela.roles import SIGNAL_WEIGHTS
-from tessela.session import remove_folder, scratch_path
+from tessela.session import scratch_path
+from tessela.streaming.store import COMPACT_EVERY, StreamTable
 
 
 def feedback_stream(
@@ -119,69 +120,27 @@ def user_recency(stream: DataFrame, ts: str = "ts", lateness: str = "1 hour") ->
     )
 
 
-def run_available(stream: DataFrame, name: str, output_mode: str) -> tuple[DataFrame, list[dict]]:
-    """Process all available input; (written rows with their ``batch``, progress reports).
+def run_available(stream: DataFrame, name: str, output_mode: str, folder: str | None = None) -> tuple[DataFrame, list[dict]]:
+    """Process all input that has arrived; (all rows written so far with their ``batch``, progress reports of this run).
 
-    Every batch overwrites its own folder below the shared scratch folder, so a repeated batch changes nothing.
+    With a ``folder`` the next run goes on where this one stopped; without, the run is on its own, below the scratch folder.
     """
-    spark = stream.sparkSession
-    target, checkpoint = scratch_path(spark, name), scratch_path(spark, f"{name}-checkpoint")
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
-
-    # an empty first folder gives a table to read where the input holds no rows
-    spark.createDataFrame([], stream.schema).write.parquet(f"{target}/batch=-1")
-    query = (
-        stream.writeStream.outputMode(output_mode).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).foreachBatch(write).start()
-    )
-    query.awaitTermination()
-    reports = [p.json for p in query.recentProgress]
-    remove_folder(spark, checkpoint)
-    batches = StructType([*stream.schema.fields])
-    written = spark.read.schema(batches.add("batch", "long")).option("basePath", target).parquet(target)
-    return written, reports
-
-
-COMPACT_EVERY = 16
+    table = StreamTable(stream.sparkSession, folder or scratch_path(stream.sparkSession, name))
+    reports = table.run(stream, output_mode=output_mode)
+    return table.read(), reports
 
 
 def run_merged(
     stream: DataFrame, delta: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame], DataFrame], name: str,
-    compact_every: int = COMPACT_EVERY,
+    compact_every: int = COMPACT_EVERY, folder: str | None = None,
 ) -> DataFrame:
-    """Process all available input into a table of deltas that ``merge`` sums; no streaming state is kept.
+    """Process all input that has arrived into a table of deltas that ``merge`` sums; no streaming state is kept.
 
-    Each batch writes the delta of its own rows under its number, so a repeated batch changes nothing. Every
-    ``compact_every`` batches the parts become one; a part says up to which batch it reaches, and readers start there.
+    With a ``folder`` the next run adds the input that is new by then, see ``StreamTable``.
     """
-    spark = stream.sparkSession
-    target, checkpoint = scratch_path(spark, name), scratch_path(spark, f"{name}-checkpoint")
-    schema = merge(delta(spark.createDataFrame([], stream.schema))).schema
-    base = {"upto": -1, "path": f"{target}/base=-1"}
-    spark.createDataFrame([], schema).write.parquet(base["path"])
-
-    def parts(last: int) -> DataFrame:
-        paths = [base["path"], *[f"{target}/delta={b}" for b in range(base["upto"] + 1, last + 1)]]
-        return spark.read.schema(schema).parquet(*paths)
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        delta(batch).write.mode("overwrite").parquet(f"{target}/delta={batch_id}")
-        last["id"] = batch_id
-        if batch_id - base["upto"] >= compact_every:
-            path = f"{target}/base={batch_id}"
-            merge(parts(batch_id)).write.mode("overwrite").parquet(path)
-            old = [base["path"], *[f"{target}/delta={b}" for b in range(base["upto"] + 1, batch_id + 1)]]
-            base.update(upto=batch_id, path=path)
-            for folder in old:
-                remove_folder(spark, folder)
-
-    last = {"id": -1}
-    query = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
-    query.awaitTermination()
-    remove_folder(spark, checkpoint)
-    return merge(parts(last["id"]))
+    table = StreamTable(stream.sparkSession, folder or scratch_path(stream.sparkSession, name), merge, compact_every)
+    table.run(stream, delta)
+    return table.read()
 
 
 def latest(written: DataFrame, keys: Sequence[str]) -> DataFrame:
