@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from tessela.roles import SIGNAL_WEIGHTS
@@ -29,7 +27,10 @@ def feedback_stream(
 
 
 def dedupe(stream: DataFrame, key: str = "event_id", ts: str = "ts", lateness: str = "1 hour") -> DataFrame:
-    """One row per key within the lateness; rows behind the watermark leave and are counted in the query's progress."""
+    """One row per key within the lateness; rows behind the watermark leave and are counted in the query's progress.
+
+    ``stateful.dedupe_with_late`` hands late rows on instead.
+    """
     return stream.withWatermark(ts, lateness).dropDuplicatesWithinWatermark([key])
 
 
@@ -83,43 +84,6 @@ def view_to_purchase(views: DataFrame, purchases: DataFrame, within: str = "1 ho
     return v.join(p, condition).select("user_id", "item_id", "view_id", "purchase_id", "view_ts", "purchase_ts", "value")
 
 
-EXPIRY_MS = 30 * 86_400_000
-
-
-def _partial_recency(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        yield batch.groupby("user_id", as_index=False).agg(last_us=("us", "max"), rows=("us", "size"))
-
-
-def _keep_recency(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        last, rows = state.get
-        state.remove()
-        yield pd.DataFrame({"user_id": [key[0]], "last_us": [last], "rows": [rows], "expired": [True]})
-        return
-    last, rows = state.get if state.exists else (-(2 ** 62), 0)
-    for part in parts:
-        last = max(last, int(part["last_us"].max()))
-        rows += int(part["rows"].sum())
-    state.update((last, rows))
-    state.setTimeoutTimestamp(max(last // 1000 + EXPIRY_MS, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame({"user_id": [key[0]], "last_us": [last], "rows": [rows], "expired": [False]})
-
-
-def user_recency(stream: DataFrame, ts: str = "ts", lateness: str = "1 hour") -> DataFrame:
-    """Last time and number of rows per user, with a state that expires 30 days of event time after the last row.
-
-    Arrow batches are pre-aggregated before the shuffle, so a hot user sends a few rows per batch to its state.
-    """
-    rows = stream.select(F.col("user_id").cast("long").alias("user_id"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
-    partial = rows.mapInPandas(_partial_recency, "user_id long, last_us long, rows long").withColumn(
-        "last_ts", F.timestamp_micros("last_us")).withWatermark("last_ts", lateness)
-    return partial.groupBy("user_id").applyInPandasWithState(
-        _keep_recency, "user_id long, last_us long, rows long, expired boolean", "last_us long, rows long", "update",
-        GroupStateTimeout.EventTimeTimeout,
-    )
-
-
 def run_available(stream: DataFrame, name: str, output_mode: str, folder: str | None = None) -> tuple[DataFrame, list[dict]]:
     """Process all input that has arrived; (all rows written so far with their ``batch``, progress reports of this run).
 

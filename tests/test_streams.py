@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessela.streaming import feedback as streams
+from tessela.streaming import stateful
 from tessela.streaming.store import StreamTable
 
 EVENTS = "event_id long, user_id long, item_id long, event_type string, ts timestamp"
@@ -88,3 +89,42 @@ def test_an_empty_input_gives_an_empty_table(spark, tmp_path):
         table.read()
     table.run(streams.feedback_stream(spark, str(tmp_path / "in"), EVENTS))
     assert table.read().count() == 0 and "batch" in table.read().columns
+
+
+def test_late_rows_are_handed_on(spark, tmp_path):
+    """Duplicates inside a batch and across batches, late rows, keys that expire, a null key; the watermark outlives the run."""
+    source, target, hour = tmp_path / "in", str(tmp_path / "table"), 3600
+    at = 1_700_000_000
+    run = lambda: streams.run_available(stateful.dedupe_with_late(
+        streams.feedback_stream(spark, str(source), EVENTS), buckets=3), "late", "append", target)[0]
+    _put(spark, source, [(1, 1, 1, "a", at), (1, 1, 1, "a", at), (2, 1, 1, "a", at + 10), (None, 1, 1, "n", at), (None, 1, 1, "n", at)])
+    run()
+    # within the lateness: 1 again is a duplicate, 3 is new; the watermark is at - hour + 10
+    _put(spark, source, [(1, 1, 1, "b", at + 20), (3, 1, 1, "b", at - hour + 11), (4, 1, 1, "late", at - hour + 10), (4, 1, 1, "late", at - hour + 10)])
+    run()
+    _put(spark, source, [(9, 1, 1, "c", at + 3 * hour)])
+    run()
+    # 1 has expired, its late copy is no duplicate; 9 is one
+    _put(spark, source, [(1, 1, 1, "d", at + 3 * hour), (1, 1, 1, "late", at), (9, 1, 1, "d", at + 3 * hour)])
+    rows = run().collect()
+    assert sorted((r["event_id"] or -1, r["event_type"]) for r in rows if not r["late"]) == [(-1, "n"), (1, "a"), (1, "d"), (2, "a"), (3, "b"), (9, "c")]
+    assert sorted((r["event_id"], r["event_type"], r["ts"].timestamp()) for r in rows if r["late"]) == [
+        (1, "late", at), (4, "late", at - hour + 10), (4, "late", at - hour + 10)]
+
+
+def test_recency_expires_by_event_time(spark, tmp_path):
+    source, target, day = tmp_path / "in", str(tmp_path / "table"), 86_400
+    at = 1_700_000_000
+    run = lambda: streams.run_available(stateful.user_recency(
+        streams.feedback_stream(spark, str(source), EVENTS), expiry_ms=2 * day * 1000), "recency", "update", target)[0]
+    _put(spark, source, [(k, k % 2, 1, "a", at + k) for k in range(10)] + [(99, None, 1, "a", at)])
+    run()
+    _put(spark, source, [(20, 1, 1, "a", at + day), (21, 1, 1, "late", at - day)])  # the late row counts
+    run()
+    _put(spark, source, [(30, 7, 1, "a", at + 10 * day)])
+    run()
+    _put(spark, source, [(31, 0, 1, "a", at + 10 * day)])
+    rows = [(r["user_id"], r["last_us"] // 1_000_000, r["rows"], r["expired"]) for r in run().collect()]
+    assert sorted(r for r in rows if r[3]) == [(0, at + 8, 5, True), (1, at + day, 7, True)]
+    assert sorted(r for r in rows if not r[3]) == sorted([
+        (0, at + 8, 5, False), (1, at + 9, 5, False), (1, at + day, 7, False), (7, at + 10 * day, 1, False), (0, at + 10 * day, 1, False)])
