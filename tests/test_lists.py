@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessela.operators import ann, evaluate, explain, feedback, learned, losses, recommend, rerank
+from tessela.operators import ann, evaluate, explain, feedback, learned, losses, models, recommend, rerank
 from tessela.roles import Roles
 from tessela.sources import readers, sinks
 from tessela.streaming import feedback as streams
@@ -266,3 +266,29 @@ def test_mmr_of_a_very_long_list(spark):
     assert "FlatMapGroups" not in made._jdf.queryExecution().toString()
     rows = made.orderBy("rank").collect()
     assert rows[0]["item_id"] == 199_999 and len({r["item_id"] % 3 for r in rows}) > 1 and len(rows) == 3
+
+
+@pytest.mark.parametrize("limit", [50_000, 7])
+def test_fold_in_is_the_user_step_of_the_factorization(spark, limit, monkeypatch):
+    """With the rows the model was fitted on, every user gets its own vector again; a heavy user is summed in parts."""
+    rng = np.random.default_rng(2)
+    rows = [(f"u{u}", int(i), float(w)) for u in range(40) for i, w in zip(rng.integers(0, 30, 30 if u == 3 else 6), rng.integers(1, 5, 30), strict=False)]
+    df = spark.createDataFrame(rows, "user_id string, item_id long, weight double")
+    roles = Roles(signal="weight")
+    model = models.fit_retrieval(df, roles, rank=5, iterations=3)
+    model = models.RetrievalVectors(model.users.cache(), model.items.cache())
+    monkeypatch.setattr(feedback, "FOLD_ROWS", limit)
+    before = {r["user_id"]: np.array(r["vector"]) for r in model.users.collect()}
+    folded = feedback.fold_in(model, df, df.where("user_id <> 'u5'"), roles)
+    after = {r["user_id"]: np.array(r["vector"]) for r in folded.users.collect()}
+    assert set(after) == set(before) and max(np.abs(after[u] - before[u]).max() for u in before) < 1e-4
+    # a new user, one whose items are unknown, and one whose taste has changed
+    new = spark.createDataFrame([("new", 1, 4.0), ("new", 2, 1.0), ("odd", 999, 1.0), ("u5", 7, 50.0), (None, 1, 1.0)], df.schema)
+    again = feedback.fold_in(model, df.unionByName(new), new, roles)
+    users = {r["user_id"]: np.array(r["vector"]) for r in again.users.collect()}
+    assert set(users) == set(before) | {"new"}
+    assert (users["u6"] == before["u6"]).all() and np.abs(users["u5"] - before["u5"]).max() > 1e-3
+    y = {r["item_id"]: np.array(r["vector"]) for r in model.items.collect()}
+    gram = sum(np.outer(v, v) for v in y.values())
+    left = gram + sum(10 * w * np.outer(y[i], y[i]) for i, w in ((1, 4.0), (2, 1.0))) + 0.05 * 2 * np.eye(5)
+    assert users["new"] == pytest.approx(np.linalg.solve(left, sum((1 + 10 * w) * y[i] for i, w in ((1, 4.0), (2, 1.0)))), abs=1e-9)
