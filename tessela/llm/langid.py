@@ -30,7 +30,7 @@ SCRIPT_NAMES = tuple(sorted({name for _, name in SCRIPTS}))
 
 BUCKETS = 1 << 16
 UNKNOWN = "und"
-TRAIN_ROWS = 40_000
+TRAIN_ROWS = 12_000  # of each language
 SWITCH = 12.0
 EXCLUDED = -1000.0
 SCRIPT_SHARE = 0.001
@@ -108,14 +108,18 @@ class Model:
 def train(rows: DataFrame, text: str = "text", lang: str = "lang", max_rows: int = TRAIN_ROWS, key: str = "doc_id", smooth: float = 0.5) -> Model:
     """Count the trigrams of each language over a sample of labelled rows.
 
-    The sample holds ``max_rows`` rows in expectation, chosen by a hash of ``key``, whole texts; a smaller table is used
-    whole. What reaches the driver is one count per bucket and language, whatever the number of rows. Rows without a text
+    The sample holds ``max_rows`` rows of each language in expectation, whole texts, chosen by a hash of key and text; a
+    language with fewer rows is used whole, so that a rare one is learned however large the others are. What reaches the
+    driver is one count per language, then one per bucket and language, whatever the number of rows. Rows without a text
     or label are no examples. Without examples the model knows no language.
     """
     rows = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    n = rows.count()
-    share = min(1.0, max_rows / max(n, 1))
-    chosen = rows.where(F.pmod(F.xxhash64(F.lit("langid"), F.col(key)), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else rows
+    limits = [(r["lang"], (max_rows << 53) // r["n"]) for r in rows.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect() if r["n"] > max_rows]
+    chosen = rows
+    if limits:
+        limit = F.create_map(*[F.lit(x) for pair in limits for x in pair])[F.col(lang)]
+        draw = F.shiftrightunsigned(F.xxhash64(F.lit("langid"), F.col(key), F.col(text)), 11)
+        chosen = rows.where(limit.isNull() | (draw < limit))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}

@@ -300,8 +300,31 @@ def test_stages_do_what_their_operators_say(spark, edges):
         assert stage(spark, edges.limit(0), SF).count() == 0
 
 
+def test_different_texts_of_one_id_all_stay(spark):
+    """No text goes because another has its id, nor because it resembles one that shares an id with a third."""
+    rng = np.random.default_rng(1)
+    text = lambda: " ".join(f"w{k}" for k in rng.integers(0, 10_000, 60))
+    a, b, c, d = (text() for _ in range(4))
+    fields = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, a, "en", "x", 1), (1, b, "en", "x", 1), (1, b, "en", "x", 1), (2, b + " tail", "en", "x", 1), (3, c, "en", "x", 1), (-4, c, "en", "x", 1),
+            (5, None, "en", "x", None), (5, d, "en", "x", 1), (None, a, "en", "x", 1), (None, a, "en", "x", 1)]
+    for extreme in ([], [((1 << 63) - 1, text(), "en", "x", 1)], [((1 << 63) - 1, text(), "en", "x", 1), (-(1 << 63), text(), "en", "x", 1)]):
+        docs = spark.createDataFrame(rows + extreme, fields).repartition(3).cache()
+        got = corpus_pipeline.near_duplicates(spark, docs, SF)
+        assert got.columns == docs.columns
+        want = [(1, a), (1, b), (-4, c), (5, None), (5, d), (None, a), (None, a)] + [(r[0], r[1]) for r in extreme]
+        assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_texts_of_several_languages_stay(spark):
+    own = {"l1": "aba abba baba", "l2": "coco occo coc", "l3": "didi iddi did"}
+    rows = [(k, own[x] + f" {own[x]}", x) for k, x in enumerate(own)] + [(10, " ".join(own.values()), None), (11, "12 34 !", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in corpus_pipeline.language(spark, docs, SF).collect()} == {0, 1, 2, 10}
+
+
 def test_every_operator_is_registered():
     names = driver.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
     assert "pipeline" in names

@@ -170,6 +170,17 @@ def test_held_out_accuracy_and_mixed_spans(spark):
     assert [s["lang"] for s in spans] == ["en", "de"] and abs(spans[1]["start"] - 601) < 40
 
 
+def test_a_rare_language_is_learned(spark):
+    """20 rows among 20,000; nulls as ids do not decide who is drawn, and the sample of the large one is bounded."""
+    rows = [(k if k % 2 else None, f"aba abba baba {k}", "big") for k in range(20_000)] + [(30_000 + k, f"coco occo {k}", "rare") for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df, max_rows=200)
+    assert model.languages == ["big", "rare"]
+    found = {r["text"]: r["lang_pred"] for r in langid.identify(spark.createDataFrame([(1, "occo coco"), (2, "abba aba")], "doc_id long, text string"), model).collect()}
+    assert found == {"occo coco": "rare", "abba aba": "big"}
+
+
+
 def test_language_edges(edges, empty):
     model = langid.train(edges)
     out = langid.identify(edges, model, spans=True)
