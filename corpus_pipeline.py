@@ -44,8 +44,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     named = docs.where("doc_id IS NOT NULL").withColumn("doc_id", F.col("doc_id").cast("long"))
     digest = F.md5(F.coalesce(F.concat(F.lit("="), "text"), F.lit("-")).cast("binary"))
-    texts = named.groupBy("doc_id").agg(F.min(digest).alias("x"), F.max(digest).alias("y")).where("x < y").select("doc_id")
-    several = named.join(texts, "doc_id").select("doc_id", digest.alias("digest")).distinct()
+    digests = named.select("doc_id", digest.alias("digest"))
+    repeated = digests.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x < y").select("doc_id")
+    several = digests.join(repeated, "doc_id").distinct()
     several = stage(global_numbers(several, ["doc_id", "digest"], "key", first=0), "repeated-ids")
     count = several.count()
     if count:
