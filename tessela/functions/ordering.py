@@ -103,8 +103,9 @@ def scan_by_key(df: DataFrame, group: Sequence[str], ts: str, tiebreak: Sequence
     carried = heads.unionByName(tails).withColumn("opens", opens).select(
         "__range", "__head", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("__before"),
         (F.coalesce(F.sum(F.col("opens") + F.col("starts")).over(before), F.lit(0)) + F.col("opens")).alias("__open"))
-    # one row per range, of which there are as many as shuffle partitions
-    found = scanned.join(F.broadcast(carried.where("__head").drop("__head")), "__range")
+    # one row per range, of which there are as many as shuffle partitions; written, as readers of the result may be several
+    carried = materialize(carried.where("__head").drop("__head"), "carried")
+    found = scanned.join(F.broadcast(carried), "__range")
     position = F.col("__pos") + F.when(F.col("__head"), F.col("__before")).otherwise(0)
     session = F.col("__no") + F.when(F.col("__head"), F.col("__open")).otherwise(1)
     made = {"__position": F.when(F.col("__placed"), position).cast("long")}
