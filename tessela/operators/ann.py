@@ -145,11 +145,7 @@ def knn_filtered(queries: DataFrame, base: DataFrame, predicate: Column, k: int
     return knn_exact(queries, base.where(predicate), k, exclude_self)
 
 
-def similar_above(queries: DataFrame, base: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(query_id, similarity_sum, weighted_sum, neighbours) over base vectors at or above the threshold.
-
-    ``base`` carries a ``value``. Only the sums of each query leave a block, so no neighbour is dropped and none is a row.
-    """
+def _sums_above(threshold: float):
     def work(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         columns = ["query_id", "similarity_sum", "weighted_sum", "neighbours"]
         if q.empty or b.empty:
@@ -165,9 +161,17 @@ def similar_above(queries: DataFrame, base: DataFrame, threshold: float, block_r
             }))
         return pd.concat(parts, ignore_index=True)
 
+    return work
+
+
+def similar_above(queries: DataFrame, base: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(query_id, similarity_sum, weighted_sum, neighbours) over base vectors at or above the threshold.
+
+    ``base`` carries a ``value``. Only the sums of each query leave a block, so no neighbour is dropped and none is a row.
+    """
     q, b, keys = _grid(queries.select("query_id", "vector"), base.select("id", "vector", "value"), block_rows)
     schema = f"query_id {_id_type(queries, 'query_id')}, similarity_sum double, weighted_sum double, neighbours long"
-    return _in_blocks(q, b, keys, work, schema).groupBy("query_id").agg(
+    return _in_blocks(q, b, keys, _sums_above(threshold), schema).groupBy("query_id").agg(
         F.sum("similarity_sum").alias("similarity_sum"), F.sum("weighted_sum").alias("weighted_sum"),
         F.sum("neighbours").alias("neighbours"),
     )
@@ -403,7 +407,7 @@ def search_recall(exact: DataFrame, approximate: DataFrame) -> DataFrame:
     )
 
 
-def index_self_check(index: IvfIndex, k: int = 10, probes: int = 5) -> DataFrame:
-    """Search the first vectors of the index and compare with the exact result."""
+def index_self_check(index: IvfIndex, k: int = 10, probes: int = 5, search=None) -> DataFrame:
+    """Search the first vectors of the index, by ``ivf_search`` if nothing else is given, and compare with the exact result."""
     first = index.table.orderBy("id").limit(probes).select(F.col("id").alias("query_id"), "vector")
-    return search_recall(knn_exact(first, index.table, k), ivf_search(first, index, k))
+    return search_recall(knn_exact(first, index.table, k), (search or ivf_search)(first, index, k))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     FMClassifier,
@@ -13,8 +15,9 @@ from pyspark.ml.classification import (
     MultilayerPerceptronClassifier,
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import FeatureHasher, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import DenseVector, Vectors
 from pyspark.ml.recommendation import ALS
 from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import Column, DataFrame, Window
@@ -91,19 +94,17 @@ def linear_score(features: Column, model) -> Column:
 
 def fit_ctr(
     df: DataFrame, dense: Sequence[str], categories: Sequence[str], label: str = "label", factor_size: int = 8,
-    iterations: int = 30, step: float = 0.05, seed: int = 7,
+    iterations: int = 30, step: float = 0.05, seed: int = 7, hash_bits: int = 16,
 ) -> PipelineModel:
-    """Click probability from numbers and categories with pairwise interactions: a factorization machine."""
-    stages = []
-    for c in categories:
-        stages.append(StringIndexer(inputCol=c, outputCol=f"{c}_idx", handleInvalid="keep"))
-    stages.append(OneHotEncoder(
-        inputCols=[f"{c}_idx" for c in categories], outputCols=[f"{c}_hot" for c in categories], handleInvalid="keep"))
-    stages.append(VectorAssembler(
-        inputCols=[*dense, *[f"{c}_hot" for c in categories]], outputCol="features", handleInvalid="keep"))
-    stages.append(FMClassifier(
-        labelCol=label, factorSize=factor_size, maxIter=iterations, stepSize=step, seed=seed))
-    return Pipeline(stages=stages).fit(df)
+    """Click probability from numbers and categories with pairwise interactions: a factorization machine.
+
+    Every (column, category) is hashed to one of 2^``hash_bits`` places, so no list of categories exists anywhere and the model
+    has the same size whatever the data hold; categories that share a place share their weights. Nulls count as absent.
+    """
+    return Pipeline(stages=[
+        FeatureHasher(inputCols=[*dense, *categories], outputCol="features", categoricalCols=list(categories), numFeatures=1 << hash_bits),
+        FMClassifier(labelCol=label, factorSize=factor_size, maxIter=iterations, stepSize=step, seed=seed),
+    ]).fit(df)
 
 
 def fit_mlp(
@@ -141,27 +142,69 @@ def tune_ranker(rows: DataFrame, regs: Sequence[float] = (0.001, 0.01, 0.1), tra
     ).fit(rows)
 
 
+@dataclass
+class LinearRanker:
+    """Coefficients of a pairwise ranker, as ``linear_score`` takes them."""
+
+    coefficients: DenseVector
+
+
 @dataclass
 class Stopped:
-    """The best model of a ladder, its held-out metric, and (iterations, metric) of all that were fitted."""
+    """The best model of a ladder, its held-out metric, (iterations, metric) of all rungs, and the iterations of all together."""
 
-    model: object
+    model: LinearRanker
     metric: float
     history: list[tuple[int, float]]
+    iterations: int
+
+
+def _loss_gradient(train: DataFrame, scale: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Mean gradient of the logistic loss on scaled features: one partial sum per task, summed per dimension on the cluster."""
+    weights = at / scale
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, rows = np.zeros(len(weights)), 0
+        for batch in batches:
+            if len(batch):
+                x, y = np.stack(batch["x"].to_numpy()), batch["label"].to_numpy(dtype=float)
+                total += (1.0 / (1.0 + np.exp(-np.clip(x @ weights, -500, 500))) - y) @ x
+                rows += len(batch)
+        yield pd.DataFrame({"at": np.arange(len(weights) + 1), "part": np.append(total / scale, rows)})
+
+    sums = train.mapInPandas(partial, "at int, part double").groupBy("at").agg(F.sum("part").alias("part")).orderBy("at").collect()
+    parts = np.array([r["part"] for r in sums])  # one row per feature
+    return parts[:-1] / parts[-1] if len(parts) and parts[-1] else np.zeros(len(weights))
 
 
 def fit_until_flat(rows: DataFrame, ladder: Sequence[int], patience: int = 3, min_delta: float = 1e-4, train_ratio: float = 0.8,
                    reg: float = 0.01, seed: int = 7) -> Stopped:
-    """Fit a pairwise ranker with growing iteration limits; stop once ``patience`` fits in a row gain less than ``min_delta``.
+    """Train a pairwise ranker up to the iterations of each rung; stop once ``patience`` rungs in a row gain less than ``min_delta``.
 
-    The metric is the area under the curve on rows held out by a hash of their features, the same for every fit.
+    Every rung goes on from the coefficients of the one before, so all rungs together cost the iterations of the last. An
+    iteration is one gradient of all training rows, with a step length from the change of the last two gradients. The metric is the area
+    under the curve on rows held out by a hash of their features, the same for every rung.
     """
-    part = F.pmod(F.xxhash64(F.lit(seed), vector_to_array("features")), F.lit(1000))
-    train, held = rows.where(part < int(1000 * train_ratio)), rows.where(part >= int(1000 * train_ratio))
-    judge, best, history, waited = BinaryClassificationEvaluator(), None, [], 0
+    x = vector_to_array("features")
+    part = F.pmod(F.xxhash64(F.lit(seed), x), F.lit(1000))
+    train = rows.where(part < int(1000 * train_ratio)).select(x.alias("x"), "label")
+    held = rows.where(part >= int(1000 * train_ratio)).select(x.alias("x"), "label")
+    squares = train.select(F.posexplode("x").alias("at", "v")).groupBy("at").agg(F.avg(F.col("v") * F.col("v")).alias("m")).orderBy("at").collect()
+    scale = np.sqrt([r["m"] or 1.0 for r in squares])
+    at, judge = np.zeros(len(scale)), BinaryClassificationEvaluator(rawPredictionCol="score")
+    # the loss curves by at most a quarter of the squared length of a row, which is the number of scaled features on average
+    step, last, done, best, history, waited = 1.0 / (0.25 * max(1, len(scale)) + reg), None, 0, None, [], 0
     for iterations in ladder:
-        model = LogisticRegression(fitIntercept=False, regParam=reg, maxIter=iterations, tol=0.0).fit(train)
-        metric = judge.evaluate(model.transform(held))
+        while done < iterations:
+            gradient = _loss_gradient(train, scale, at) + reg * at
+            if last is not None:
+                moved, turned = at - last[0], gradient - last[1]
+                if moved @ turned > 0:
+                    step = float((moved @ moved) / (moved @ turned))
+            last = (at, gradient)
+            at, done = at - step * gradient, done + 1
+        model = LinearRanker(Vectors.dense(at / scale))
+        metric = judge.evaluate(held.select("label", linear_score(F.col("x"), model).alias("score")))
         history.append((iterations, metric))
         if best is None or metric > best[1] + min_delta:
             best, waited = (model, metric), 0
@@ -169,4 +212,4 @@ def fit_until_flat(rows: DataFrame, ladder: Sequence[int], patience: int = 3, mi
             waited += 1
             if waited >= patience:
                 break
-    return Stopped(best[0], best[1], history)
+    return Stopped(best[0], best[1], history, done)

@@ -6,18 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessela.functions import vectors
-from tessela.operators.ann import IvfIndex, ivf_search, knn_exact, similar_above
+from tessela.operators.ann import IvfIndex, ivf_search, knn_exact
+from tessela.operators.probing import ivf_search_bounded, similar_above_pruned
 from tessela.roles import Roles
 
 
-def candidates(users: DataFrame, items: DataFrame | IvfIndex, k: int = 100, nprobe: int | None = None) -> DataFrame:
+def candidates(users: DataFrame, items: DataFrame | IvfIndex, k: int = 100, nprobe: int | None = None,
+               bounded: bool = False) -> DataFrame:
     """(user_id, item_id, score, rank): the k items with the largest inner product for each user vector.
 
-    Items as a table are searched exactly, items as an index approximately.
+    Items as a table are searched exactly, items as an index approximately in ``nprobe`` cells, or exactly in the cells that can
+    matter if ``bounded``.
     """
     queries = users.select(F.col("user_id").alias("query_id"), "vector")
     if isinstance(items, IvfIndex):
-        found = ivf_search(queries, items, k, nprobe)
+        found = ivf_search_bounded(queries, items, k).found if bounded else ivf_search(queries, items, k, nprobe)
     else:
         found = knn_exact(queries, items.select(F.col("item_id").alias("id"), "vector"), k)
     return found.select(F.col("query_id").alias("user_id"), F.col("id").alias("item_id"), "score", "rank")
@@ -54,7 +57,7 @@ def content_cold_items(
     ``new_items`` (item_id, vector), ``known_items`` (item_id, vector, score). Items without a near neighbour leave.
     """
     unit = vectors.l2_normalize(F.col("vector"))
-    sums = similar_above(
+    sums = similar_above_pruned(
         new_items.select(F.col("item_id").alias("query_id"), unit.alias("vector")),
         known_items.select(F.col("item_id").alias("id"), unit.alias("vector"), F.col("score").alias("value")),
         threshold,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessela.operators import evaluate, explain, features, feedback, learned, models, recommend, rerank
+from tessela.operators import ann, evaluate, explain, features, feedback, learned, models, recommend, rerank
 from tessela.plans.fixtures import (
     AS_OF,
     EVENT_ROLES,
@@ -50,14 +50,24 @@ def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explain.user_profiles(event_interactions(spark, sf_dir), EVENT_ROLES, vector_table(spark, sf_dir, "item_id")).withColumnRenamed("profile", "vector")
 
 
-@query("i1_candidates", f"""
+_CANDIDATES = f"""
 WITH {_PROFILES}, s AS (SELECT user_id, vec_id AS item_id, round(list_inner_product(p.v, x3.v), 9) AS score FROM p CROSS JOIN x3)
 SELECT user_id, item_id, score, rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM s) WHERE rank <= 100""")
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM s) WHERE rank <= 100"""
+
+
+@query("i1_candidates", _CANDIDATES)
 def i1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long_rank(recommend.candidates(_profiles(spark, sf_dir), vector_table(spark, sf_dir, "item_id"), 100))
 
 
+@query("i1_candidates_indexed", _CANDIDATES)
+def i1_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = vector_table(spark, sf_dir, "item_id").select(F.col("item_id").alias("id"), "vector")
+    users = materialize(_profiles(spark, sf_dir), "profiles")
+    return _long_rank(recommend.candidates(users, ann.ivf_build(items), 100, bounded=True))
+
+
 @query("i2_recommend", f"""
 WITH {_K2}, u AS (SELECT user_id, count(*) AS user_interaction_count, avg(value) AS user_signal_mean FROM x2 GROUP BY 1),
   i AS (SELECT item_id, count(*) AS item_interaction_count, avg(value) AS item_signal_mean FROM x2 GROUP BY 1),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessela.operators import mapping, meaning, schema
 from tessela.operators.ann import cosine_topk
+from tessela.operators.probing import topk_above
 from tessela.plans.fixtures import (
     FINE_PAIRS,
     FINE_ROWS,
@@ -346,11 +347,24 @@ SELECT query_id, id, round(score, 6) AS score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5""".replace(
     "x3 CROSS JOIN (SELECT *, sqrt", "(SELECT vec_id, label AS l, v FROM x3) CROSS JOIN (SELECT *, sqrt"))
 def c24(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cosine_topk(*_rows_and_means(spark, sf_dir), 5).withColumns({"score": rounded("score"), "rank": F.col("rank").cast("long")})
+
+
+def _rows_and_means(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = vector_table(spark, sf_dir, "vec_id")
     means = schema._mean_vectors(rows, "vector", "label").where(F.col("label") != "all")
     targets = means.select(F.col("label").try_cast("int").alias("id"), F.col("mean").alias("vector"))
-    queries = rows.select(F.col("vec_id").alias("query_id"), "vector")
-    return cosine_topk(queries, targets, 5).withColumns({"score": rounded("score"), "rank": F.col("rank").cast("long")})
+    return rows.select(F.col("vec_id").alias("query_id"), "vector"), targets
+
+
+@query("c24_cosine_matches", f"""
+WITH {X3}, s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_inner_product(a.v, b.v), 9) AS score FROM x3 a JOIN x3 b ON a.vec_id <> b.vec_id)
+SELECT query_id, id, round(score, 6) AS score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s WHERE score >= 0.4) WHERE rank <= 5""")
+def c24_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vector_table(spark, sf_dir, "vec_id")
+    queries, base = (rows.select(F.col("vec_id").alias(c), "vector") for c in ("query_id", "id"))
+    return topk_above(queries, base, 0.4, 5, exclude_self=True).withColumns({"score": rounded("score"), "rank": F.col("rank").cast("long")})
 
 
 @query("d1_role_class", f"""
