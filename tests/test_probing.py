@@ -61,9 +61,3 @@ def test_a_ladder_goes_on_from_its_last_rung(spark):
     stopped = models.fit_until_flat(df, (1, 2, 3, 4, 5, 6, 7, 8), patience=2)
     assert stopped.iterations == stopped.history[-1][0] and stopped.metric > 0.97
     assert stopped.metric >= max(v for _, v in stopped.history) - 1e-4
-
-
-def test_a_category_per_row_keeps_the_model_small(spark):
-    rows = spark.range(500).selectExpr("CAST(id AS string) AS c", "id / 500 AS x", "CAST(id % 2 AS double) AS label")
-    model = models.fit_ctr(rows, ("x",), ("c",), factor_size=2, iterations=2, hash_bits=6)
-    assert model.stages[-1].linear.size == 64 and models.score(rows, model).where("score IS NULL").count() == 0
