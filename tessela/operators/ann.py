@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
@@ -178,9 +179,10 @@ def similar_above(queries: DataFrame, base: DataFrame, threshold: float, block_r
 
 
 def _centroids(sample: DataFrame, k: int, seed: int) -> np.ndarray:
-    model = KMeans(k=k, seed=seed, maxIter=10, featuresCol="features").fit(
-        sample.select(array_to_vector(vectors.as_doubles(F.col("vector"))).alias("features"))
-    )
+    features = sample.select(array_to_vector(vectors.as_doubles(F.col("vector"))).alias("features"))
+    if k == 1:  # KMeans wants at least two
+        return np.asarray([features.select(Summarizer.mean(F.col("features"))).first()[0].toArray()])
+    model = KMeans(k=k, seed=seed, maxIter=10, featuresCol="features").fit(features)
     return np.asarray(model.clusterCenters(), dtype=float)
 
 
@@ -269,18 +271,102 @@ def ivf_search(
 
 
 class PqIndex:
-    """Vectors by cell, as one code per part of what is left after their centroid. The driver knows centroids and codebooks."""
+    """Vectors by cell, as one code per part of what is left after their centroid. The driver knows centroids and codebooks.
+
+    ``rotation`` turns a residual before it is cut into parts; ``errors`` are the mean squared coding errors while it was learned.
+    """
 
-    def __init__(self, table: DataFrame, centroids: np.ndarray, codebooks: np.ndarray):
+    def __init__(self, table: DataFrame, centroids: np.ndarray, codebooks: np.ndarray, rotation: np.ndarray, errors: Sequence[float] = ()):
         self.table = table
         self.centroids = centroids
         self.codebooks = codebooks
+        self.rotation = rotation
+        self.errors = list(errors)
+
+
+def _nearest_codes(x: np.ndarray, codebooks: np.ndarray) -> np.ndarray:
+    """(row, part): the nearest code of each part."""
+    m, _, width = codebooks.shape
+    lengths = (codebooks ** 2).sum(axis=2)
+    parts = [x[at:at + 256].reshape(-1, m, width) for at in range(0, len(x), 256)]
+    return np.concatenate([(lengths - 2 * np.einsum("bmw,mcw->bmc", p, codebooks, optimize=True)).argmin(axis=2) for p in parts])
+
+
+def _summed(rows: DataFrame, size: int, per_batch) -> np.ndarray:
+    """The sum over all rows of an array of ``size`` numbers; each task sends one array, combined before the shuffle."""
+    def run(batches):
+        total = np.zeros(size)
+        for batch in batches:
+            if len(batch):
+                total += per_batch(_matrix(batch["residual"]))
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"at": at, "value": total[at]})
+
+    out = np.zeros(size)
+    for row in rows.select("residual").mapInPandas(run, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).toLocalIterator():
+        out[row["at"]] = row["value"]
+    return out
+
+
+def _balanced_axes(rows: DataFrame, dim: int, m: int) -> np.ndarray:
+    """Principal axes, dealt to the parts from the largest on so that the variances of all parts have like products."""
+    values, axes = np.linalg.eigh(_summed(rows, dim * dim, lambda x: (x.T @ x).ravel()).reshape(dim, dim))
+    dealt: list[list[int]] = [[] for _ in range(m)]
+    weight = np.zeros(m)
+    for axis in np.argsort(-values, kind="stable"):
+        part = min((p for p in range(m) if len(dealt[p]) < dim // m), key=lambda p: (weight[p], p))
+        dealt[part].append(int(axis))
+        weight[part] += np.log(max(values[axis], 1e-12 * max(values[-1], 1e-300)))
+    return axes[:, [axis for part in dealt for axis in part]]
+
+
+def _learn_rotation(rows: DataFrame, rotation: np.ndarray, codebooks: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """Turn and codebooks, improved in turns; neither step can raise the coding error of the rows.
+
+    A pass sums what both steps need: rows and counts of every code, the products of the rows with their decoded form, and
+    the error. The new rotation is the orthogonal factor of those products, the new codes are the means of their rows.
+    """
+    m, codes, width = codebooks.shape
+    dim = m * width
+    cuts = np.cumsum([m * codes * width, m * codes, dim * dim, 1])
+    errors = []
+
+    def one_pass(turn: np.ndarray, books: np.ndarray) -> list[np.ndarray]:
+        part = np.arange(m)
+
+        def per_batch(x: np.ndarray) -> np.ndarray:
+            turned = x @ turn
+            code = _nearest_codes(turned, books)
+            decoded = books[part, code].reshape(len(x), dim)
+            sums, counts = np.zeros((m, codes, width)), np.zeros((m, codes))
+            np.add.at(sums, (part, code), turned.reshape(len(x), m, width))
+            np.add.at(counts, (part, code), 1.0)
+            return np.concatenate([sums.ravel(), counts.ravel(), (x.T @ decoded).ravel(), [((turned - decoded) ** 2).sum()]])
+
+        return np.split(_summed(rows, cuts[-1], per_batch), cuts[:-1])
+
+    for step in range(2 * rounds):
+        sums, counts, cross, error = one_pass(rotation, codebooks)
+        counts = counts.reshape(m, codes)
+        errors.append(float(error[0] / max(counts[0].sum(), 1.0)))
+        if step % 2:
+            means = sums.reshape(codebooks.shape) / np.maximum(counts, 1.0)[:, :, None]
+            codebooks = np.where(counts[:, :, None] > 0, means, codebooks)
+        else:
+            left, _, right = np.linalg.svd(cross.reshape(dim, dim))
+            rotation = left @ right
+    return rotation, codebooks, errors
 
 
 def pq_build(
-    base: DataFrame, dim: int, m: int = 64, nbits: int = 8, nlist: int | None = None, share: float = 1.0, seed: int = 7
+    base: DataFrame, dim: int, m: int = 64, nbits: int = 8, nlist: int | None = None, share: float = 1.0, seed: int = 7,
+    rotation_rounds: int = 0,
 ) -> PqIndex:
-    """Coarse cells, and for each of m equal parts of the residuals the nearest of 2^nbits centroids of that part."""
+    """Coarse cells, and for each of m equal parts of the residuals the nearest of 2^nbits centroids of that part.
+
+    With ``rotation_rounds``, residuals are turned first, so that the parts are as independent and as even as the data allow:
+    principal axes dealt to the parts, then rounds of one better rotation and one better set of codebooks, from sums.
+    """
     if dim % m:
         raise ValueError(f"m={m} does not divide the dimension {dim}")
     width = dim // m
@@ -293,25 +379,28 @@ def pq_build(
 
     left = materialize(coarse.table.select("id", "cell", residual("vector", "cell").alias("residual")), "pq-residuals")
     chosen = left if share >= 1 else left.sample(share, seed)
+    rotation = _balanced_axes(chosen, dim, m) if rotation_rounds else np.eye(dim)
+
+    @F.pandas_udf("array<double>")
+    def turned(batch: pd.Series) -> pd.Series:
+        return pd.Series(list(_matrix(batch) @ rotation)) if len(batch) else pd.Series([], dtype=object)
+
+    parts_of = materialize(chosen.select(turned("residual").alias("residual")), "pq-turned") if rotation_rounds else chosen
     books = []
     for part in range(m):
-        centers = _centroids(chosen.select(F.slice("residual", part * width + 1, width).alias("vector")), 2 ** nbits, seed)
+        centers = _centroids(parts_of.select(F.slice("residual", part * width + 1, width).alias("vector")), 2 ** nbits, seed)
         # fewer distinct parts than codes: repeat the last centroid so that all books have one shape
         books.append(np.vstack([centers, np.repeat(centers[-1:], 2 ** nbits - len(centers), axis=0)]))
-    codebooks = np.stack(books)
-    lengths = (codebooks ** 2).sum(axis=2)
+    rotation, codebooks, errors = _learn_rotation(chosen, rotation, np.stack(books), rotation_rounds)
 
     @F.pandas_udf("array<smallint>")
     def encode(batch: pd.Series) -> pd.Series:
         if batch.empty:
             return pd.Series([], dtype=object)
-        codes = []
-        for at in range(0, len(batch), 256):
-            parts = _matrix(batch.iloc[at:at + 256]).reshape(-1, m, width)
-            codes.append((lengths - 2 * np.einsum("bmw,mcw->bmc", parts, codebooks, optimize=True)).argmin(axis=2))
-        return pd.Series(list(np.concatenate(codes).astype(np.int16)))
+        return pd.Series(list(_nearest_codes(_matrix(batch) @ rotation, codebooks).astype(np.int16)))
 
-    return PqIndex(materialize(left.select("id", "cell", encode("residual").alias("codes")), "pq-codes"), centroids, codebooks)
+    coded = materialize(left.select("id", "cell", encode("residual").alias("codes")), "pq-codes")
+    return PqIndex(coded, centroids, codebooks, rotation, errors)
 
 
 def pq_search(
@@ -322,7 +411,7 @@ def pq_search(
 
     With ``refine`` (id, vector), the ``k * factor`` best by code are scored again with their own vectors.
     """
-    centroids, codebooks = index.centroids, index.codebooks
+    centroids, codebooks, rotation = index.centroids, index.codebooks, index.rotation
     m, _, width = codebooks.shape
     probes = min(len(centroids), nprobe or default_nprobe(len(centroids)))
     kept = k * factor if refine is not None else k
@@ -335,7 +424,7 @@ def pq_search(
         parts = np.arange(m)
 
         def score(vectors_: np.ndarray) -> np.ndarray:
-            lookup = np.einsum("mcw,bmw->bmc", codebooks, vectors_.reshape(-1, m, width), optimize=True)
+            lookup = np.einsum("mcw,bmw->bmc", codebooks, (vectors_ @ rotation).reshape(-1, m, width), optimize=True)
             return (vectors_ @ centroid)[:, None] + lookup[:, parts, codes].sum(axis=2)
 
         return _top_of_batches(q, b["id"].to_numpy(), score, kept, exclude_self)
@@ -397,6 +486,94 @@ def candidate_share(queries: DataFrame, base: DataFrame) -> DataFrame:
     return sizes[0].join(sizes[1], "cell").agg((F.sum(F.col("q") * F.col("b")) / (totals[0] * totals[1])).alias("share"))
 
 
+class HashTables:
+    """Random projections in ``tables`` groups of ``width``; the joined bucket numbers of a group are one 64-bit cell."""
+
+    def __init__(self, dim: int, bucket_length: float = 1.0, tables: int = 8, width: int = 6, seed: int = 7):
+        rng = np.random.default_rng(seed)
+        turned = rng.normal(size=(dim, tables * width))
+        self.projections = turned / np.sqrt((turned ** 2).sum(axis=0)) / bucket_length
+        # different tables and buckets get different cells but for chance; a shared cell only adds scored pairs
+        self.starts = rng.integers(1 << 63, size=tables, dtype=np.uint64)
+        self.factors = rng.integers(1 << 63, size=(tables, width), dtype=np.uint64) | np.uint64(1)
+
+    def cells(self, x: np.ndarray, probes: int) -> np.ndarray:
+        """(row, table, probe): the own cell of each row and those behind the nearest boundaries.
+
+        A neighbouring bucket costs the squared distance to its boundary, a cell the sum over its projections. Costs add up,
+        so keeping the ``probes`` cheapest after every projection keeps the cheapest of all.
+        """
+        tables, width = self.factors.shape
+        at = (x @ self.projections).reshape(len(x), tables, width)
+        own = np.floor(at)
+        inside = at - own
+        cost = np.zeros((len(x), tables, 1))
+        cell = np.broadcast_to(self.starts[None, :, None], cost.shape)
+        for i in range(width):
+            low = inside[:, :, i]
+            step = np.stack([np.zeros_like(low), low ** 2, (1 - low) ** 2], axis=2)
+            bucket = (own[:, :, i, None] + np.array([0, -1, 1])).astype(np.int64).astype(np.uint64) * self.factors[:, i][None, :, None]
+            cost = (cost[:, :, :, None] + step[:, :, None, :]).reshape(len(x), tables, -1)
+            cell = (cell[:, :, :, None] + bucket[:, :, None, :]).reshape(cost.shape)
+            if cost.shape[2] > probes:
+                keep = np.argpartition(cost, probes - 1, axis=2)[:, :, :probes]
+                cost, cell = np.take_along_axis(cost, keep, axis=2), np.take_along_axis(cell, keep, axis=2)
+        return cell.astype(np.int64)
+
+    def column(self, vector: Column, probes: int) -> Column:
+        """The cells of all tables, table by table, ``probes`` of each."""
+        @F.pandas_udf("array<bigint>")
+        def cells(batch: pd.Series) -> pd.Series:
+            parts = [self.cells(_matrix(batch.iloc[at:at + 256]), probes) for at in range(0, len(batch), 256)]
+            return pd.Series([row for part in parts for row in part.reshape(len(part), -1)], dtype=object)
+
+        return cells(vector)
+
+
+def knn_multiprobe(
+    queries: DataFrame, base: DataFrame, hashes: HashTables, k: int = 10, probes: int = 8, exclude_self: bool = False,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Neighbours by exact score in the own cell of a query and the cells behind its nearest boundaries, in every table.
+
+    A base vector lies in one cell per table, so recall is bought with probes instead of further tables of the base.
+    """
+    q = queries.select("query_id", "vector", F.explode(F.array_distinct(hashes.column(F.col("vector"), probes))).alias("cell"))
+    b = base.select("id", "vector", F.explode(hashes.column(F.col("vector"), 1)).alias("cell"))
+    q, b, keys = _in_cells(q, b, block_rows)
+    schema = f"query_id {_id_type(queries, 'query_id')}, id {_id_type(base, 'id')}, score double"
+    found = _in_blocks(q, b, keys, _block_top_k(k, exclude_self), schema)
+    return _merge_top_k(found.groupBy("query_id", "id").agg(F.max("score").alias("score")), k)
+
+
+def multiprobe_share(queries: DataFrame, base: DataFrame, hashes: HashTables, probes: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Different pairs that meet over all pairs: a pair counts in the first table in which it meets."""
+    tables = len(hashes.starts)
+    q = queries.select("query_id", hashes.column(F.col("vector"), probes).alias("probed"))
+    q = q.select("query_id", "probed", F.explode(F.array_distinct("probed")).alias("cell"))
+    b = base.select("id", hashes.column(F.col("vector"), 1).alias("own"))
+    b = b.select("id", "own", F.posexplode("own").alias("table", "cell"))
+    q, b, keys = _in_cells(q, b, block_rows)
+
+    def work(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or b.empty:
+            return pd.DataFrame(columns=["met"])
+        own, table, met = np.stack(b["own"].to_numpy()), b["table"].to_numpy(), 0
+        for at in range(0, len(q), 256):
+            probed = np.stack(q["probed"].iloc[at:at + 256].to_numpy()).reshape(-1, tables, probes)
+            fresh = np.ones((len(probed), len(own)), bool)
+            for t in range(tables):
+                values, place = np.unique(own[:, t], return_inverse=True)
+                hit = np.stack([np.isin(values, row) for row in probed[:, t]])
+                fresh &= ~hit[:, place] | (table <= t)[None, :]
+            met += int(fresh.sum())
+        return pd.DataFrame({"met": [met]})
+
+    met = _in_blocks(q, b, keys, work, "met long").agg(F.coalesce(F.sum("met"), F.lit(0)).alias("met"))
+    sizes = [df.agg(F.count(F.lit(1)).cast("double").alias(n)) for df, n in ((queries, "nq"), (base, "nb"))]
+    return met.join(sizes[0], F.lit(True)).join(sizes[1], F.lit(True)).select((F.col("met") / (F.col("nq") * F.col("nb"))).alias("share"))
+
+
 def search_recall(exact: DataFrame, approximate: DataFrame) -> DataFrame:
     """Share of the exact neighbours that an approximate search found too."""
     hits = exact.select("query_id", "id").join(

@@ -15,7 +15,7 @@ from pyspark.ml.classification import (
     MultilayerPerceptronClassifier,
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import FeatureHasher, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import DenseVector, Vectors
 from pyspark.ml.recommendation import ALS
@@ -94,19 +94,19 @@ def linear_score(features: Column, model) -> Column:
 
 def fit_ctr(
     df: DataFrame, dense: Sequence[str], categories: Sequence[str], label: str = "label", factor_size: int = 8,
-    iterations: int = 30, step: float = 0.05, seed: int = 7,
+    iterations: int = 30, step: float = 0.05, seed: int = 7, hash_bits: int = 16,
 ) -> PipelineModel:
-    """Click probability from numbers and categories with pairwise interactions: a factorization machine."""
-    stages = []
-    for c in categories:
-        stages.append(StringIndexer(inputCol=c, outputCol=f"{c}_idx", handleInvalid="keep"))
-    stages.append(OneHotEncoder(
-        inputCols=[f"{c}_idx" for c in categories], outputCols=[f"{c}_hot" for c in categories], handleInvalid="keep"))
-    stages.append(VectorAssembler(
-        inputCols=[*dense, *[f"{c}_hot" for c in categories]], outputCol="features", handleInvalid="keep"))
-    stages.append(FMClassifier(
-        labelCol=label, factorSize=factor_size, maxIter=iterations, stepSize=step, seed=seed))
-    return Pipeline(stages=stages).fit(df)
+    """Click probability from numbers and categories with pairwise interactions: a factorization machine.
+
+    Every (column, category) is hashed to one of 2^``hash_bits`` places, so no list of categories exists anywhere and the model
+    has the same size whatever the data hold; categories that share a place share their weights. Nulls count as absent.
+    """
+    return Pipeline(stages=[
+        FeatureHasher(inputCols=[*dense, *categories], outputCol="hashed", categoricalCols=list(categories), numFeatures=1 << hash_bits),
+        # the hasher stores a number that is 0 as an entry, which the factorization machine cannot take; the assembler leaves it out
+        VectorAssembler(inputCols=["hashed"], outputCol="features"),
+        FMClassifier(labelCol=label, factorSize=factor_size, maxIter=iterations, stepSize=step, seed=seed),
+    ]).fit(df)
 
 
 def fit_mlp(

@@ -104,7 +104,7 @@ def _against_rate(scored: DataFrame) -> DataFrame:
 @query("g5_fit_ctr", _RANKED)
 def g5(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = materialize(_labelled(spark, sf_dir).withColumn("label", (F.col("price") > 0.95).cast("double")), "rows")
-    model = models.fit_ctr(rows, ("price",), ("brand", "segment"), factor_size=4, iterations=60)
+    model = models.fit_ctr(rows, ("price",), ("brand", "segment"), factor_size=4, iterations=60, hash_bits=12)
     return _against_rate(models.score(rows, model, "probability"))
 
 
@@ -342,6 +342,24 @@ def h6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.join(share.select((F.col("share") < 0.75).alias("fewer_pairs")), F.lit(True))
 
 
+@query("h5_pq_rotated", f"SELECT *, true AS error_never_rises FROM ({_CHECKED})")
+def h5_rotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries, base = _sides(spark, sf_dir)
+    index = ann.pq_build(base.select("id", "vector"), dim=64, m=16, nbits=4, rotation_rounds=3)
+    found = ann.pq_search(queries, index, 10, nprobe=max(1, -(-len(index.centroids) * 19 // 20)), exclude_self=True, refine=base, factor=10)
+    falls = all(b <= a + 1e-9 for a, b in zip(index.errors, index.errors[1:]))
+    return _checked(found, queries, base, 0.9).withColumn("error_never_rises", F.lit(falls))
+
+
+@query("h6_multiprobe", f"SELECT *, true AS fewer_pairs FROM ({_CHECKED})")
+def h6_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries, base = _sides(spark, sf_dir)
+    hashes = ann.HashTables(64, tables=8, width=6)
+    share = ann.multiprobe_share(queries, base, hashes, 10)
+    checked = _checked(ann.knn_multiprobe(queries, base, hashes, 10, 10, exclude_self=True), queries, base, 0.9)
+    return checked.join(share.select((F.col("share") < 0.8).alias("fewer_pairs")), F.lit(True))
+
+
 @query("h7_knn_filtered", _knn_sql("b.label < 5"))
 def h7(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, base = _sides(spark, sf_dir)

@@ -61,3 +61,63 @@ def test_a_ladder_goes_on_from_its_last_rung(spark):
     stopped = models.fit_until_flat(df, (1, 2, 3, 4, 5, 6, 7, 8), patience=2)
     assert stopped.iterations == stopped.history[-1][0] and stopped.metric > 0.97
     assert stopped.metric >= max(v for _, v in stopped.history) - 1e-4
+
+
+def test_a_category_per_row_keeps_the_model_small(spark):
+    rows = spark.range(500).selectExpr("CAST(id AS string) AS c", "id / 500 AS x", "CAST(id % 2 AS double) AS label")
+    model = models.fit_ctr(rows, ("x",), ("c",), factor_size=2, iterations=2, hash_bits=6)
+    assert model.stages[-1].linear.size == 64 and models.score(rows, model).where("score IS NULL").count() == 0
+
+
+def test_probes_are_the_cheapest_cells():
+    hashes = ann.HashTables(5, bucket_length=0.4, tables=2, width=3)
+    x = np.random.default_rng(3).normal(size=(20, 5))
+    at = (x @ hashes.projections).reshape(20, 2, 3)
+    got = hashes.cells(x, 6)
+    for row in range(20):
+        for table in range(2):
+            costs = {}
+            for step in np.ndindex(3, 3, 3):
+                delta = np.array([0, -1, 1])[list(step)]
+                inside = at[row, table] - np.floor(at[row, table])
+                cell = (np.floor(at[row, table]) + delta).astype(np.int64).astype(np.uint64) * hashes.factors[table]
+                costs[int((cell.sum(dtype=np.uint64, initial=hashes.starts[table])).astype(np.int64))] = (
+                    np.where(delta < 0, inside, np.where(delta > 0, 1 - inside, 0)) ** 2).sum()
+            assert set(got[row, table].tolist()) == set(sorted(costs, key=costs.get)[:6])
+
+
+def test_multiprobe_finds_more_than_the_own_cell(spark, clusters):
+    m, base = clusters
+    queries, hashes = base.withColumnRenamed("id", "query_id"), ann.HashTables(12, tables=2, width=8)
+    exact = ann.knn_exact(queries, base, 10, exclude_self=True)
+    recall, share = {}, {}
+    for probes in (1, 6):
+        found = ann.knn_multiprobe(queries, base, hashes, 10, probes, exclude_self=True)
+        recall[probes] = ann.search_recall(exact, found).first()["recall"]
+        cells, own = hashes.cells(m, probes), hashes.cells(m, 1)[:, :, 0]
+        met = np.array([[any(own[b, t] in cells[q, t] for t in range(2)) for b in range(len(m))] for q in range(len(m))]).mean()
+        share[probes] = ann.multiprobe_share(queries, base, hashes, probes, block_rows=50).first()["share"]
+        assert abs(share[probes] - met) < 1e-12
+    assert recall[6] > recall[1] and recall[6] >= 0.9 and share[6] <= 0.3
+
+
+def test_a_learned_rotation_codes_correlated_parts_better(spark):
+    rng = np.random.default_rng(11)
+    m = rng.normal(size=(600, 8)) * np.array([4, 3, 2, 1, 0.1, 0.1, 0.1, 0.1])  # nearly all variance in the first half
+    base = _table(spark, m)
+    plain = ann.pq_build(base, 8, m=2, nbits=3, nlist=1)
+    turned = ann.pq_build(base, 8, m=2, nbits=3, nlist=1, rotation_rounds=3)
+    assert np.allclose(turned.rotation @ turned.rotation.T, np.eye(8), atol=1e-9)
+    assert all(b <= a + 1e-9 for a, b in zip(turned.errors, turned.errors[1:]))
+
+    def error(index):
+        left = m - index.centroids[0]
+        x = left @ index.rotation
+        codes = ann._nearest_codes(x, index.codebooks)
+        return ((x - index.codebooks[np.arange(2), codes].reshape(len(x), 8)) ** 2).sum() / len(x)
+
+    assert error(turned) < 0.8 * error(plain)
+    queries = base.withColumnRenamed("id", "query_id")
+    exact = ann.knn_exact(queries, base, 10, exclude_self=True)
+    recalls = [ann.search_recall(exact, ann.pq_search(queries, i, 10, exclude_self=True)).first()["recall"] for i in (plain, turned)]
+    assert recalls[1] > recalls[0]
