@@ -14,6 +14,7 @@ is taken, down to one cell, where no cells separate the vectors.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from tessela.llm.common import arrow_map, components, spread, stage, table
 from tessela.llm.registry import query
 from tessela.llm.sigtree import runs
-from tessela.llm.vectors import SEED, balanced_centroids, cosines, matrix, sample, unit, valid
+from tessela.llm.vectors import SEED, balanced_centroids, by_length, cosines, matrix, sample, unit, valid
 
 EPSILON = 6.0
 BLOCK = 4096
@@ -225,21 +226,26 @@ def linked(rows: DataFrame, centroids: np.ndarray, threshold: float) -> DataFram
 def near_vectors(df: DataFrame, threshold: float, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row: links at ``threshold`` or more, whatever other columns say.
 
-    Vectors that are null, zero or hold null or non-finite components, of an uncommon length, or without an id have no
-    links and are kept. Equal vectors link. Rows of equal id are one vector per distinct content; the id gets the sum of
+    Vectors that are null, zero or hold null or non-finite components, or without an id have no links and are kept.
+    Vectors of different lengths do not link; each length is compared on its own. Equal vectors link. Rows of equal id are one vector per distinct content; the id gets the sum of
     their links, less those among themselves. An empty table gives an empty result.
     """
     every = df.select(F.col(vec_id).cast("long").alias("vec_id"))
     rows = valid(df, vec_id, vector).select("vec_id", F.transform("v", lambda x: x.cast("double")).alias("v"))
     rows = rows.withColumn("x", F.xxhash64("v")).withColumn("y", F.xxhash64(F.lit("v"), "v"))
     classes = stage(rows.groupBy("x", "y").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v")), "vector-classes")
-    count = classes.count()
-    if not count:
+    parts = by_length(classes)
+    if not parts:
         return every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    dim = len(classes.first()["v"])
-    points = sample(classes.withColumnRenamed("rep", "vec_id"), count, dim)
-    centroids = cell_centroids(points, threshold, count)
-    found = stage(linked(classes.select("rep", "copies", "v"), centroids, threshold), "vector-links")
+
+    def links(part: DataFrame) -> DataFrame:
+        count = part.count()
+        points = sample(part.withColumnRenamed("rep", "vec_id"), count, len(part.first()["v"]))
+        centroids = cell_centroids(points, threshold, count)
+        return stage(linked(part.select("rep", "copies", "v"), centroids, threshold), "vector-links")
+
+    # a rep may stand for vectors of two lengths under one id: its links add up, as those of two contents of an id do
+    found = reduce(DataFrame.unionByName, [links(part) for part in parts])
     counts = found.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("n"))
     groups = components(found.where("b IS NOT NULL").select("a", "b"))
     of_class = classes.select("x", "y", "rep", "copies").join(counts, F.col("rep") == F.col("a"), "left").drop("a")

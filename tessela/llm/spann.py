@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from tessela.llm.common import arrow_map, spread, stage, table
 from tessela.llm.registry import query
 from tessela.llm.sigtree import runs
-from tessela.llm.vectors import CentroidGraph, balanced_centroids, cosines, matrix, sample, unit, valid
+from tessela.llm.vectors import CentroidGraph, balanced_centroids, by_length, cosines, matrix, sample, unit, valid
 
 REPLICAS = 4
 BOUNDARY = 0.02
@@ -117,7 +118,6 @@ def search(index: Index, queries: DataFrame, k: int, ratio: float = RATIO) -> Da
     if k >= index.keep:
         raise ValueError("the index holds too few of each group of equal vectors for this k")
     graph, sizes, homes = index.graph, index.sizes, index.homes
-    slices = max(1, -(-queries.count() // (QUERY_BLOCK * 4)))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,14 +128,18 @@ def search(index: Index, queries: DataFrame, k: int, ratio: float = RATIO) -> Da
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(where, pa.int32()), part.column("vec_id").take(ids), part.column("v").take(ids).cast(pa.list_(pa.float64()))], names=["list", "vec_id", "v"])
 
-    asked = arrow_map(queries, route, "list int, vec_id long, v array<double>")
-    # list sizes: one number per list, the same bound as the centroids
+    asked = stage(arrow_map(queries, route, "list int, vec_id long, v array<double>"), "asked")
+    # one number per list, the same bound as the centroids: blocks of its vectors, slices of the queries that chose it (none: not read)
+    counted = asked.groupBy("list").count().toPandas()
+    slices = np.zeros(len(sizes), np.int64)
+    slices[counted["list"]] = -(-counted["count"] // (QUERY_BLOCK * 4))
+    n_slices = F.element_at(F.array(*[F.lit(int(n)) for n in slices]), F.col("list") + 1)
     blocks = F.array(*[F.lit(int(b)) for b in np.maximum(1, -(-sizes // BASE_BLOCK))])
     n_blocks = F.element_at(blocks, F.col("list") + 1)
     base = index.postings.withColumn("block", F.pmod(F.xxhash64(F.lit("b"), "vec_id"), n_blocks).cast("int"))
-    base = base.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).withColumn("is_query", F.lit(False))
+    base = base.where(n_slices > 0).withColumn("slice", F.explode(F.sequence(F.lit(0), n_slices - 1))).withColumn("is_query", F.lit(False))
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-    asked = asked.withColumn("slice", F.pmod(F.xxhash64(F.lit("q"), "vec_id"), F.lit(slices)).cast("int")).withColumn("is_query", F.lit(True))
+    asked = asked.withColumn("slice", F.pmod(F.xxhash64(F.lit("q"), "vec_id"), n_slices).cast("int")).withColumn("is_query", F.lit(True))
     columns = [F.xxhash64("list", "block", "slice").alias("tile"), "is_query", "vec_id", "v"]
     both = spread(base.select(*columns).unionByName(asked.select(*columns)), "tile").sortWithinPartitions("tile")
 
@@ -195,14 +199,19 @@ def knn(df: DataFrame, queries, k: int, vec_id: str = "vec_id", vector: str = "e
     """The k nearest rows of the table for the rows that the condition ``queries`` on vec_id selects.
 
     Vectors that are null, zero, or hold null or non-finite components neither ask nor answer; nor do rows without an id.
-    Fewer candidates than k: all of them. Equal scores go by the smaller id. Rows of equal id are never neighbours of each
+    Vectors of different lengths are no neighbours; each length has its own index. Fewer candidates than k: all of them. Equal scores go by the smaller id. Rows of equal id are never neighbours of each
     other. An empty table gives an empty result.
     """
     rows = stage(valid(df, vec_id, vector), "vectors")
-    index = build(rows, k + 1)
-    if index is None:
+    parts = [search(build(part, k + 1), part.where(queries), k, ratio) for part in by_length(rows)]
+    if not parts:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    return search(index, rows.where(queries), k, ratio)
+    if len(parts) == 1:
+        return parts[0]
+    # an id may stand for vectors of several lengths
+    found = reduce(DataFrame.unionByName, parts).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 @query("op3_nearest_neighbours")

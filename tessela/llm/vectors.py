@@ -12,16 +12,17 @@ SEED = 20240101
 
 
 def valid(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
-    """(vec_id, v): rows that take part: an id, no null or non-finite component, not zero, of the most common length.
-
-    Vectors of another length than the most common one (ties: the longest) have no cosine with the rest.
-    """
+    """(vec_id, v): rows that take part: an id, no null or non-finite component, not zero."""
     v = F.col("v")
     fine = v.isNotNull() & (F.size(v) > 0) & F.col("vec_id").isNotNull()
     fine &= F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("v")).where(fine & F.exists(v, lambda x: x != 0))
-    common = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    return rows.where(F.size("v") == (common["d"] if common else 0))
+    return df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("v")).where(fine & F.exists(v, lambda x: x != 0))
+
+
+def by_length(rows: DataFrame) -> list[DataFrame]:
+    """The rows of each length of ``v`` apart: vectors of different lengths have no cosine. One part if all are alike."""
+    lengths = sorted(r["d"] for r in rows.select(F.size("v").alias("d")).distinct().collect())
+    return [rows] if len(lengths) == 1 else [rows.where(F.size("v") == d) for d in lengths]
 
 
 def matrix(column: pa.Array) -> np.ndarray:

@@ -226,6 +226,23 @@ def test_no_vectors(spark):
     assert spann.knn(none, F.lit(True), 5).count() == 0
 
 
+def test_every_length_of_vectors_is_compared(spark):
+    rng = np.random.default_rng(21)
+    rows = []
+    for at, dim, n in ((0, 6, 40), (100, 9, 30), (200, 4, 1)):
+        v = rng.normal(size=(n, dim))
+        v[n // 2:] = v[: n - n // 2] * 2.0
+        rows += [(at + k, [float(x) for x in u]) for k, u in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    cosine = {(a, b): float(_unit(np.array([x]))[0] @ _unit(np.array([y]))[0]) for a, x in rows for b, y in rows if a != b and len(x) == len(y)}
+    linked = {a: {b for b, _ in rows if cosine.get((a, b), -1) >= 0.95} for a, _ in rows}
+    got = {r["vec_id"]: r["n_links"] for r in rabitq.near_vectors(df, 0.95).collect()}
+    assert got == {a: len(b) for a, b in linked.items()} and got[0] and got[100]
+    found = spann.knn(df, F.lit(True), 3, ratio=2.0).toPandas()
+    want = {(a, r + 1, b) for a, _ in rows for r, b in enumerate(sorted((b for b, _ in rows if (a, b) in cosine), key=lambda b: (-round(cosine[a, b], 12), b))[:3])}
+    assert set(zip(found["query_id"], found["rank"], found["vec_id"])) == want
+
+
 @pytest.mark.parametrize("block", [4096, 16])
 def test_search_recall_scores_and_ties(cloud, monkeypatch, block):
     monkeypatch.setattr(spann, "BASE_BLOCK", block)
