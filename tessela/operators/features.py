@@ -6,15 +6,20 @@ use time buckets (see ``functions.ordering``), so a user with a third of all row
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.types import BooleanType, NumericType, StringType
 
-from tessela.functions.ordering import dense_numbers, position_in_group, scan_by_key
+from tessela.functions.ordering import _changes, dense_numbers, position_in_group, scan_by_key
 from tessela.roles import Roles
-from tessela.session import materialize
+from tessela.session import materialize, ship
 
 
 def _q(name: str) -> Column:
@@ -252,31 +257,112 @@ def two_hop_exact(df: DataFrame, roles: Roles, seeds: DataFrame) -> DataFrame:
     return reached.groupBy(F.col("__seed").alias(roles.user)).agg(F.count(F.lit(1)).alias("reach"))
 
 
+LIST_USERS = 1024  # users of one list; an item with more has several lists, or bitmaps
+_FLAT_ROWS = 2_000
+
+
+def _flat(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) of a list column, null lists as empty ones."""
+    column = batch.column(name)
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(column)), lengths), column.flatten().to_numpy(zero_copy_only=False).astype(np.int64) & 0xFFFFFFFF
+
+
+def _in_runs(rows: DataFrame, key: str, lists: str, out: str, kind: str, measure) -> DataFrame:
+    """(key, out): ``measure`` of the sorted distinct values, all below 2 ** 32, in the lists of a key.
+
+    Rows come sorted by key, and only the values of the key that is being read are kept between batches.
+    """
+    schema = T.StructType([rows.schema[key], T.StructField(out, T.LongType() if kind == "long" else T.DoubleType())])
+    ship(rows.sparkSession)
+
+    def close(keys: pa.Array, parts: Sequence[np.ndarray]) -> pa.RecordBatch:
+        found = pa.array([measure(p) for p in parts], pa.int64() if kind == "long" else pa.float64())
+        return pa.RecordBatch.from_arrays([keys, found], names=[key, out])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = np.zeros(0, np.int64), None
+        for whole in batches:
+            for at in range(0, whole.num_rows, _FLAT_ROWS):
+                batch = whole.slice(at, _FLAT_ROWS)
+                keys = batch.column(0)
+                if last is not None and _changes(pa.concat_arrays([last, keys.slice(0, 1)]))[0]:
+                    yield close(last, [held])
+                    held = held[:0]
+                runs = np.concatenate([[0], np.cumsum(_changes(keys))]).astype(np.int64)
+                row, value = _flat(batch, lists)
+                pairs = np.unique(np.concatenate([held, (runs[row] << 32) | value]))
+                cuts = np.searchsorted(pairs, np.arange(runs[-1] + 2) << 32)
+                parts = [pairs[a:b] & 0xFFFFFFFF for a, b in zip(cuts, cuts[1:])]
+                if len(parts) > 1:
+                    yield close(keys.take(pa.array(np.searchsorted(runs, np.arange(runs[-1])))), parts[:-1])
+                held, last = parts[-1], keys.slice(len(keys) - 1, 1)
+        if last is not None:
+            yield close(last, [held])
+
+    return rows.select(key, lists).repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
+
+
 def two_hop_counts(df: DataFrame, roles: Roles) -> DataFrame:
     """(user, reach): exactly how many users share an item with each user, itself included, for all users.
 
-    Users get dense numbers, and an item the bitmaps of its users, 32,768 numbers each. A user's reach is the OR of the
-    bitmaps of its items, combined before the shuffle, so no pair of users is ever a row. Work is edges times the bitmaps
-    an item has: at most one per 32,768 users, which suits dense graphs; ``two_hop_reach`` estimates it at constant size.
-    Rows without a user or an item are no edges.
+    Users get dense numbers, and an item the list of its users, cut where it is longer than ``LIST_USERS``. A user is sent the lists of its items
+    and counts the different numbers as they pass: no pair of users is ever a row, and work is the paths over an item. An item
+    with more than one in 32 of all users is sent as bitmaps of 32,768 numbers instead; its users combine bitmaps, before and after
+    the shuffle. Rows without a user or an item are no edges.
     """
     edges = materialize(df.select(roles.user, roles.item).where(F.col(roles.user).isNotNull() & F.col(roles.item).isNotNull()).distinct(), "edges")
-    numbered = edges.join(dense_numbers(edges, roles.user, "__number"), roles.user).withColumn("__number", F.col("__number") + 1)
-    bitmaps = numbered.groupBy(roles.item, F.bitmap_bucket_number("__number").alias("__bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("__number")).alias("__users"))
-    # used on one side of a join only, but it is small against the join and cheap to read again after a lost executor
-    bitmaps = materialize(bitmaps, "item-users")
-    reached = edges.join(bitmaps, roles.item).groupBy(roles.user, "__bucket").agg(F.bitmap_count(F.bitmap_or_agg("__users")).alias("__n"))
-    return reached.groupBy(roles.user).agg(F.sum("__n").alias("reach"))
+    numbers = materialize(dense_numbers(edges, roles.user, "__number"), "user-numbers")
+    users = numbers.count()
+    numbered = materialize(edges.join(numbers, roles.user).select(roles.item, (F.col("__number") + 1).alias("__number")), "numbered")
+    large = numbered.groupBy(roles.item).agg(F.count(F.lit(1)).alias("__d")).where(F.col("__d") > LIST_USERS)
+    large = materialize(large, "large-items")
+    lists = numbered.join(large, roles.item, "left_anti").groupBy(roles.item).agg(F.collect_list(F.col("__number").cast("int")).alias("__list")).select(
+        F.explode("__list").alias("__number"), "__list")
+    is_dense = F.col("__d") * 32 > users
+    if large.where(~is_dense).count():
+        long_ = numbered.join(large.where(~is_dense), roles.item)
+        piece = F.pmod(F.xxhash64("__number"), F.ceil(F.col("__d") * 2 / LIST_USERS))
+        pieces = long_.groupBy(roles.item, piece.alias("__piece")).agg(F.collect_list(F.col("__number").cast("int")).alias("__list"))
+        lists = lists.unionByName(long_.select(roles.item, "__number").join(pieces, roles.item).select("__number", "__list"))
+    if large.where(is_dense).count():
+        hot = materialize(numbered.join(large.where(is_dense), roles.item, "left_semi"), "hot-edges")
+        bit = [F.bitmap_construct_agg(F.bitmap_bit_position("__other")).alias("__users")]
+        bucket = F.bitmap_bucket_number("__other").alias("__bucket")
+        bitmaps = materialize(hot.withColumnRenamed("__number", "__other").groupBy(roles.item, bucket).agg(*bit), "item-users")
+        hot_users = hot.select("__number").distinct()
+        own = lists.join(hot_users, "__number").select("__number", F.explode("__list").alias("__other")).groupBy("__number", bucket).agg(*bit)
+        both = hot.join(bitmaps, roles.item).select("__number", "__bucket", "__users").unionByName(own)
+        dense = both.groupBy("__number", "__bucket").agg(F.bitmap_count(F.bitmap_or_agg("__users")).alias("__n")).groupBy("__number").agg(
+            F.sum("__n").alias("reach"))
+        lists = lists.join(hot_users, "__number", "left_anti")
+        counted = _in_runs(lists, "__number", "__list", "reach", "long", len).unionByName(dense)
+    else:
+        counted = _in_runs(lists, "__number", "__list", "reach", "long", len)
+    return counted.join(numbers.select(roles.user, (F.col("__number") + 1).alias("__number")), "__number").select(roles.user, "reach")
 
 
 def two_hop_reach(df: DataFrame, roles: Roles, lg_k: int = 10) -> DataFrame:
     """Estimated number of distinct users, the user included, that share an item with the user.
 
-    One sketch per item is merged per user: work grows with the edges, not with the pairs of users.
+    One sketch per item, the 2 ** ``lg_k`` smallest hashes of its users, is merged per user: work grows with the edges, not with the
+    pairs of users. A small item's sketch is as short as its list of users, and a reach below 2 ** ``lg_k`` is exact but for equal hashes.
+    The standard error above is 1 / sqrt(2 ** ``lg_k`` - 2).
     """
-    edges = df.select(roles.user, roles.item).distinct()
-    sketches = edges.groupBy(roles.item).agg(F.hll_sketch_agg(roles.user, lg_k).alias("s"))
-    return edges.join(sketches, roles.item).groupBy(roles.user).agg(
-        F.hll_sketch_estimate(F.hll_union_agg("s")).alias("two_hop_reach")
+    size, space = 2 ** lg_k, float(1 << 32)
+
+    def estimate(hashes: np.ndarray) -> int:
+        # from 2 ** lg_k on, from the part of the hash space that the smallest of them fill
+        used = len(hashes) if len(hashes) < size else (size - 1) * space / (hashes[size - 1] + 1.0)
+        return round(-space * math.log1p(-min(used / space, 1 - 1 / space)))  # different users with one hash
+
+    hashed = F.shiftrightunsigned(F.xxhash64(roles.user), 32)
+    signed = F.when(F.col("__hash") < 1 << 31, F.col("__hash")).otherwise(F.col("__hash") - (1 << 32)).cast("int")  # four bytes
+    edges = materialize(df.select(roles.user, roles.item).where(F.col(roles.item).isNotNull()).distinct(), "edges")
+    smallest = Window.partitionBy(roles.item).orderBy("__hash")
+    sketches = (
+        edges.where(F.col(roles.user).isNotNull()).select(roles.item, hashed.alias("__hash")).distinct()
+        .withColumn("__place", F.row_number().over(smallest)).where(F.col("__place") <= size)
+        .groupBy(roles.item).agg(F.collect_list(signed).alias("__sketch"))
     )
+    return _in_runs(edges.join(sketches, roles.item, "left"), roles.user, "__sketch", "two_hop_reach", "long", estimate)

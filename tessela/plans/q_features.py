@@ -18,6 +18,7 @@ from tessela.plans.fixtures import (
     rounded,
 )
 from tessela.plans.registry import query
+from tessela.session import materialize
 
 ROW_KEY = ("session_id", "line_no", "item_id", "supplier_id", "amount")
 _KEY = ", ".join(ROW_KEY)
@@ -279,7 +280,7 @@ def e22_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("e22_two_hop_sketch", f"WITH {_REACH} SELECT user_id, reach, TRUE AS within_a_tenth FROM r")
 def e22_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The estimate of every user against its exact reach: six standard errors of a sketch of 2 ** 12 registers are a tenth."""
-    rows = order_interactions(spark, sf_dir)
+    rows = materialize(order_interactions(spark, sf_dir).select("user_id", "item_id").distinct(), "interactions")  # asked for twice
     both = features.two_hop_counts(rows, ORDER_ROLES).join(features.two_hop_reach(rows, ORDER_ROLES, lg_k=12), "user_id")
     return both.select("user_id", "reach", (F.abs(F.col("two_hop_reach") / F.col("reach") - 1) < 0.1).alias("within_a_tenth"))
 

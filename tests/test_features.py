@@ -236,3 +236,33 @@ def test_exact_reach_by_bitmaps(spark):
     many = spark.range(70_000).select(F.col("id").alias("user_id"), F.lit(1).alias("item_id"))
     assert features.two_hop_counts(many, ROLES).select("reach").distinct().collect() == [(70_000,)]
     assert features.two_hop_counts(df.where("user_id > 999"), ROLES).count() == 0
+
+
+def test_reach_by_lists_pieces_and_bitmaps(spark, monkeypatch):
+    """Items of few users, of several lists and of more than one in 32 users give the same as sets do."""
+    monkeypatch.setattr(features, "LIST_USERS", 4)
+    monkeypatch.setattr(features, "_FLAT_ROWS", 7)
+    rows = [(u, u // 2) for u in range(400)] + [(u, 1000 + u % 40) for u in range(400)] + [(u, 2000) for u in range(0, 400, 9)]
+    df = spark.createDataFrame(rows, "user_id long, item_id long")
+    users = {}
+    for u, i in rows:
+        users.setdefault(i, set()).add(u)
+    wanted = {u: len(set().union(*(m for m in users.values() if u in m))) for u in range(400)}
+    assert {r["user_id"]: r["reach"] for r in features.two_hop_counts(df, ROLES).collect()} == wanted
+
+
+def test_reach_of_small_items_sends_no_bitmaps(spark):
+    """A bitmap takes 4 KB for each item and 32,768 users, however few the item has."""
+    df = spark.range(3000).select(F.col("id").alias("user_id"), F.expr("id DIV 2").alias("item_id"))
+    counts = features.two_hop_counts(df, ROLES)
+    assert "bitmap" not in counts._jdf.queryExecution().toString()
+    assert counts.select("reach").distinct().collect() == [(2,)]
+
+
+def test_sketch_of_a_short_list_is_exact(spark):
+    df = spark.range(600).select(F.col("id").alias("user_id"), F.lit(1).alias("item_id")).unionByName(
+        spark.createDataFrame([(None, 1), (None, 7), (3, None)], "user_id long, item_id int"))
+    got = {r["user_id"]: r["two_hop_reach"] for r in features.two_hop_reach(df, ROLES, lg_k=10).collect()}
+    assert got == {u: 600 for u in [None, *range(600)]}
+    many = spark.range(20_000).select(F.col("id").alias("user_id"), (F.col("id") % 2).alias("item_id"))
+    assert all(abs(r[0] - 10_000) < 1_000 for r in features.two_hop_reach(many, ROLES, lg_k=12).select("two_hop_reach").distinct().collect())
