@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
 
 from tessela.operators import ann, models, probing
 
@@ -121,3 +122,26 @@ def test_a_learned_rotation_codes_correlated_parts_better(spark):
     exact = ann.knn_exact(queries, base, 10, exclude_self=True)
     recalls = [ann.search_recall(exact, ann.pq_search(queries, i, 10, exclude_self=True)).first()["recall"] for i in (plain, turned)]
     assert recalls[1] > recalls[0]
+
+
+def test_small_tiles_and_many_cells_make_no_copies(spark, clusters):
+    """A vector goes once to a block, however small the tiles are and however many of its cells a query visits."""
+    m, base = clusters
+    queries = base.withColumnRenamed("id", "query_id")
+    q, b, _ = ann._grid(queries, base, 8)
+    assert (q.count(), b.select("id").distinct().count()) == (len(m), len(m))
+    index = ann.ivf_build(base, nlist=8)
+    visits = queries.withColumn("cells", ann._nearest_set(F.col("vector"), index.centroids, 8))
+    q, b, keys = ann._in_cell_blocks(visits, index.table, ann._cell_sizes(index.table, 8), 10_000)
+    assert q.count() == len(m)
+    rows = lambda found: sorted(map(tuple, found.select("query_id", "id", "rank").collect()))
+    assert rows(ann.ivf_search(queries, index, 3, nprobe=8, block_rows=8)) == rows(ann.knn_exact(queries, base, 3))
+
+
+def test_cells_in_many_groups_and_slices(spark, clusters, monkeypatch):
+    m, base = clusters
+    queries, index = base.withColumnRenamed("id", "query_id"), ann.ivf_build(base, nlist=8)
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 20)
+    rows = lambda found: sorted(map(tuple, found.select("query_id", "id", "rank").collect()))
+    wanted = rows(ann.knn_exact(queries, base, 3))
+    assert len(wanted) == 3 * len(m) and rows(ann.ivf_search(queries, index, 3, nprobe=8, block_rows=7)) == wanted
