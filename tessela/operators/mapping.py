@@ -166,16 +166,16 @@ def resolve_conflicts_globally(best: DataFrame) -> DataFrame:
 
     User and item ids are unique over all datasets: the most confident column, earliest on ties, is assigned and the
     others are rejected with its name. Any other role is assigned once per dataset and a duplicate afterwards.
-    Winners come from map-side combined aggregates, so a role that covers a third of a huge catalog is no hot window.
+    The winners of the ids are one row per id role and no row is shuffled for them, so a role that covers a third of a huge
+    catalog is no hot key. All others win within their dataset, in place where the catalog is dealt by dataset.
     """
     is_id = F.col("role").isin(*ID_ROLES)
-    scoped = best.withColumn("__scope", F.when(is_id, F.lit("")).otherwise(F.col("dataset")))
-    place = F.struct("confidence", -F.col("dataset_ord"), -F.col("pos"))
-    winners = scoped.groupBy("role", "__scope").agg(
-        F.max_by(F.struct("dataset", "column", "pos"), place).alias("__w")
-    )
+    winner = F.max_by(F.struct("dataset", "column", "pos"), F.struct("confidence", -F.col("dataset_ord"), -F.col("pos")))
+    ids = best.where(is_id).groupBy("role").agg(winner.alias("__all"))  # one row per id role
+    placed = best.withColumn("__own", winner.over(Window.partitionBy("dataset", "role"))).join(F.broadcast(ids), "role", "left")
+    placed = placed.withColumn("__w", F.when(is_id, F.col("__all")).otherwise(F.col("__own")))
     won = (F.col("dataset") == F.col("__w.dataset")) & (F.col("pos") == F.col("__w.pos"))
-    return scoped.join(winners, ["role", "__scope"]).select(
+    return placed.where(F.col("role").isNotNull() & (is_id | F.col("dataset").isNotNull())).select(
         *best.columns,
         F.when(won, "assigned").when(is_id, "conflict_rejected").otherwise("duplicate").alias("status"),
         F.when(~won & is_id, F.col("__w.column")).alias("conflict_with"),

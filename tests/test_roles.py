@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessela.operators import mapping, meaning, profile, schema
+from tessela.plans import catalog
 from tessela.roles import FINE_ROLES
 
 SAMPLE = ("user_id", "item_id", "rating", "timestamp", "age", "gender", "category", "title")
@@ -130,3 +131,21 @@ def test_repeated_edges_do_not_hide_others(spark):
     pairs = spark.createDataFrame(rows, "column string, role string, confidence double")
     for assign in (mapping.assign_one_to_one, mapping.assign_by_column):
         assert {(r["column"], r["role"]) for r in assign(pairs).collect()} == {("a", "R1"), ("b", "R2")}
+
+
+def test_one_id_role_for_all_columns_is_no_hot_key(spark):
+    """Neither the ids of the whole catalog nor the words of a dataset are shuffled by role."""
+    rows = [(f"d{d}", d, f"c{p}", p, "USER_ID" if p < 9 else "PRICE", 0.5) for d in range(30) for p in range(12)]
+    best = spark.createDataFrame(rows, "dataset string, dataset_ord long, column string, pos int, role string, confidence double")
+    made = mapping.resolve_conflicts_globally(best.repartition("dataset"))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(dataset" in plan and "__scope" not in plan and plan.count("SortMergeJoin") == 0
+    got = {(r["dataset"], r["column"]): (r["status"], r["conflict_with"]) for r in made.collect()}
+    assert len(got) == len(rows) and got["d0", "c0"] == ("assigned", None) and got["d7", "c0"] == ("conflict_rejected", "c0")
+    assert got["d7", "c9"] == ("assigned", None) and got["d7", "c10"] == ("duplicate", None)
+
+
+def test_words_are_not_shuffled_after_texts(spark):
+    made = catalog.QUERIES["c6_top_roles"](spark, "/root/testdata/sf0.001")
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
