@@ -6,8 +6,9 @@ any size is a projection without a join or a shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +26,7 @@ from tessela.roles import (
     TOP_PRIORITY_ROLES,
     RoleSpec,
 )
+from tessela.session import materialize
 
 ID_ROLES = ("USER_ID", "ITEM_ID")
 
@@ -265,15 +267,38 @@ def best_above(pairs: DataFrame, threshold: float = 0.5) -> DataFrame:
     )
 
 
-def _one_edge_per_pair(pairs: DataFrame) -> DataFrame:
-    """The best confidence of each (column, role): a name that stands in many datasets is one edge, not many."""
-    return pairs.groupBy("column", "role").agg(F.max("confidence").alias("confidence"))
+def _first_of_task(max_roles: int, turn: str):
+    """Of the edges of a task, of each role those of its first ``max_roles`` columns by ``turn`` (falling) then name, one of each column.
 
-
-def _first_edges_per_role(edges: DataFrame, order: Sequence[Column], roles: int) -> DataFrame:
-    """The first ``roles`` edges of each role. The row_number filter becomes a map-side group limit before the shuffle."""
+    A task holds no more than these and one batch, whatever it reads.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept, floor = None, {}
+        for batch in batches:
+            late = batch[turn] < batch["role"].map(floor).astype(float)
+            batch = batch[~late]
+            if batch.empty:
+                continue
+            edges = batch if kept is None else pd.concat([kept, batch], ignore_index=True)
+            edges = edges.sort_values([turn, "column"], ascending=[False, True], kind="stable", na_position="first")
+            groups = edges.drop_duplicates(["column", "role"]).groupby("role", dropna=False, sort=False)
+            kept = groups.head(max_roles)
+            if groups.ngroups > max_roles:
+                raise ValueError("more roles than max_roles")
+            last = groups[turn].nth(max_roles - 1)
+            floor = dict(zip(kept.loc[last.index, "role"], last))
+        if kept is not None:
+            yield kept
+
+    return run
+
+
+def _first_edges_per_role(edges: DataFrame, turn: str, order: Sequence[Column], roles: int) -> DataFrame:
+    """The first ``roles`` edges of each role by ``order``, which begins with the falling ``turn``: of each task first, then of all."""
+    first = edges.mapInPandas(_first_of_task(roles, turn), edges.schema)
+    single = first.groupBy("column", "role").agg(*[F.max(c).alias(c) for c in edges.columns if c not in ("column", "role")])
     rank = Window.partitionBy("role").orderBy(*order)
-    return edges.withColumn("__rn", F.row_number().over(rank)).where(F.col("__rn") <= roles).drop("__rn")
+    return single.withColumn("__rn", F.row_number().over(rank)).where(F.col("__rn") <= roles).drop("__rn")
 
 
 def _take_free(edges: Column, max_roles: int) -> Column:
@@ -295,8 +320,9 @@ def assign_one_to_one(pairs: DataFrame, max_roles: int = len(FINE_ROLES)) -> Dat
     When a role finds its column, every better column has gone to another role, so the match lies among the role's
     ``max_roles`` best edges. The exact result therefore needs at most ``max_roles`` squared edges in one row.
     """
-    edge_order = [F.col("confidence").desc(), F.col("column"), F.col("role")]
-    kept = _first_edges_per_role(_one_edge_per_pair(pairs), edge_order, max_roles)
+    # the best edge of a (column, role) stands for all: a name that stands in many datasets is one edge, not many
+    edges = pairs.select("column", "role", "confidence", F.coalesce("confidence", F.lit(float("-inf"))).alias("turn"))
+    kept = _first_edges_per_role(edges, "turn", [F.col("turn").desc(), F.col("column"), F.col("role")], max_roles)
     entry = F.struct((-F.col("confidence")).alias("order"), "column", "role", "confidence")
     walk = kept.groupBy().agg(F.sort_array(F.collect_list(entry)).alias("edges"))
     return walk.select(F.explode(_take_free(F.col("edges"), max_roles)).alias("e")).select("e.column", "e.role", "e.confidence")
@@ -305,12 +331,21 @@ def assign_one_to_one(pairs: DataFrame, max_roles: int = len(FINE_ROLES)) -> Dat
 def assign_by_column(pairs: DataFrame, max_roles: int = len(FINE_ROLES)) -> DataFrame:
     """Columns in order of their best confidence each take their best role still free, or none.
 
-    A role is taken by one of the first ``max_roles`` columns that want it, since any earlier one went to another role.
+    A role is taken by one of the first ``max_roles`` columns that want it, since any earlier one went to another role. The pairs
+    are written once; a column is then one row with its best confidence for each role, and no edge is joined or sorted by column.
     """
-    single = _one_edge_per_pair(pairs)
-    order = single.groupBy("column").agg(F.max("confidence").alias("best"))
-    edges = single.join(order, "column")
-    kept = _first_edges_per_role(edges, [F.col("best").desc(), F.col("column"), F.col("role")], max_roles)
+    pairs = materialize(pairs.select("column", "role", F.coalesce("confidence", F.lit(float("-inf"))).alias("confidence")), "role-pairs")
+    roles = [r["role"] for r in pairs.select("role").distinct().limit(max_roles + 1).collect()]
+    if len(roles) > max_roles:
+        raise ValueError("more roles than max_roles")
+    if not roles:
+        return pairs.limit(0)
+    own = [F.max(F.when(F.col("role").eqNullSafe(F.lit(r)), F.col("confidence"))) for r in roles]
+    wide = pairs.groupBy("column").agg(F.max("confidence").alias("best"), F.array(*own).alias("own"))
+    named = F.transform(F.col("own"), lambda c, i: F.struct(F.element_at(F.array(*[F.lit(r).cast("string") for r in roles]), i + 1).alias("role"), c.alias("c")))
+    edges = wide.select("column", "best", F.explode(named).alias("e")).where("e.c IS NOT NULL").select("column", "e.role", F.col("e.c").alias("confidence"), "best")
+    kept = _first_edges_per_role(edges, "best", [F.col("best").desc(), F.col("column"), F.col("role")], max_roles)
+    kept = kept.withColumns({c: F.when(F.col(c) > float("-inf"), F.col(c)) for c in ("best", "confidence")})
     entry = F.struct(
         (-F.col("best")).alias("turn"), "column", (-F.col("confidence")).alias("order"), "role", "confidence"
     )

@@ -149,3 +149,31 @@ def test_words_are_not_shuffled_after_texts(spark):
     made = catalog.QUERIES["c6_top_roles"](spark, "/root/testdata/sf0.001")
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_a_task_keeps_only_the_first_edges_of_each_role():
+    """However many edges a task reads, it hands on at most ``max_roles`` columns of each role."""
+    import pandas as pd
+
+    def batches():
+        for at in range(50):
+            yield pd.DataFrame({"column": [f"c{at * 100 + i:05d}" for i in range(100)] * 2, "role": ["A"] * 100 + ["B"] * 100,
+                                "confidence": [(i * 7 % 100) / 100 for i in range(200)], "turn": [(i * 7 % 100) / 100 for i in range(200)]})
+
+    every = pd.concat(list(batches())).sort_values(["turn", "column"], ascending=[False, True])
+    wanted = {(r.column, r.role) for _, g in every.groupby("role") for r in g.head(3).itertuples()}
+    got = pd.concat(list(mapping._first_of_task(3, "turn")(batches())))
+    assert len(got) == 6 and {(r.column, r.role) for r in got.itertuples()} == wanted
+
+
+def test_predicates_read_the_texts_once(spark, tmp_path, monkeypatch):
+    from tessela.plans import q_roles
+
+    rows = [(i, "a a b" if i % 2 else "b c c", "en", "s") for i in range(8)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    calls, whole = [], q_roles.mapped_lake(spark, str(tmp_path))
+    monkeypatch.setattr(q_roles, "materialize", lambda df, name: calls.append(name) or df.cache())
+    got = {r["kind"]: (r["n"], r["names"]) for r in q_roles.d2(spark, str(tmp_path)).collect()}
+    classes = q_roles.meaning.classify(whole).collect()
+    assert calls == ["classes"]
+    assert got["ambiguous"] == (sum(r["is_ambiguous"] for r in classes), len({r["column"] for r in classes if r["is_ambiguous"]}))
