@@ -35,6 +35,7 @@ from tessela.roles import (
     REQUIRED_ROLES,
     ROLE_SYNONYM_KEY,
 )
+from tessela.session import materialize
 
 LAKE_BOOSTS = (("ea", "CONTEXTUAL", 0.2), ("the", "ITEM_FEATURE", 0.15), ("re", "CONTEXTUAL", 0.1), ("os", "CONTEXTUAL", 0.7))
 
@@ -381,12 +382,14 @@ WITH {MAPPED} SELECT kind, count(*) AS n, count(DISTINCT "column") AS names FROM
   SELECT 'ambiguous', "column" FROM classified WHERE confidence < 0.5) GROUP BY 1""")
 def d2(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = meaning.classify(mapped_lake(spark, sf_dir))
+    # the texts are read once; a name with like answers is one row with their number
+    rows = materialize(rows.groupBy("column", "classification", "is_ambiguous").agg(F.count(F.lit(1)).alias("n")), "classes")
     kinds = {"identity": meaning.identities, "signal": meaning.signals, "feature": meaning.features, "ambiguous": meaning.ambiguous}
-    parts = [pick(rows).select(F.lit(k).alias("kind"), "column") for k, pick in kinds.items()]
+    parts = [pick(rows).select(F.lit(k).alias("kind"), "column", "n") for k, pick in kinds.items()]
     union = parts[0]
     for part in parts[1:]:
         union = union.unionByName(part)
-    return union.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("column").alias("names"))
+    return union.groupBy("kind").agg(F.sum("n").alias("n"), F.count_distinct("column").alias("names"))
 
 
 @query("d3_role_buckets", f"""
