@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from tessela.functions import vectors
 from tessela.functions.ordering import dense_numbers
 from tessela.roles import Roles
+from tessela.session import materialize
 
 
 @dataclass
@@ -161,22 +162,38 @@ class Stopped:
     iterations: int
 
 
-def _loss_gradient(train: DataFrame, scale: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Mean gradient of the logistic loss on scaled features: one partial sum per task, summed per dimension on the cluster."""
-    weights = at / scale
+def _blocks(rows: DataFrame) -> DataFrame:
+    """(rows, x, y): the rows ``x`` (array of doubles) and ``label`` as a few large arrays, written once, so that a pass over them is numpy's."""
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                x, y = np.stack(batch["x"].to_numpy()).astype(float), batch["label"].to_numpy(dtype=float)
+                yield pd.DataFrame({"rows": [len(batch)], "x": [x.tobytes()], "y": [y.tobytes()]})
+
+    return materialize(rows.select("x", F.col("label").cast("double").alias("label")).mapInPandas(pack, "rows int, x binary, y binary"), "blocks")
+
 
+def _summed(blocks: DataFrame, of_block) -> np.ndarray:
+    """The sum over all blocks of an array ``of_block(x, y)``, followed by the number of rows: one partial sum per task."""
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, rows = np.zeros(len(weights)), 0
+        total, rows = 0.0, 0
         for batch in batches:
-            if len(batch):
-                x, y = np.stack(batch["x"].to_numpy()), batch["label"].to_numpy(dtype=float)
-                total += (1.0 / (1.0 + np.exp(-np.clip(x @ weights, -500, 500))) - y) @ x
-                rows += len(batch)
-        yield pd.DataFrame({"at": np.arange(len(weights) + 1), "part": np.append(total / scale, rows)})
+            for n, x, y in zip(batch["rows"], batch["x"], batch["y"]):
+                total = total + of_block(np.frombuffer(x).reshape(n, -1), np.frombuffer(y))
+                rows += n
+        if rows:
+            yield pd.DataFrame({"at": np.arange(len(total) + 1), "part": np.append(total, rows)})
+
+    # one row per feature
+    sums = blocks.mapInPandas(partial, "at int, part double").groupBy("at").agg(F.sum("part").alias("part")).orderBy("at").collect()
+    return np.array([r["part"] for r in sums])
 
-    sums = train.mapInPandas(partial, "at int, part double").groupBy("at").agg(F.sum("part").alias("part")).orderBy("at").collect()
-    parts = np.array([r["part"] for r in sums])  # one row per feature
-    return parts[:-1] / parts[-1] if len(parts) and parts[-1] else np.zeros(len(weights))
+
+def _loss_gradient(blocks: DataFrame, scale: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Mean gradient of the logistic loss on scaled features."""
+    weights = at / scale
+    parts = _summed(blocks, lambda x, y: (1.0 / (1.0 + np.exp(-np.clip(x @ weights, -500, 500))) - y) @ x)
+    return parts[:-1] / scale / parts[-1] if len(parts) else np.zeros(len(weights))
 
 
 def fit_until_flat(rows: DataFrame, ladder: Sequence[int], patience: int = 3, min_delta: float = 1e-4, train_ratio: float = 0.8,
@@ -184,15 +201,15 @@ def fit_until_flat(rows: DataFrame, ladder: Sequence[int], patience: int = 3, mi
     """Train a pairwise ranker up to the iterations of each rung; stop once ``patience`` rungs in a row gain less than ``min_delta``.
 
     Every rung goes on from the coefficients of the one before, so all rungs together cost the iterations of the last. An
-    iteration is one gradient of all training rows, with a step length from the change of the last two gradients. The metric is the area
+    iteration is one gradient of all training rows, which are packed and written once, with a step length from the change of the last two gradients. The metric is the area
     under the curve on rows held out by a hash of their features, the same for every rung.
     """
     x = vector_to_array("features")
     part = F.pmod(F.xxhash64(F.lit(seed), x), F.lit(1000))
-    train = rows.where(part < int(1000 * train_ratio)).select(x.alias("x"), "label")
-    held = rows.where(part >= int(1000 * train_ratio)).select(x.alias("x"), "label")
-    squares = train.select(F.posexplode("x").alias("at", "v")).groupBy("at").agg(F.avg(F.col("v") * F.col("v")).alias("m")).orderBy("at").collect()
-    scale = np.sqrt([r["m"] or 1.0 for r in squares])
+    train = _blocks(rows.where(part < int(1000 * train_ratio)).select(x.alias("x"), "label"))
+    held = materialize(rows.where(part >= int(1000 * train_ratio)).select(x.alias("x"), "label"), "held")
+    squares = _summed(train, lambda x, y: (x * x).sum(axis=0))
+    scale = np.sqrt([m or 1.0 for m in squares[:-1] / squares[-1:]])
     at, judge = np.zeros(len(scale)), BinaryClassificationEvaluator(rawPredictionCol="score")
     # the loss curves by at most a quarter of the squared length of a row, which is the number of scaled features on average
     step, last, done, best, history, waited = 1.0 / (0.25 * max(1, len(scale)) + reg), None, 0, None, [], 0

@@ -145,3 +145,38 @@ def test_cells_in_many_groups_and_slices(spark, clusters, monkeypatch):
     rows = lambda found: sorted(map(tuple, found.select("query_id", "id", "rank").collect()))
     wanted = rows(ann.knn_exact(queries, base, 3))
     assert len(wanted) == 3 * len(m) and rows(ann.ivf_search(queries, index, 3, nprobe=8, block_rows=7)) == wanted
+
+
+def test_bounded_probing_takes_three_rounds(spark, monkeypatch):
+    """Random directions, where no cell can be left out: the rounds do not grow with the cells."""
+    m = np.random.default_rng(9).normal(size=(300, 12))
+    base, written, write = _table(spark, m), [], probing.materialize
+    monkeypatch.setattr(probing, "materialize", lambda df, name: written.append(name) or write(df, name))
+    found = probing.ivf_search_bounded(base.withColumnRenamed("id", "query_id"), ann.ivf_build(base, nlist=30), 3, first=1, growth=2).found
+    scores = np.round(m @ m.T, 9)
+    assert {(r["query_id"], r["rank"], r["id"]) for r in found.collect()} == {
+        (q, r + 1, i) for q in range(300) for r, i in enumerate(sorted(range(300), key=lambda i: (-scores[q, i], i))[:3])}
+    assert written.count("bounded") <= 3
+
+
+def test_tiles_hand_on_only_what_reaches_the_least_score():
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    m = np.vstack([rng.normal(size=(700, 6)), np.repeat(rng.normal(size=(1, 6)), 30, axis=0)])  # equal rows tie
+    queries, base = pd.DataFrame({"query_id": np.arange(730), "vector": list(m)}), pd.DataFrame({"id": np.arange(730), "vector": list(m)})
+    scores = np.round(m @ m.T, 9)
+    least = np.where(np.arange(730) % 2, 3.0, -np.inf)
+    got = ann._top_of_batches(queries, base["id"].to_numpy(), ann._inner_products(queries, base), 4, True, 50, least=least)
+    wanted = {(q, i) for q in range(730) for i in sorted((i for i in range(730) if i != q and scores[q, i] >= least[q]), key=lambda i: (-scores[q, i], i))[:4]}
+    assert set(zip(got["query_id"], got["id"])) == wanted
+
+
+def test_a_gradient_of_blocks_is_that_of_the_rows(spark):
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=(90, 3)), rng.integers(0, 2, 90)
+    df = spark.createDataFrame([([float(v) for v in r], float(t)) for r, t in zip(x, y)], "x array<double>, label double").repartition(4)
+    blocks, scale, at = models._blocks(df), np.array([1.0, 2.0, 0.5]), np.array([0.3, -0.2, 0.1])
+    assert blocks.count() <= 4 and blocks.agg(F.sum("rows")).first()[0] == 90
+    wanted = ((1 / (1 + np.exp(-(x @ (at / scale)))) - y) @ x) / scale / 90
+    assert np.allclose(models._loss_gradient(blocks, scale, at), wanted, atol=1e-12)
