@@ -266,3 +266,16 @@ def test_sketch_of_a_short_list_is_exact(spark):
     assert got == {u: 600 for u in [None, *range(600)]}
     many = spark.range(20_000).select(F.col("id").alias("user_id"), (F.col("id") % 2).alias("item_id"))
     assert all(abs(r[0] - 10_000) < 1_000 for r in features.two_hop_reach(many, ROLES, lg_k=12).select("two_hop_reach").distinct().collect())
+
+
+def test_specs_query_carries_no_column_that_nothing_uses(spark, monkeypatch):
+    from tessela.plans import q_features
+
+    rows = spark.createDataFrame([], "user_id long, item_id long, signal double, ts timestamp, session_id long, category string, brand string, title string, "
+                                     "price double, segment string, line_no int, supplier_id long, amount double")
+    seen = []
+    monkeypatch.setattr(q_features, "order_interactions", lambda *_: rows)
+    monkeypatch.setattr(q_features.specs, "features_from_specs", lambda df, *_: seen.extend(df.columns) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        q_features.e16(spark, "nowhere")
+    assert sorted(seen) == sorted(c for c in rows.columns if c not in ("category", "brand", "title", "segment"))
