@@ -501,9 +501,9 @@ def d10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    toxic = table(spark, sf_dir, "labels").where(F.col("toxic") == 1)
-    lake = lake_catalog(spark, sf_dir)
-    return lake.where(F.col("n") > 2).join(toxic, lake.dataset_ord == toxic.doc_id, "left_semi").select(
+    # only texts that have corrections are cut into words
+    toxic = table(spark, sf_dir, "labels").where(F.col("toxic") == 1).select("doc_id")
+    return lake_catalog(spark, sf_dir, toxic).where(F.col("n") > 2).select(
         "dataset", "column", F.lit("PRICE").alias("corrected_role"))
 
 

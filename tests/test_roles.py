@@ -177,3 +177,18 @@ def test_predicates_read_the_texts_once(spark, tmp_path, monkeypatch):
     classes = q_roles.meaning.classify(whole).collect()
     assert calls == ["classes"]
     assert got["ambiguous"] == (sum(r["is_ambiguous"] for r in classes), len({r["column"] for r in classes if r["is_ambiguous"]}))
+
+
+def test_only_texts_with_corrections_are_cut_for_them(spark, tmp_path):
+    from tessela.plans import fixtures, q_roles
+
+    docs = [(1, "price price price name"), (2, "cost cost cost"), (2, "cost unit"), (3, "size size size"), (None, "other other other"), (4, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'web' AS source").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1), (1, 1), (2, 1), (3, 0), (4, 1), (None, 1)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    fixes = sorted(map(tuple, q_roles._fixes(spark, str(tmp_path)).collect()))
+    assert fixes == [("doc_1", "price", "PRICE"), ("doc_2", "cost", "PRICE")]
+    of = spark.createDataFrame([(2,)], "doc_id long")
+    assert {r["dataset"] for r in fixtures.lake_catalog(spark, str(tmp_path), of).collect()} == {"doc_2"}
+    summary = q_roles.d10_summary(spark, str(tmp_path)).first()
+    assert (summary["total"], summary["corrected"]) == (6, 2)
