@@ -7,15 +7,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (
-    FMClassifier,
     LinearSVC,
     LogisticRegression,
     MultilayerPerceptronClassifier,
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import FeatureHasher, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import DenseVector, Vectors
 from pyspark.ml.recommendation import ALS
@@ -29,6 +28,9 @@ from tessela.roles import Roles
 from tessela.session import materialize
 
 
+MLP_BLOCK = 2048
+
+
 @dataclass
 class RetrievalVectors:
     """(user, vector) and (item, vector) of one retrieval model."""
@@ -93,6 +95,70 @@ def linear_score(features: Column, model) -> Column:
     return vectors.dot(features, F.lit([float(w) for w in model.coefficients.toArray()]))
 
 
+class FactorizationMachine(Transformer):
+    """Probabilities from an intercept, a weight for each place, and a vector for each place whose products weigh pairs of a row's places.
+
+    The places of a row are one for each number, which counts with its value, and the hash of each category.
+    """
+
+    def __init__(self, dense: Sequence[str], categories: Sequence[str], intercept: float, linear: np.ndarray, factors: np.ndarray):
+        super().__init__()
+        self.dense, self.categories = list(dense), list(categories)
+        self.intercept, self.linear, self.factors = intercept, linear, factors
+
+    def weights(self) -> np.ndarray:
+        return np.concatenate([[self.intercept], self.linear, self.factors.ravel()])
+
+    def with_weights(self, w: np.ndarray) -> FactorizationMachine:
+        size = len(self.linear)
+        return FactorizationMachine(self.dense, self.categories, float(w[0]), w[1:1 + size], w[1 + size:].reshape(size, -1))
+
+    def _place(self, *parts: Column) -> Column:
+        return F.pmod(F.xxhash64(*parts), F.lit(len(self.linear))).cast("double")
+
+    def entries(self) -> Column:
+        """Value and place of each number, then the place of each category, -1 for null; a null number is 0, which adds nothing."""
+        numbers = [F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in self.dense]
+        own = [self._place(F.lit(c)) for c in self.dense]
+        places = [F.when(F.col(f"`{c}`").isNull(), -1.0).otherwise(self._place(F.lit(c), F.col(f"`{c}`").cast("string"))) for c in self.categories]
+        return F.array(*numbers, *own, *places)
+
+    def _parts(self, x: np.ndarray):
+        n = len(self.dense)
+        at = x[:, n:].astype(np.int64)
+        value = np.concatenate([x[:, :n], (at[:, n:] >= 0).astype(float)], axis=1)
+        at = np.maximum(at, 0)
+        scaled = self.factors[at] * value[:, :, None]
+        total = scaled.sum(axis=1)
+        raw = self.intercept + (self.linear[at] * value).sum(axis=1) + 0.5 * ((total ** 2).sum(axis=1) - (scaled ** 2).sum(axis=(1, 2)))
+        return at, value, scaled, total, 1.0 / (1.0 + np.exp(-np.clip(raw, -500, 500)))
+
+    def gradient(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Of the logistic loss, summed over the rows."""
+        out, size, k = np.zeros(1 + self.linear.size + self.factors.size), *self.factors.shape
+        for low in range(0, len(x), 4096):
+            at, value, scaled, total, p = self._parts(x[low:low + 4096])
+            turn = (p - y[low:low + 4096])[:, None] * value
+            out[0] += (p - y[low:low + 4096]).sum()
+            flat = at.ravel()
+            out[1:1 + size] += np.bincount(flat, turn.ravel(), size)
+            change = turn[:, :, None] * (total[:, None, :] - scaled)
+            for f in range(k):
+                out[1 + size + f::k] += np.bincount(flat, change[:, :, f].ravel(), size)
+        return out
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        parts = self._parts
+
+        @F.pandas_udf("double")
+        def probability(x: pd.Series) -> pd.Series:
+            return pd.Series(parts(np.stack(x.to_numpy()))[-1] if len(x) else [], dtype=float)
+
+        p = probability(self.entries())
+        return df.withColumn("probability", array_to_vector(F.transform(F.array(p), lambda v: F.array(1 - v, v))[0])).withColumn(
+            "prediction", (F.element_at(vector_to_array("probability"), 2) > 0.5).cast("double"))
+
+
 def fit_ctr(
     df: DataFrame, dense: Sequence[str], categories: Sequence[str], label: str = "label", factor_size: int = 8,
     iterations: int = 30, step: float = 0.05, seed: int = 7, hash_bits: int = 16,
@@ -100,14 +166,27 @@ def fit_ctr(
     """Click probability from numbers and categories with pairwise interactions: a factorization machine.
 
     Every (column, category) is hashed to one of 2^``hash_bits`` places, so no list of categories exists anywhere and the model
-    has the same size whatever the data hold; categories that share a place share their weights. Nulls count as absent.
+    has the same size whatever the data hold; categories that share a place share their weights. Nulls count as absent. Training is
+    Adam on the logistic loss of all rows, as in Spark's ``FMClassifier``; that one adds an array of the model's size for every row, here a row only
+    touches the weights of its own places, and a task sends one sum.
     """
-    return Pipeline(stages=[
-        FeatureHasher(inputCols=[*dense, *categories], outputCol="hashed", categoricalCols=list(categories), numFeatures=1 << hash_bits),
-        # the hasher stores a number that is 0 as an entry, which the factorization machine cannot take; the assembler leaves it out
-        VectorAssembler(inputCols=["hashed"], outputCol="features"),
-        FMClassifier(labelCol=label, factorSize=factor_size, maxIter=iterations, stepSize=step, seed=seed),
-    ]).fit(df)
+    rng, size = np.random.default_rng(seed), 1 << hash_bits
+    machine = FactorizationMachine(dense, categories, 0.0, np.zeros(size), rng.normal(scale=0.01, size=(size, factor_size)))
+    rows = _blocks(df.select(machine.entries().alias("x"), F.col(label).alias("label")))
+    weights = machine.weights()
+    first, second = np.zeros(len(weights)), np.zeros(len(weights))
+    for i in range(1, iterations + 1):
+        parts = _summed(rows, machine.gradient)
+        if not len(parts):
+            break
+        gradient = parts[:-1] / parts[-1]
+        first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient ** 2
+        moved = step * first / (1 - 0.9 ** i) / (np.sqrt(second / (1 - 0.999 ** i)) + 1e-8)
+        weights = weights - moved
+        machine = machine.with_weights(weights)
+        if np.linalg.norm(moved) < 1e-6 * max(np.linalg.norm(weights), 1.0):
+            break
+    return PipelineModel([machine])
 
 
 def fit_mlp(
@@ -118,7 +197,8 @@ def fit_mlp(
     layers = [len(columns), *hidden, 2]
     return Pipeline(stages=[
         VectorAssembler(inputCols=list(columns), outputCol="features"),
-        MultilayerPerceptronClassifier(labelCol=label, layers=layers, maxIter=iterations, seed=seed),
+        # rows of a matrix product; the result is the same, and narrow layers cost little else than calls
+        MultilayerPerceptronClassifier(labelCol=label, layers=layers, maxIter=iterations, seed=seed, blockSize=MLP_BLOCK),
     ]).fit(df)
 
 
@@ -174,7 +254,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
 
 
 def _summed(blocks: DataFrame, of_block) -> np.ndarray:
-    """The sum over all blocks of an array ``of_block(x, y)``, followed by the number of rows: one partial sum per task."""
+    """The sum over all blocks of an array ``of_block(x, y)``, followed by the number of rows: one partial sum per task, without its zeros."""
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, rows = 0.0, 0
         for batch in batches:
@@ -182,11 +262,16 @@ def _summed(blocks: DataFrame, of_block) -> np.ndarray:
                 total = total + of_block(np.frombuffer(x).reshape(n, -1), np.frombuffer(y))
                 rows += n
         if rows:
-            yield pd.DataFrame({"at": np.arange(len(total) + 1), "part": np.append(total, rows)})
-
-    # one row per feature
-    sums = blocks.mapInPandas(partial, "at int, part double").groupBy("at").agg(F.sum("part").alias("part")).orderBy("at").collect()
-    return np.array([r["part"] for r in sums])
+            sums = np.append(total, rows)
+            at = np.flatnonzero(sums)
+            yield pd.DataFrame({"at": at, "part": sums[at]})
+
+    # one row per feature; the number of rows, which comes last, is never 0
+    sums = blocks.mapInPandas(partial, "at int, part double").groupBy("at").agg(F.sum("part").alias("part")).collect()
+    out = np.zeros(1 + max((r["at"] for r in sums), default=-1))
+    for r in sums:
+        out[r["at"]] = r["part"]
+    return out
 
 
 def _loss_gradient(blocks: DataFrame, scale: np.ndarray, at: np.ndarray) -> np.ndarray:
