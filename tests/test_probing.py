@@ -180,3 +180,73 @@ def test_a_gradient_of_blocks_is_that_of_the_rows(spark):
     assert blocks.count() <= 4 and blocks.agg(F.sum("rows")).first()[0] == 90
     wanted = ((1 / (1 + np.exp(-(x @ (at / scale)))) - y) @ x) / scale / 90
     assert np.allclose(models._loss_gradient(blocks, scale, at), wanted, atol=1e-12)
+
+
+def test_bounded_probing_hands_on_no_neighbours_between_rounds(spark, clusters, monkeypatch):
+    """The first round gives one number per query, and neighbours are not written; blocks of many sizes and queries of one name change nothing."""
+    m, base = clusters
+    written, write = [], probing.materialize
+    monkeypatch.setattr(probing, "materialize", lambda df, name: written.append(df.columns) or write(df, name))
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(ann, "CODED_BLOCK_ROWS", 60)
+    queries = base.withColumnRenamed("id", "query_id")
+    found = probing.ivf_search_bounded(queries, ann.ivf_build(base, nlist=8), 5, exclude_self=True, first=1, block_rows=7).found
+    rows = lambda df: sorted(map(tuple, df.select("query_id", "id", "rank").collect()))
+    assert rows(found) == rows(ann.knn_exact(queries, base, 5, exclude_self=True)) and not any("id" in c for c in written)
+    twice = queries.unionByName(queries.where("query_id < 9").withColumn("query_id", F.col("query_id") + 1))
+    found = probing.ivf_search_bounded(twice, ann.ivf_build(base, nlist=8), 5, first=1).found
+    scores = lambda df: sorted(map(tuple, df.select("query_id", "rank", "score").collect()))
+    assert scores(found) == scores(ann.knn_exact(twice, base, 5))
+
+
+def test_a_threshold_join_sends_a_query_once(spark, clusters, monkeypatch):
+    """However many boxes a query can reach: at -0.2 that is nearly all."""
+    m, base = clusters
+    queries, sent, blocks = base.withColumnRenamed("id", "query_id"), [], ann._in_blocks
+    monkeypatch.setattr(ann, "_in_blocks", lambda q, b, *rest: sent.append((q.count(), b.select("id").distinct().count())) or blocks(q, b, *rest))
+    rows = lambda df: sorted(map(tuple, df.select("query_id", "id", "score").collect()))
+    for threshold in (-0.2, 0.9):
+        got, exact = probing.topk_above(queries, base, threshold, 5, exclude_self=True), ann.knn_exact(queries, base, 5, exclude_self=True)
+        assert rows(got) == rows(exact.where(F.col("score") >= threshold))
+    assert max(q for q, _ in sent) <= len(m)
+
+
+def test_a_factorization_machine_takes_the_gradient_of_a_rows_own_places(spark):
+    rows = [(c, d, x, float((c == "a") == (d == "b"))) for c in ("a", "b", None) for d in ("a", "b") for x in (0.5, None, -1.0)]
+    df = spark.createDataFrame(rows, "c string, d string, x double, label double")
+    rng = np.random.default_rng(1)
+    machine = models.FactorizationMachine(["x"], ["c", "d"], 0.2, rng.normal(size=16), rng.normal(size=(16, 3)))
+    got = df.select(machine.entries().alias("x"), "label").collect()
+    x, y, w = np.array([r["x"] for r in got]), np.array([r["label"] for r in got]), machine.weights()
+
+    def loss(weights):
+        p = machine.with_weights(weights)._parts(x)[-1]
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).sum()
+
+    steps = np.eye(len(w)) * 1e-6
+    assert np.allclose(machine.gradient(x, y), [(loss(w + s) - loss(w - s)) / 2e-6 for s in steps], atol=1e-5)
+    # a null adds nothing: only the place of d, and of x where it is not null, take part
+    assert all((v[0] == 0 if r[2] is None else v[0] == r[2]) and (v[2] == -1) == (r[0] is None) for v, r in zip(x, df.select("c", "d", "x").collect()))
+    # only products of two categories tell these labels
+    known = df.where("c IS NOT NULL").drop("x")
+    fitted = models.fit_ctr(known, (), ("c", "d"), factor_size=3, iterations=150, hash_bits=8)
+    assert fitted.transform(known).where("prediction <> label").count() == 0
+
+
+def test_refined_candidates_grow_with_the_rows(spark, monkeypatch):
+    """A code tells a share of the order, so a fixed number of candidates loses neighbours in a larger table."""
+    m = np.random.default_rng(6).normal(size=(4000, 16))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    base = _table(spark, m)
+    queries = base.where("id < 200").withColumnRenamed("id", "query_id")
+    index = ann.pq_build(base, 16, m=8, nbits=3, nlist=4)
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 1500)
+    found = ann.pq_search(queries, index, 10, nprobe=4, exclude_self=True, refine=base, factor=2)
+    taken = [r["n"] for r in ann.pq_search(queries, index, 40, nprobe=4, exclude_self=True).groupBy("query_id").agg(F.count("id").alias("n")).collect()]
+    exact = ann.knn_exact(queries, base, 10, exclude_self=True)
+    best = exact.join(ann.pq_search(queries, index, 40, nprobe=4, exclude_self=True).select("query_id", "id"), ["query_id", "id"])
+    twenty = ann.search_recall(exact, ann.pq_search(queries, index, 20, nprobe=4, exclude_self=True)).first()["recall"]
+    got = ann.search_recall(exact, found).first()["recall"]
+    assert set(taken) == {40} and abs(got - best.count() / 2000) < 1e-9 and got > twenty
+    twice = ann._rescored(found.select("query_id", "id"), queries, base.unionByName(base), 40, 1000)
+    assert twice.count() == 2 * found.count() == 4000
