@@ -28,9 +28,6 @@ from tessela.roles import Roles
 from tessela.session import materialize
 
 
-MLP_BLOCK = 2048
-
-
 @dataclass
 class RetrievalVectors:
     """(user, vector) and (item, vector) of one retrieval model."""
@@ -167,12 +164,13 @@ def fit_ctr(
 
     Every (column, category) is hashed to one of 2^``hash_bits`` places, so no list of categories exists anywhere and the model
     has the same size whatever the data hold; categories that share a place share their weights. Nulls count as absent. Training is
-    Adam on the logistic loss of all rows, as in Spark's ``FMClassifier``; that one adds an array of the model's size for every row, here a row only
+    Adam on the logistic loss of all rows, as in Spark's ``FMClassifier``, with one pass over blocks of rows per step: a row only
     touches the weights of its own places, and a task sends one sum.
     """
     rng, size = np.random.default_rng(seed), 1 << hash_bits
     machine = FactorizationMachine(dense, categories, 0.0, np.zeros(size), rng.normal(scale=0.01, size=(size, factor_size)))
-    rows = _blocks(df.select(machine.entries().alias("x"), F.col(label).alias("label")))
+    known = F.when(F.col(label).isin(0, 1), F.col(label)).otherwise(F.raise_error(F.lit("labels must be 0 or 1")))
+    rows = _blocks(df.select(machine.entries().alias("x"), known.alias("label")))
     weights = machine.weights()
     first, second = np.zeros(len(weights)), np.zeros(len(weights))
     for i in range(1, iterations + 1):
@@ -197,8 +195,7 @@ def fit_mlp(
     layers = [len(columns), *hidden, 2]
     return Pipeline(stages=[
         VectorAssembler(inputCols=list(columns), outputCol="features"),
-        # rows of a matrix product; the result is the same, and narrow layers cost little else than calls
-        MultilayerPerceptronClassifier(labelCol=label, layers=layers, maxIter=iterations, seed=seed, blockSize=MLP_BLOCK),
+        MultilayerPerceptronClassifier(labelCol=label, layers=layers, maxIter=iterations, seed=seed),
     ]).fit(df)
 
 

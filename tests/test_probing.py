@@ -231,6 +231,8 @@ def test_a_factorization_machine_takes_the_gradient_of_a_rows_own_places(spark):
     known = df.where("c IS NOT NULL").drop("x")
     fitted = models.fit_ctr(known, (), ("c", "d"), factor_size=3, iterations=150, hash_bits=8)
     assert fitted.transform(known).where("prediction <> label").count() == 0
+    with pytest.raises(Exception, match="labels must be 0 or 1"):
+        models.fit_ctr(known.withColumn("label", F.lit(None).cast("double")), (), ("c", "d"), factor_size=3, iterations=1, hash_bits=8)
 
 
 def test_refined_candidates_grow_with_the_rows(spark, monkeypatch):
