@@ -27,9 +27,11 @@ from tessela.llm.sigtree import runs
 from tessela.llm.vectors import SEED, balanced_centroids, by_length, cosines, matrix, sample, unit, valid
 
 EPSILON = 6.0
-BLOCK = 4096
+BLOCK = 4096  # rows of a side that are compared at once
+FEW_BLOCKS = 16  # a cell is dealt in at most so many blocks, whose copies are the bytes that tiles move,
+BLOCKS_AT_ONCE = 8  # while a block has no more than so many times BLOCK rows
 PER_CENTROID = 8
-MOVED = 1000  # a row that is moved costs as much as so many estimates
+MOVED = 10_000  # a row that is moved costs as much as so many estimates, its bytes on disk included
 
 
 def rotation(dim: int) -> np.ndarray:
@@ -48,7 +50,7 @@ def estimates(bits: np.ndarray, factor: np.ndarray, rotated: np.ndarray) -> np.n
     """Unbiased estimates of the inner products of coded vectors (rows) with rotated unit vectors (columns)."""
     dim = rotated.shape[1]
     signs = np.unpackbits(bits, axis=1, count=dim).astype(np.float32) * 2 - 1
-    return (signs @ rotated.astype(np.float32).T) / (np.sqrt(dim) * factor[:, None]).astype(np.float32)
+    return (signs / (np.sqrt(dim) * factor[:, None]).astype(np.float32)) @ rotated.astype(np.float32).T
 
 
 def least_estimate(factor: np.ndarray, dim: int, threshold: float, epsilon: float = EPSILON) -> np.ndarray:
@@ -66,7 +68,8 @@ def near_pairs(x: np.ndarray, bits: np.ndarray, factor: np.ndarray, y: np.ndarra
     rotated = unit(y) @ turn
     low = least_estimate(factor, x.shape[1], threshold).astype(np.float32)
     for a in range(0, len(x), 256):
-        i, j = np.nonzero(estimates(bits[a : a + 256], factor[a : a + 256], rotated) >= low[a : a + 256, None])
+        # few of all pairs are found, which is much faster in one dimension
+        i, j = np.divmod(np.flatnonzero(estimates(bits[a : a + 256], factor[a : a + 256], rotated) >= low[a : a + 256, None]), len(y))
         i += a
         if upper:
             i, j = i[i < j], j[i < j]
@@ -109,6 +112,12 @@ def homes(u: np.ndarray, centroids: np.ndarray, apart: np.ndarray, threshold: fl
     return home, near
 
 
+def block_count(rows: np.ndarray) -> np.ndarray:
+    """Blocks that so many rows of a cell are dealt in."""
+    few = np.minimum(np.ceil(rows / BLOCK), FEW_BLOCKS)
+    return np.maximum(1, np.maximum(few, np.ceil(rows / (BLOCK * BLOCKS_AT_ONCE))))
+
+
 def work(points: np.ndarray, centroids: np.ndarray, threshold: float, count: int) -> float:
     """Estimates and moved rows that ``count`` vectors distributed like ``points`` take in these cells."""
     k, apart = len(centroids), distances(centroids)
@@ -118,7 +127,7 @@ def work(points: np.ndarray, centroids: np.ndarray, threshold: float, count: int
         at_home += np.bincount(home, minlength=k)
         in_all += near.sum(0)
     h, g = at_home * count / len(points), (in_all - at_home) * count / len(points)
-    blocks, guest_blocks = np.maximum(1, np.ceil(h / BLOCK)), np.maximum(1, np.ceil(g / BLOCK))
+    blocks, guest_blocks = block_count(h), block_count(g)
     return float((h * h / 2 + h * g + MOVED * (h + g + h * (blocks + guest_blocks) + g * blocks)).sum())
 
 
@@ -150,15 +159,24 @@ def _cells(rows: DataFrame, centroids: np.ndarray, threshold: float) -> DataFram
                     "cell": pa.array(cell, pa.int32()), "home": pa.array(home[row], pa.int32()), "guests": guests.take(ids),
                 })
 
-    return arrow_map(rows, run, "rep long, copies long, v array<double>, bits binary, factor double, cell int, home int, guests array<int>")
+    kind = rows.schema["v"].dataType.simpleString()
+    return arrow_map(rows, run, f"rep long, copies long, v {kind}, bits binary, factor double, cell int, home int, guests array<int>")
 
 
 def _tiles(cells: DataFrame) -> DataFrame:
-    """Home rows of a cell in blocks of BLOCK rows; a tile is two home blocks, or a home and a guest block."""
+    """Home rows of a cell in blocks; a tile is two home blocks, or a home and a guest block.
+
+    A row goes to one tile for each other block, so larger cells have larger blocks, up to ``BLOCKS_AT_ONCE`` times BLOCK rows.
+    """
+    def blocks(rows):
+        few = F.least(F.ceil(rows / BLOCK), F.lit(FEW_BLOCKS))
+        return F.greatest(F.lit(1), few, F.ceil(rows / (BLOCK * BLOCKS_AT_ONCE))).cast("int")
+
     is_home = F.col("cell") == F.col("home")
     sizes = cells.groupBy("cell").agg(F.sum(is_home.cast("long")).alias("h"), F.sum((~is_home).cast("long")).alias("g"))
-    sizes = sizes.select(F.col("cell").alias("c"), F.greatest(F.lit(1), F.ceil(F.col("h") / BLOCK)).cast("int").alias("h"), F.greatest(F.lit(1), F.ceil(F.col("g") / BLOCK)).cast("int").alias("g"))
-    rows = cells.join(sizes, F.col("cell") == F.col("c")).withColumn("at_home", is_home)
+    # one row per cell, of which there are at most as many as centroids from a sample of bounded size
+    sizes = sizes.select(F.col("cell").alias("c"), blocks(F.col("h")).alias("h"), blocks(F.col("g")).alias("g"))
+    rows = cells.join(F.broadcast(sizes), F.col("cell") == F.col("c")).withColumn("at_home", is_home)
     rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit("cell"), "rep"), F.when(F.col("at_home"), F.col("h")).otherwise(F.col("g"))).cast("int"))
     other = F.when(F.col("at_home"), F.concat(F.sequence(F.lit(0), F.col("h") - 1), F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda j: -1 - j))).otherwise(
         F.sequence(F.lit(0), F.col("h") - 1))
@@ -177,6 +195,20 @@ def _found(a: list[np.ndarray], b: list[np.ndarray | None], n: list[np.ndarray])
     ], names=["a", "b", "n"])
 
 
+def _squares(x: np.ndarray, y: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Two lists of rows in pieces of BLOCK rows, every two pieces once; whether they are the same piece."""
+    for p in range(0, len(x), BLOCK):
+        for q in range(p if same else 0, len(y), BLOCK):
+            yield x[p : p + BLOCK], y[q : q + BLOCK], same and p == q
+
+
+def _among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which keys are among the ascending ``known``."""
+    if not len(known):
+        return np.zeros(len(keys), bool)
+    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
+
+
 def linked(rows: DataFrame, centroids: np.ndarray, threshold: float) -> DataFrame:
     """(a, b, n): with b null, class a has n further linked vectors; else a and b are connected."""
     turn = rotation(centroids.shape[1])
@@ -197,20 +229,29 @@ def linked(rows: DataFrame, centroids: np.ndarray, threshold: float) -> DataFram
             same = len(blocks) == 1
             if same and tile.column("hosting")[0].as_py():
                 continue  # hosts without guests, or guests without hosts
-            i, j = near_pairs(v[x], bits[x], factor[x], v[y], turn, threshold, upper=same)
-            i, j = x[i], y[j]
+            hosted = None
             if not same and blocks[0] < 0:
-                # a host that is a guest in its guest's cell meets it there too: the smaller cell counts
                 lists = tile.column("guests").combine_chunks()
                 host = np.repeat(np.arange(len(rep)), np.diff(lists.offsets.to_numpy()))
-                both = np.isin(i * (1 << 31) + home[j], host * (1 << 31) + lists.flatten().to_numpy())
-                keep = ~both | (home[i] < home[j])
-                i, j = i[keep], j[keep]
-            if not len(i):
+                hosted = np.unique(host * (1 << 31) + lists.flatten().to_numpy())
+            count, ups, tops = np.zeros(len(rep)), [], []
+            for xs, ys, alike in _squares(x, y, same):
+                i, j = near_pairs(v[xs], bits[xs], factor[xs], v[ys], turn, threshold, upper=alike)
+                i, j = xs[i], ys[j]
+                if hosted is not None:
+                    # a host that is a guest in its guest's cell meets it there too: the smaller cell counts
+                    keep = ~_among(i * (1 << 31) + home[j], hosted) | (home[i] < home[j])
+                    i, j = i[keep], j[keep]
+                if not len(i):
+                    continue
+                count += np.bincount(i, weights=copies[j], minlength=len(rep)) + np.bincount(j, weights=copies[i], minlength=len(rep))
+                root = local_roots(len(rep), i, j)
+                ups.append(np.flatnonzero(root != np.arange(len(rep))))
+                tops.append(root[ups[-1]])
+            if not ups:
                 continue
-            count = np.bincount(i, weights=copies[j], minlength=len(rep)) + np.bincount(j, weights=copies[i], minlength=len(rep))
             some = np.flatnonzero(count)
-            root = local_roots(len(rep), i, j)
+            root = root if len(ups) == 1 else local_roots(len(rep), np.concatenate(ups), np.concatenate(tops))
             moved = np.flatnonzero(root != np.arange(len(rep)))
             a += [rep[some], rep[moved]]
             b += [None, rep[root[moved]]]
@@ -232,8 +273,10 @@ def near_vectors(df: DataFrame, threshold: float, vec_id: str = "vec_id", vector
     """
     every = df.select(F.col(vec_id).cast("long").alias("vec_id"))
     rows = valid(df, vec_id, vector).select("vec_id", F.transform("v", lambda x: x.cast("double")).alias("v"))
+    # doubles that were floats go on as floats, which are half as long
+    kept = "array<float>" if df.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
     rows = rows.withColumn("x", F.xxhash64("v")).withColumn("y", F.xxhash64(F.lit("v"), "v"))
-    classes = stage(rows.groupBy("x", "y").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v")), "vector-classes")
+    classes = stage(rows.groupBy("x", "y").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("v").cast(kept).alias("v")), "vector-classes")
     parts = by_length(classes)
     if not parts:
         return every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))

@@ -206,6 +206,13 @@ def test_links_near_a_subspace_equal_all_pairs(spark, rank):
     assert [links.get(k, 0) for k in range(len(v))] == list(want)
 
 
+def test_a_vector_goes_to_few_tiles(spark, monkeypatch):
+    monkeypatch.setattr(rabitq, "BLOCK", 8)
+    one = spark.range(700).select(F.col("id").alias("rep"), F.lit(0).alias("cell"), F.lit(0).alias("home"))
+    copies = rabitq._tiles(one).where("NOT hosting").groupBy("rep").count().agg(F.count(F.lit(1)), F.max("count")).first()
+    assert tuple(copies) == (700, 16)
+
+
 def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(3)
     x = _unit(rng.normal(size=(300, 64)))
