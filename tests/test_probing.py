@@ -252,3 +252,75 @@ def test_refined_candidates_grow_with_the_rows(spark, monkeypatch):
     assert set(taken) == {40} and abs(got - best.count() / 2000) < 1e-9 and got > twenty
     twice = ann._rescored(found.select("query_id", "id"), queries, base.unionByName(base), 40, 1000)
     assert twice.count() == 2 * found.count() == 4000
+
+
+def test_the_length_of_a_vector_is_taken_once(spark):
+    """Not once for each component, which made long vectors cost the square of their length."""
+    from tessela.functions import vectors
+
+    df = spark.range(1).select(F.array(*[F.lit(float(x)) for x in (3, 4)]).alias("v"))
+    unit = df.select(vectors.l2_normalize(F.col("v")).alias("u"))
+    plan = unit._jdf.queryExecution().analyzed().toString()
+    assert "array_repeat(" in plan and unit.first()["u"] == [0.6, 0.8]
+    odd = spark.createDataFrame([([0.0, 0.0],), (None,), ([],), ([None, 2.0],)], "v array<double>")
+    assert [r["u"] for r in odd.select(vectors.l2_normalize(F.col("v")).alias("u")).collect()] == [[0.0, 0.0], None, [], [None, 2.0]]
+
+
+def test_a_second_round_scores_what_enough_rows_reach(spark, clusters, monkeypatch):
+    """Candidates stay in their blocks: what the rounds hand on is a few numbers and k rows of each query and block, and the neighbours are those of the codes."""
+    m, base = clusters
+    queries, sent, blocks = base.withColumnRenamed("id", "query_id"), [], ann._in_blocks
+    index = ann.pq_build(base, m.shape[1], m=2, nbits=3, nlist=4)
+    decoded = ann._decoded_products(index)
+    flat = index.table.orderBy("id").toPandas()
+    asked = queries.orderBy("query_id").toPandas()
+    code = np.round(decoded(asked, flat)(slice(None), slice(None)), 9)
+    exact, n = np.round(m @ m.T, 9), len(m)
+    np.fill_diagonal(code, -np.inf)
+    monkeypatch.setattr(ann, "_in_blocks", lambda q, b, keys, work, schema: sent.append(out := blocks(q, b, keys, work, schema)) or out)
+    for coded_rows in (10_000, 60):
+        monkeypatch.setattr(ann, "CODED_BLOCK_ROWS", coded_rows)
+        monkeypatch.setattr(ann, "BLOCK_ROWS", coded_rows)
+        sent.clear()
+        got = ann.pq_search(queries, index, 3, nprobe=4, exclude_self=True, refine=base, factor=5)
+        rows = {(r["query_id"], r["id"]) for r in got.collect()}
+        ranked = -np.sort(-code, axis=1)[:, 14:15]
+        wanted = {(q, i) for q in range(n) for i in sorted(np.flatnonzero(code[q] >= ranked[q] - 1e-6), key=lambda i: (-exact[q, i], i))[:3]}
+        if coded_rows == 10_000:
+            assert rows == wanted
+        best = lambda pairs: sum(exact[q, i] for q, i in pairs)
+        assert len(rows) == 3 * n and best(rows) >= best(wanted) - 1e-9
+        assert max(out.groupBy("query_id").count().agg(F.max("count")).first()[0] for out in sent) <= 3 * max(1, -(-2 * n // coded_rows))
+
+
+def test_meeting_pairs_are_counted_and_found_alike():
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    probed, own = rng.integers(0, 40, (90, 3, 4)), rng.integers(0, 60, (700, 3))
+    meetings = ann._Meetings(pd.Series(list(probed.reshape(90, -1))), pd.Series(list(own)))
+    wanted = np.array([[any(b[t] in q[t] for t in range(3)) for b in own] for q in probed])
+    assert (meetings.of(slice(0, 90), slice(None)) == wanted).all()
+    assert meetings.count(slice(0, 50)) + meetings.count(slice(50, 90)) == wanted.sum()
+    row, column = np.nonzero(np.ones_like(wanted))
+    assert (meetings.pairs(row, column) == wanted.ravel()).all()
+
+
+def test_rough_products_lose_no_neighbour():
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    for scale in (1.0, 1e-9, 1e9, 1e200):
+        m = rng.normal(size=(3000, 24)) * scale
+        m[1500:] = m[:1500] * (1 + 1e-12 * rng.normal(size=(1500, 1)))  # nearly equal scores
+        frame = pd.DataFrame({"query_id": np.arange(3000), "id": np.arange(3000), "vector": list(m)})
+        products = ann._inner_products(frame.iloc[:60], frame)
+        assert (products.rough is None) == (scale == 1e200)
+        if products.rough is not None:
+            off = np.abs(products.rough(slice(None), slice(None)) - products(slice(None), slice(None)))
+            assert (off < products.slack[:, None]).all()
+        got = ann._top_of_batches(frame.iloc[:60], np.arange(3000), products, 5, True, 256)
+        scores = np.round(products(slice(None), slice(None)), 9)
+        for q, part in got.groupby("query_id"):
+            best = np.sort(np.delete(scores[q], q))[::-1][:5]
+            assert np.allclose(part["score"].to_numpy(), best, rtol=1e-12, atol=1.1e-9)
