@@ -141,21 +141,26 @@ def top_roles(pairs: DataFrame, k: int = 5, keys: Sequence[str] = ("dataset", "c
 
 
 def map_columns(catalog: DataFrame, roles: Sequence[RoleSpec] = COLUMN_ROLES, k: int = 5) -> DataFrame:
-    """Name-only mapping in one projection: best role, confidence, the k best roles and the reasons, without a shuffle."""
+    """Name-only mapping in one projection: best role, confidence, the k best roles and the reasons, without a shuffle.
+
+    Role and confidence do not depend on the list of all roles, which is only made for those who read it.
+    """
     scored, names = _with_name_scores(catalog, roles)
-    entries = []
+    entries, ranks = [], []
     for i, spec in enumerate(roles):
         rule = F.col(names[i])
-        entries.append(F.struct(
-            hybrid_score(rule, F.lit(0.0), F.lit(0.0)).alias("score"), F.lit(-i).alias("order"),
-            F.lit(spec.role).alias("role"), reason_text(rule, F.lit(0.0), F.lit(0.0)).alias("reason"),
-        ))
+        rank = [hybrid_score(rule, F.lit(0.0), F.lit(0.0)).alias("score"), F.lit(-i).alias("order"), F.lit(spec.role).alias("role")]
+        ranks.append(F.struct(*rank))
+        entries.append(F.struct(*rank, reason_text(rule, F.lit(0.0), F.lit(0.0)).alias("reason")))
+    # without a hit all scores are 0 and the first role comes first
+    first = F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("order"), F.lit(roles[0].role).alias("role"))
+    best = F.when(F.col("__hit"), F.array_max(F.array(*ranks))).when(~F.col("__hit"), first).otherwise(F.array_max(F.array(*ranks)))
     # the one-element explode keeps later filters on the role from being pushed below and repeating the whole scoring
-    ranked = scored.withColumn("__all", F.explode(F.array(F.sort_array(F.array(*entries), asc=False))))
+    ranked = scored.withColumn("__best", F.explode(F.array(best))).withColumn("__all", F.sort_array(F.array(*entries), asc=False))
     return ranked.select(
         *catalog.columns,
-        F.col("__all")[0]["role"].alias("role"),
-        F.col("__all")[0]["score"].alias("confidence"),
+        F.col("__best")["role"].alias("role"),
+        F.col("__best")["score"].alias("confidence"),
         F.transform(
             F.slice("__all", 1, k), lambda e: F.struct(e["role"].alias("role"), e["score"].alias("score"))
         ).alias("top_matches"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessela.roles import ENTITY_GROUPS, FINE_ROLES
+from tessela.session import materialize
 
 # Bucket of each of the eight column roles.
 ROLE_BUCKETS = {
@@ -73,12 +74,15 @@ def bucket_counts(mappings: DataFrame) -> DataFrame:
 
 
 def graph_nodes(mappings: DataFrame) -> DataFrame:
-    """(column, dataset_ord, pos, node_type, is_primary): the first user and the first item column are primary."""
+    """(column, dataset_ord, pos, node_type, is_primary): the first user and the first item column are primary.
+
+    The typed columns are written once: readers ask for them again and again, and a catalog may cost more than a table.
+    """
     role = F.col("role")
     kind = F
     for name, roles in ENTITY_GROUPS.items():
         kind = kind.when(role.isin(*roles), name)
-    typed = mappings.withColumn("node_type", kind.otherwise("feature"))
+    typed = materialize(mappings.select("column", "dataset_ord", "pos", kind.otherwise("feature").alias("node_type")), "nodes")
     first = typed.where(F.col("node_type").isin("user", "item")).groupBy("node_type").agg(
         F.min(F.struct("dataset_ord", "pos")).alias("place")
     )
@@ -92,13 +96,13 @@ def graph_nodes(mappings: DataFrame) -> DataFrame:
 def graph_edges(nodes: DataFrame) -> DataFrame:
     """user -> item per interaction, user -> session, and owner -> feature where the name hints at the owner."""
     def primary(kind: str) -> Column:
-        chosen = nodes.where(F.col("is_primary") & (F.col("node_type") == kind))
-        return chosen.groupBy().agg(F.min("column").alias("p")).scalar()
+        return F.min(F.when(F.col("node_type") == kind, F.col("column"))).alias(kind)
 
-    user, item = primary("user"), primary("item")
+    # one row
+    primaries = nodes.where("is_primary").agg(primary("user"), primary("item"))
     lower = F.lower("column")
-    named = nodes.select(
-        "column", "node_type", user.alias("user"), item.alias("item"),
+    named = nodes.join(F.broadcast(primaries)).select(
+        "column", "node_type", "user", "item",
         lower.rlike("user|customer|member").alias("of_user"), lower.rlike("item|product|content").alias("of_item"),
     )
     both = F.col("user").isNotNull() & F.col("item").isNotNull()
@@ -193,11 +197,15 @@ def validate_catalog(catalog: DataFrame) -> DataFrame:
 
 
 def entity_mapping(resolved: DataFrame, corrected: DataFrame | None = None) -> DataFrame:
-    """(entity, dataset, column): the first user, item and signal column, and all temporal, session, contextual ones."""
+    """(entity, dataset, column): the first user, item and signal column, and all temporal, session, contextual ones.
+
+    The columns of these roles are written once, so that what gave them their roles is not done for each of the two parts.
+    """
     source = corrected if corrected is not None else resolved
     place = F.struct("dataset_ord", "pos")
     single = {"USER_ID": "user_id", "ITEM_ID": "item_id", "INTERACTION_SIGNAL": "interaction_signal"}
     many = {"TEMPORAL": "temporal", "SESSION": "session", "CONTEXTUAL": "contextual"}
+    source = materialize(source.where(F.col("role").isin(*single, *many)).select("role", "dataset", "column", "dataset_ord", "pos"), "entities")
     firsts = source.where(F.col("role").isin(*single)).groupBy("role").agg(
         F.min_by(F.struct("dataset", "column"), place).alias("c")
     ).select(_lookup(single, F.col("role")).alias("entity"), "c.dataset", "c.column")

@@ -192,3 +192,32 @@ def test_only_texts_with_corrections_are_cut_for_them(spark, tmp_path):
     assert {r["dataset"] for r in fixtures.lake_catalog(spark, str(tmp_path), of).collect()} == {"doc_2"}
     summary = q_roles.d10_summary(spark, str(tmp_path)).first()
     assert (summary["total"], summary["corrected"]) == (6, 2)
+
+
+def test_role_and_confidence_make_no_reasons(spark):
+    """Reasons and lists of all roles are only made for those who read them."""
+    best = mapping.map_columns(_catalog(spark, SAMPLE))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "rule-match" in plan(best) and "rule-match" not in plan(best.select("dataset", "column", "role", "confidence"))
+    first = best.select("role", "confidence", F.col("top_matches")[0].alias("t")).collect()
+    assert all((r["role"], r["confidence"]) == (r["t"]["role"], r["t"]["score"]) for r in first)
+
+
+def test_a_catalog_is_made_once(spark, monkeypatch):
+    """Entities and the graph read what costs more than a table from one that is written once."""
+    from tessela.operators import meaning
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(name):
+        seen.add(1)
+        return name
+
+    best = mapping.map_columns(_catalog(spark, SAMPLE)).select("dataset", "dataset_ord", "column", "pos", "role", "confidence")
+    rows = best.count()
+    slow = lambda: best.withColumn("role", counted("role"))
+    for made in (lambda: meaning.entity_mapping(slow()), lambda: meaning.graph_edges(meaning.graph_nodes(slow()))):
+        before = seen.value
+        made().collect()
+        assert seen.value - before < 2 * rows  # a filter on the role asks for it once more
