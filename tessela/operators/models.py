@@ -239,25 +239,39 @@ class Stopped:
     iterations: int
 
 
+BLOCK_BYTES = 1 << 14  # a reader of tables holds thousands of rows at once
+BATCH_BYTES = 8 << 20
+
+
 def _blocks(rows: DataFrame) -> DataFrame:
-    """(rows, x, y): the rows ``x`` (array of doubles) and ``label`` as a few large arrays, written once, so that a pass over them is numpy's."""
+    """(rows, x, y): the rows ``x`` (array of doubles) and ``label`` as arrays of at most BLOCK_BYTES, written once, so that a pass over them is numpy's."""
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
                 x, y = np.stack(batch["x"].to_numpy()).astype(float), batch["label"].to_numpy(dtype=float)
-                yield pd.DataFrame({"rows": [len(batch)], "x": [x.tobytes()], "y": [y.tobytes()]})
+                step = max(1, BLOCK_BYTES // (8 * max(1, x.shape[1])))
+                cuts = range(0, len(x), step)
+                yield pd.DataFrame({
+                    "rows": [len(y[a:a + step]) for a in cuts], "x": [x[a:a + step].tobytes() for a in cuts], "y": [y[a:a + step].tobytes() for a in cuts]})
 
     return materialize(rows.select("x", F.col("label").cast("double").alias("label")).mapInPandas(pack, "rows int, x binary, y binary"), "blocks")
 
 
 def _summed(blocks: DataFrame, of_block) -> np.ndarray:
-    """The sum over all blocks of an array ``of_block(x, y)``, followed by the number of rows: one partial sum per task, without its zeros."""
+    """The sum over all blocks of an array ``of_block(x, y)``, followed by the number of rows: one partial sum per task, without its zeros.
+
+    A task gets its blocks in batches of about BATCH_BYTES, each of which is one array for ``of_block``.
+    """
+    blocks.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    together = max(1, BATCH_BYTES // BLOCK_BYTES)
+
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, rows = 0.0, 0
         for batch in batches:
-            for n, x, y in zip(batch["rows"], batch["x"], batch["y"]):
-                total = total + of_block(np.frombuffer(x).reshape(n, -1), np.frombuffer(y))
-                rows += n
+            for at in range(0, len(batch), together):
+                n, x, y = (batch[c].iloc[at:at + together] for c in ("rows", "x", "y"))
+                total = total + of_block(np.frombuffer(b"".join(x)).reshape(int(n.sum()), -1), np.frombuffer(b"".join(y)))
+                rows += int(n.sum())
         if rows:
             sums = np.append(total, rows)
             at = np.flatnonzero(sums)

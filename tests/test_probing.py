@@ -324,3 +324,12 @@ def test_rough_products_lose_no_neighbour():
         for q, part in got.groupby("query_id"):
             best = np.sort(np.delete(scores[q], q))[::-1][:5]
             assert np.allclose(part["score"].to_numpy(), best, rtol=1e-12, atol=1.1e-9)
+
+
+def test_blocks_of_training_rows_are_bounded(spark):
+    """A reader holds thousands of blocks at once, whatever the rows weigh together."""
+    rows = spark.range(20_000, numPartitions=2).select(F.array(*[(F.col("id") % 7 + i).cast("double") for i in range(4)]).alias("x"), (F.col("id") % 2).cast("double").alias("label"))
+    blocks = models._blocks(rows)
+    most, n = blocks.agg(F.max(F.octet_length("x") + F.octet_length("y")), F.sum("rows")).first()
+    assert most <= 1.25 * models.BLOCK_BYTES and n == 20_000
+    assert models._summed(blocks, lambda x, y: np.array([y.sum(), x[:, 0].sum()])).tolist() == [10_000, sum(i % 7 for i in range(20_000)), 20_000]
